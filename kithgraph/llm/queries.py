@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kithgraph.llm import exact_dedup
+from kithgraph.llm import exact_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
