@@ -44,3 +44,34 @@ def strings(docs: list[tuple], width: int = 200) -> set[tuple]:
         spans = sum(j - 1 not in gone[i] for j in gone[i])
         rows.append((doc_id, len(units[i]), len(gone[i]), spans, hashlib.sha256(kept).hexdigest()))
     return Counter(rows)
+
+
+def shingles(text: str | None, n: int = 5) -> frozenset:
+    own = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(own[i : i + n]) for i in range(len(own) - n + 1)) if len(own) >= n else frozenset([tuple(own)] if own else [])
+
+
+def near_copies(docs: list[tuple], percent: int = 80) -> Counter:
+    sets = [shingles(text) for _, text in docs]
+    holders = defaultdict(list)
+    for i, own in enumerate(sets):
+        for x in own:
+            holders[x].append(i)
+    top = list(range(len(docs)))
+
+    def find(i):
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for i, own in enumerate(sets):
+        for j, n in Counter(j for x in own for j in holders[x] if j > i).items():
+            if 100 * n >= percent * (len(own) + len(sets[j]) - n):
+                top[find(i)] = find(j)
+    smallest = {}
+    for i, (doc_id, _) in enumerate(docs):
+        ids = smallest.setdefault(find(i), [])
+        if doc_id is not None:
+            ids.append(doc_id)
+    return Counter((doc_id, len(sets[i]), min(smallest[find(i)], default=None)) for i, (doc_id, _) in enumerate(docs))
