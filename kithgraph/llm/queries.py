@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kithgraph.llm import exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup
+from kithgraph.llm import exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
+    "op5_url_filters": url_filter.op5_url_filters,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_url_filters": url_filter.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
