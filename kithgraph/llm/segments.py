@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.llm import textscan as ts
-from kithgraph.llm.common import document_rows, materialize, same_row
+from kithgraph.llm.common import discard, document_rows, materialize, same_row
 
 #: Longer runs of one anchor (periodic text) are cut; routing needs only the anchor.
 LONGEST_RUN = 256
@@ -110,14 +110,15 @@ def recurring_segments(docs: DataFrame, width: int, gram: int, by_words: bool) -
     found = materialize(find_segments(docs, width, gram, by_words), "segments")
     often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
     often = often.filter((F.col("n") > 1) | F.col("twice")).select("anchor")
-    found = found.drop("twice")
-    return materialize(found.join(often, "anchor"), "recurring")
+    recurring = materialize(found.drop("twice").join(often, "anchor"), "recurring")
+    discard(found)
+    return recurring
 
 
 def distinct_segments(recurring: DataFrame) -> DataFrame:
     """One row for equal segments: how often it occurs and where to read it."""
-    return recurring.groupBy("anchor", "content", "windows").agg(
-        F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "start")).alias("at")
+    return recurring.groupBy("anchor", "content").agg(
+        F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("at")
     )
 
 
@@ -127,7 +128,7 @@ CUT_SCHEMA = "anchor long, content long, windows int, copies long, body string"
 def segment_texts(docs: DataFrame, distinct: DataFrame, width: int, by_words: bool) -> DataFrame:
     """distinct, with the text of each segment (its words joined by one space, or its bytes)."""
     wanted = distinct.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(
-        F.collect_list(F.struct("anchor", "content", "windows", "copies", F.col("at.start").alias("start"))).alias("cuts")
+        F.collect_list(F.struct("anchor", "content", F.col("at.windows").alias("windows"), "copies", F.col("at.start").alias("start"))).alias("cuts")
     )
     # Repeated rows hold the same text: one of them is enough.
     joined = docs.join(wanted, same_row(docs, wanted)).select(docs.doc_id, docs.text_key, docs.text, "cuts")
@@ -189,22 +190,24 @@ def repeated_ranges(
             {
                 "anchor": columns["anchor"].take(take),
                 "content": columns["content"].take(take),
-                "windows": columns["windows"].take(take),
-                "first": pa.array(first, pa.int32()),
-                "last": pa.array(first + count + width - 1, pa.int32()),
+                "span": pa.array((np.asarray(first, np.int64) << 32) + first + count + width - 1),
             }
         )
 
-    hits = (
+    hits = materialize(
         texts.withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
         .groupBy("bucket")
-        .applyInArrow(shard, "anchor long, content long, windows int, first int, last int")
-        .groupBy("anchor", "content", "windows")
-        .agg(F.collect_set(F.struct("first", "last")).alias("found"))
+        .applyInArrow(shard, "anchor long, content long, span long")
+        .groupBy("anchor", "content")
+        .agg(F.collect_set("span").alias("found")),
+        "hits",
     )
+    discard(texts)
+    # A span holds both ends, first in the upper half; shifting it moves both.
+    move = F.col("start") * F.lit((1 << 32) + 1)
     return (
-        recurring.join(hits, ["anchor", "content", "windows"])
-        .select("doc_id", "text_key", F.transform("found", lambda x: F.struct((x["first"] + F.col("start")).alias("first"), (x["last"] + F.col("start")).alias("last"))).alias("found"))
+        recurring.join(hits, ["anchor", "content"])
+        .select("doc_id", "text_key", F.transform("found", lambda x: x + move).alias("found"))
         .groupBy("doc_id", "text_key")
         .agg(F.flatten(F.collect_list("found")).alias("spans"))
     )
@@ -215,10 +218,12 @@ def rows_with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(spans, same_row(docs, spans), "left").select(docs["*"], "spans")
 
 
-def merged(spans: np.ndarray) -> np.ndarray:
-    """Sorted, disjoint, non-touching ranges covering the same units; spans is an (n, 2) array."""
-    if not len(spans):
-        return spans.reshape(0, 2)
+def merged(found: pa.ListScalar) -> np.ndarray:
+    """Sorted, disjoint, non-touching ranges of a row's spans, as an (n, 2) array; null: none."""
+    if not found.is_valid:
+        return np.zeros((0, 2), np.int64)
+    packed = np.asarray(found.values)
+    spans = np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1)
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     reach = np.maximum.accumulate(spans[:, 1])
     new = np.append(True, spans[1:, 0] > reach[:-1])

@@ -26,7 +26,7 @@ from kithgraph.llm.common import table
 
 WIDTH = 35
 GRAM = 8
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 #: Code points that a word may stand for, without surrogates.
 _CODES, _GAP, _SURROGATES = 0x10F7FF, 0x800, 0xD7FF
 
@@ -86,8 +86,7 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carry
                 words = (text.as_py() or "").encode().split()
                 total.append(len(words))
                 if found.is_valid:
-                    values = found.values
-                    cut = sg.merged(np.stack([np.asarray(values.field("first")), np.asarray(values.field("last"))], axis=1))
+                    cut = sg.merged(found)
                     edges = [0, *cut.ravel().tolist(), len(words)]
                     words = [w for low, high in zip(edges[::2], edges[1::2], strict=True) for w in words[low:high]]
                 removed.append(total[-1] - len(words))

@@ -26,7 +26,7 @@ from kithgraph.llm.common import table
 
 WIDTH = 200
 GRAM = 50
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -145,10 +145,7 @@ def remove_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             removed, runs, kept = [], [], []
             for row, found in enumerate(batch.column(2)):
                 text = data[offsets[row] : offsets[row + 1]].tobytes()
-                cut = np.zeros((0, 2), np.int64)
-                if found.is_valid:
-                    values = found.values
-                    cut = sg.merged(np.stack([np.asarray(values.field("first")), np.asarray(values.field("last"))], axis=1))
+                cut = sg.merged(found)
                 edges = [0, *cut.ravel().tolist(), len(text)]
                 kept.append(b"".join(text[low:high] for low, high in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append(len(text) - len(kept[-1]))
