@@ -178,11 +178,11 @@ def owners(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(settle, schema).select(F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    rows = docs.select("doc_id", F.sha2(normalised().cast("binary"), 256).alias("text_sha256"))
+def exact_dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and the carry columns for every row of docs."""
+    rows = docs.select("doc_id", *carry, F.sha2(normalised().cast("binary"), 256).alias("text_sha256"))
     return rows.join(owners(docs), "text_sha256").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *carry
     )
 
 

@@ -129,9 +129,11 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carr
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("triples"), F.col("n_words")).alias("n_repeat_words"),
         (F.aggregate("buckets", F.lit(0.0), lambda total, b: total + F.get(weight, b)) / F.greatest(F.size("buckets"), F.lit(1))).alias("score"),
+        # Keeps the optimiser from computing all of this a second time in a filter on the verdict.
+        F.monotonically_increasing_id().alias("place"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PERCENT)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold) & (F.col("place") >= 0)).drop("place")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
