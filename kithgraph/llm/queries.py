@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kithgraph.llm import exact_dedup, jaccard_join, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
+from kithgraph.llm import exact_dedup, jaccard_join, language_id, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": url_filter.op5_url_filters,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_language_id": language_id.op8_language_id,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
 }
 
