@@ -96,14 +96,14 @@ def packed(key: str, keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, gra
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=[key, "nodes", "sizes", "counts", "grams", "often"])
 
 
-def unpacked(group: pa.Table, short: bool) -> tuple[np.ndarray, ...]:
+def unpacked(group: pa.Table, short: bool, often: str = "<u2") -> tuple[np.ndarray, ...]:
     def joined(name: str, kind: str) -> np.ndarray:
         return np.frombuffer(b"".join(group.column(name).to_pylist()), dtype=kind)
 
     counts = joined("counts", "<u4")
     nodes, sizes = joined("nodes", "<i8"), joined("sizes", "<u4").astype(np.int64)
     if not short:
-        return nodes, sizes, counts, joined("grams", "<u8"), joined("often", "<u2")
+        return nodes, sizes, counts, joined("grams", "<u8"), joined("often", often)
     raw = joined("grams", "u1").reshape(-1, 6)
     grams = np.zeros((len(raw), 8), dtype=np.uint8)
     grams[:, :6] = raw
