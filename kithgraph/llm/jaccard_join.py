@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph.llm import textscan as ts
@@ -34,6 +35,8 @@ PERCENT = 80
 #: N-grams that a fragment holds on average; a task sorts one fragment.
 FRAGMENT_GRAMS = 1 << 21
 LEAST_FRAGMENTS = 64
+#: Leaders that a set is compared with in a round, and rounds before the exact join takes what is left.
+TRIES, ROUNDS = 3, 8
 #: Pieces of the hash range whose overlaps are counted apart, as a power of two.
 OVERLAP_BITS = 3
 
@@ -217,7 +220,7 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     sets = materialize(sets, "sets")
     prefix = materialize(
         sets.select("node", "size", "alone", F.posexplode(F.slice("grams", F.lit(1), (prefix_length(F.col("size"), percent) - F.col("alone")).cast("int"))).alias("i", "gram"))
-        .select("gram", "node", "size", (F.col("alone") + F.col("i")).alias("place")),
+        .select("gram", "node", "size", "alone", (F.col("alone") + F.col("i")).alias("place")),
         "prefix",
     )
     labels = sets.select("node", F.col("node").alias("label"))
@@ -226,14 +229,17 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
         sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
         ranked = labels.join(sizes, "label").select("node", "label", "members")
         placed = prefix.join(ranked, "node")
-        order = F.struct(-F.col("members"), F.col("label"), F.xxhash64("node", F.lit(rounds)), "node", "size", "place")
-        leaders = placed.groupBy("gram").agg(F.min(order).alias("o")).select("gram", "o.label", "o.node", "o.size", "o.place")
+        # First the set with the fewest n-grams of its own leads, later any set of the largest component.
+        chance = F.xxhash64("node", "gram", F.lit(rounds))
+        order = F.struct(-F.col("members"), (F.col("alone") if rounds == 0 else chance).alias("turn"), chance.alias("chance"), "node", "size", "place", "alone", "label")
+        leaders = placed.groupBy("gram").agg(F.min(order).alias("o")).select("gram", "o.label", "o.node", "o.size", "o.place", "o.alone")
         met = placed.alias("x").join(leaders.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & can_link("x", "y", percent))
-        votes = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("n"))
-        pairs = votes.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", "best.b")
+        votes = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("n"), F.min("y.alone").alias("alone"))
+        best = W.partitionBy("a").orderBy(F.col("n").desc() if rounds == 0 else F.col("alone"), "alone", "b")
+        pairs = votes.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TRIES).select("a", "b")
         new, labels = joined(verified(pairs, sets, percent), labels)
         rounds += 1
-        if not new or rounds == 6:
+        if not new or rounds == ROUNDS:
             break
     # What is left: pairs of different components; one of them is outside the n-gram's largest component.
     placed = materialize(prefix.join(labels, "node"), "placed")
