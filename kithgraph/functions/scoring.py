@@ -85,8 +85,81 @@ def weighted_similarity(sim: Column, quality: Column) -> Column:
     """Similarity moved by quality, at most .08 either way, within -1 and 1."""
     share = F.least(F.greatest(quality / 100.0, F.lit(0.0)), F.lit(1.0))
     boost = F.least(F.greatest((share - 0.5) * 0.2, F.lit(-0.08)), F.lit(0.08))
-    return F.least(F.greatest(sim + boost, F.lit(-1.0)), F.lit(1.0))
+    return F.when(sim.isNotNull() & quality.isNotNull(), F.least(F.greatest(sim + boost, F.lit(-1.0)), F.lit(1.0)))
 
 
 def merge_label(sim: Column) -> Column:
     return F.when(sim >= 0.62, "likely").when(sim >= 0.58, "possible").otherwise("uncertain")
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
+
+
+def steps(x: Column, *pairs: tuple[float, float], least: float = 0.0) -> Column:
+    """The value of the first step that x reaches, from the highest down."""
+    out = F.when(x >= pairs[0][0], float(pairs[0][1]))
+    for at, value in pairs[1:]:
+        out = out.when(x >= at, float(value))
+    return out.otherwise(float(least))
+
+
+#: source, safe-same, uncertain-low, second-pass high, second-pass several anchors, adjustment (fixed values)
+SOURCES = (
+    ("FACENET_512", 0.62, 0.35, 0.50, 0.45, 0.0),
+    ("MOBILEFACENET_192", 0.58, 0.42, 0.52, 0.45, -0.05),
+    ("HASH_FALLBACK", 0.85, 0.70, 0.85, 0.70, 0.20),
+    ("UNKNOWN", 0.62, 0.35, 0.62, 0.55, 0.0),
+)
+
+
+def size_score(pixels: Column) -> Column:
+    return steps(pixels, (200, 25), (150, 22), (100, 18), (80, 14), (60, 8), (40, 4))
+
+
+def pose_score(yaw: Column, roll: Column, most_yaw: float = 30.0, most_roll: float = 25.0) -> Column:
+    """25 points less penalties for turning and tilting the head."""
+    y, r = F.abs(yaw), F.abs(roll)
+    turned = F.when(y > 45, 20.0).when(y > most_yaw, 10 + (y - most_yaw) * 0.4).when(y > 15, 3 + (y - 15) * 0.3).otherwise(y * 0.1)
+    tilted = F.when(r > 35, 10.0).when(r > most_roll, 5 + (r - most_roll) * 0.3).otherwise(r * 0.1)
+    return clamp(25 - turned - tilted, 0, 25)
+
+
+def sharpness_score(variance: Column) -> Column:
+    """Points for the variance of the Laplacian, linear between steps."""
+    v = variance
+    return clamp(
+        F.when(v >= 500, 25.0).when(v >= 300, 22 + (v - 300) / 66.0).when(v >= 150, 18 + (v - 150) / 37.5).when(v >= 80, 12 + (v - 80) / 11.7)
+        .when(v >= 40, 6 + (v - 40) / 6.7).when(v >= 15, 2 + (v - 15) / 6.25).otherwise(v / 7.5), 0, 25,
+    )
+
+
+def brightness_score(mean: Column, contrast: Column) -> Column:
+    light = (
+        F.when(mean.between(100, 160), 10.0).when(mean.between(80, 180), 8.0).when(mean.between(60, 200), 5.0).when(mean.between(40, 220), 3.0)
+        .when((mean < 30) | (mean > 230), 0.0).otherwise(1.0)
+    )
+    return clamp(light + steps(contrast, (150, 5), (100, 4), (70, 3), (40, 2)), 0, 15)
+
+
+def eye_open_points(probability: Column) -> Column:
+    """An unknown eye gets the benefit of the doubt."""
+    return F.when(probability.isNull(), 1.0).when(probability > 0.8, 2.0).when(probability > 0.5, 1.5).when(probability > 0.3, 0.5).otherwise(0.0)
+
+
+def split_confidence(variance: Column, spread: Column, groups: Column) -> Column:
+    parts = F.when(groups >= 3, 1.0).when(groups == 2, 0.7).otherwise(0.3)
+    return clamp(variance - 0.05, 0, 0.15) / 0.15 * 0.4 + clamp(spread - 0.25, 0, 0.35) / 0.35 * 0.3 + parts * 0.3
+
+
+def merge_confidence(centroid: Column, representative: Column) -> Column:
+    return clamp(centroid - 0.5, 0, 0.3) / 0.3 * 0.3 + clamp(representative - 0.55, 0, 0.25) / 0.25 * 0.7
+
+
+def optimal_duration(count: Column, longest: Column) -> Column:
+    target = F.when(count <= 5, 30.0).when(count <= 10, 45.0).otherwise(60.0)
+    return F.least(F.greatest(target / count, F.lit(1.0)), longest)
+
+
+def clock(seconds: Column) -> Column:
+    return F.format_string("%d:%02d", F.floor(seconds / 60), F.floor(seconds % 60))
