@@ -81,16 +81,17 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
 PACKED = "nodes binary, sizes binary, counts binary, grams binary, often binary"
 
 
-def packed(key: str, keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, grams: np.ndarray, often: np.ndarray | None) -> pa.RecordBatch:
-    """Postings dealt by key: a row for each key, with runs of equal nodes written once."""
+def packed(key: str, keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, grams: np.ndarray, often: np.ndarray | None, rows_of: np.ndarray | None = None) -> pa.RecordBatch:
+    """Postings dealt by key: a row for each key, with runs of equal nodes (or of rows_of) written once."""
     order = np.argsort(keys, kind="stable")
+    same = (nodes if rows_of is None else rows_of)[order]
     keys, nodes, sizes, grams = keys[order], nodes[order], sizes[order], grams[order]
     often = often[order] if often is not None else None
     edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     rows: list[list] = [[] for _ in range(6)]
-    for low, high in zip(edges, np.append(edges[1:], len(keys)), strict=True):
-        own = nodes[low:high]
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    for low, high in zip(edges, np.append(edges[1:], len(keys))[: len(edges)], strict=True):
+        own, run = nodes[low:high], same[low:high]
+        first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
         values = (int(keys[low]), own[first].tobytes(), sizes[low:high][first].astype("<u4").tobytes(), np.diff(np.append(first, high - low)).astype("<u4").tobytes())
         # A fragment's n-grams are told apart by 48 bits.
         short = grams[low:high].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if often is None else grams[low:high].tobytes()

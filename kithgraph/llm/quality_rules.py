@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from kithgraph.llm.common import table
 
 BUCKETS = 8192
+#: The trusted multinomial is fitted on so many labelled documents at most; the raw one on all documents.
+TRUSTED_DOCUMENTS = 20_000
 #: The trusted multinomial is smoothed by so many n-grams a bucket, spread like the raw one.
 PRIOR = 20
 #: Nats per n-gram; documents like the trusted ones score about 0.01 or more.
@@ -89,14 +91,18 @@ def grams(docs: DataFrame, *more: str) -> DataFrame:
     return out.withColumn("buckets", buckets)
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    good = F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
-    return labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.coalesce(good, F.lit(False)).alias("trusted"))
+def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCUMENTS) -> DataFrame:
+    """doc_id of at most ``most`` trusted documents, chosen by hash."""
+    good = F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False)))
+    known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(good.alias("trusted")).filter("trusted")
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log p_trusted - log p_raw of each bucket. BUCKETS rows at most come to the driver."""
-    known = grams(docs.select("doc_id", "text")).select("doc_id", F.col("buckets")).join(trusted_ids(labels), "doc_id", "left")
+    known = grams(docs.select("doc_id", "text")).select("doc_id", "buckets")
+    # The broadcast side has TRUSTED_DOCUMENTS rows at most.
+    known = known.join(F.broadcast(trusted_ids(labels)), "doc_id", "left")
     counts = known.select(F.coalesce("trusted", F.lit(False)).cast("long").alias("trusted"), F.explode("buckets").alias("bucket"))
     counts = counts.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("trusted"))
     raw, trusted = [1] * BUCKETS, [0] * BUCKETS
