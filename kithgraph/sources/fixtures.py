@@ -22,7 +22,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "o_orderpriority AS bucket_name",
             "CASE o_orderstatus WHEN 'P' THEN 'PENDING' WHEN 'F' THEN 'SCANNED' ELSE 'NO_FACES' END AS scan_status",
             "o_custkey % 500 AS album_id",
-            "cast(o_totalprice AS bigint) % 1000 AS size_bytes",
+            "cast(floor(o_totalprice) AS bigint) % 1000 AS size_bytes",
         ],
     ),
     "v_faces": (
