@@ -1,13 +1,9 @@
-"""Incremental jobs with Structured Streaming: scans, staging, progress, live views."""
+"""Incremental jobs with Structured Streaming: scans, progress, live views, duplicates."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kithgraph.operators.tables import insert_ignore, latest
 from kithgraph.sources.storage import new_folder
@@ -60,11 +56,6 @@ def dedup_stream(events: DataFrame, key: str, at: str, delay: str = "10 minutes"
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def photo_sessions(events: DataFrame, key: str, at: str, gap: str = "1 hour") -> DataFrame:
-    """Sessions of an album that are closed by the watermark."""
-    return events.withWatermark(at, gap).groupBy(key, F.session_window(at, gap).alias("session")).agg(F.count("*").alias("n"))
-
-
 def live_view(spark: SparkSession, changes: DataFrame, key: str, order: str) -> DataFrame:
     """The newest row of each key of a change log, refreshed batch by batch."""
     out = new_folder(spark, "view")
@@ -79,32 +70,3 @@ def live_view(spark: SparkSession, changes: DataFrame, key: str, order: str) ->
 
     drain(changes, step)
     return spark.read.parquet(seen[-1])
-
-
-STAGED = "cluster_id long, face_ids array<long>, reason string"
-
-
-def flush(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, most: int, wait_ms: int) -> Iterator[pd.DataFrame]:
-    """Hold a cluster's uncertain faces; hand them on when there are enough, or when the wait is over."""
-    held = list(state.get[0]) if state.exists else []
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"cluster_id": [key[0]], "face_ids": [held], "reason": ["timeout"]})
-        return
-    for batch in batches:
-        held += batch.face_id.tolist()
-        while len(held) >= most:
-            yield pd.DataFrame({"cluster_id": [key[0]], "face_ids": [held[:most]], "reason": ["full"]})
-            held = held[most:]
-    if held:
-        state.update((held,))
-        state.setTimeoutDuration(wait_ms)
-    elif state.exists:
-        state.remove()
-
-
-def stage_and_flush(events: DataFrame, most: int = 50, wait_ms: int = 5000) -> DataFrame:
-    """events (cluster_id, face_id) in flushed groups; state is one short list a cluster."""
-    return events.groupBy("cluster_id").applyInPandasWithState(
-        lambda key, batches, state: flush(key, batches, state, most, wait_ms), STAGED, "face_ids array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
