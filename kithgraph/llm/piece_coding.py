@@ -39,6 +39,15 @@ KEPT_RUNS = 300_000
 _models: dict[str, Model] = {}
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<i4").tobytes()
+
+
+def id_lists(rows: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(x) // 4 for x in rows)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
+
+
 class Model:
     """Pieces with their merge ranks, and the paths of runs and stable pairs seen so far."""
 
@@ -59,8 +68,9 @@ class Model:
             raise ValueError("pieces with a blank or line end inside would change how runs are cut")
         self.reach = max(map(len, self.ids))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
-        self.kept: dict[str, list[int]] = {}
+        # Pieces that merging their own text reaches.
+        self.whole_pieces = {p for p in self.ids if self.merged(p) == [p]}
+        self.kept: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """A short text after all merges, best rank and leftmost first."""
@@ -73,14 +83,7 @@ class Model:
 
     def is_piece(self, text: str) -> bool:
         """Whether text is one character or a piece that merging reaches."""
-        if len(text) == 1:
-            return True
-        if text not in self.ids:
-            return False
-        found = self.alone.get(text)
-        if found is None:
-            found = self.alone[text] = self.merged(text) == [text]
-        return found
+        return len(text) == 1 or text in self.whole_pieces
 
     def stable(self, a: str, b: str) -> bool:
         if not a:
@@ -114,35 +117,34 @@ class Model:
             end, piece = end - len(piece), found[end][piece]
         return out[::-1]
 
-    def run(self, text: str) -> list[int]:
-        """Pieces of a run; from its begin, one piece can end at each place."""
+    def run(self, text: str) -> bytes:
+        """Ids of a run, 4 bytes each; from its begin, one piece can end at each place."""
         ids = self.kept.get(text)
         if ids is None:
-            n, last, reach = len(text), [""], self.reach
+            n, last, reach, known, pairs = len(text), [""], self.reach, self.whole_pieces, self.pairs
             for j in range(1, n + 1):
                 for i in range(max(0, j - reach), j):
                     piece = text[i:j]
-                    if self.is_piece(piece) and self.stable(last[i], piece):
-                        break
+                    if piece in known or j - i == 1:
+                        fits = pairs.get((last[i], piece))
+                        if self.stable(last[i], piece) if fits is None else fits:
+                            break
                 last.append(piece)
             ids = []
             while n:
                 piece = last[n]
                 ids += [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in reversed(piece.encode())]
                 n -= len(piece)
-            ids.reverse()
+            ids = packed_ids(ids[::-1])
             if len(text) < 64:
                 if len(self.kept) > KEPT_RUNS:
                     self.kept.clear()
                 self.kept[text] = ids
         return ids
 
-    def whole(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def whole(self, text: str) -> bytes:
         kept, run = self.kept, self.run
-        for part in RUNS.findall(text):
-            ids += kept.get(part) or run(part)
-        return ids
+        return b"".join([kept.get(part) or run(part) for part in RUNS.findall(text)])
 
     def states(self, left: str, right: str) -> list[tuple[str, int]]:
         """Pieces that may cover or end at a boundary, and how far each reaches beyond it."""
@@ -186,16 +188,16 @@ class Model:
                 matrix[i, j] = 0 if ok else NEVER
         return matrix
 
-    def between(self, left: str, body: str, n: int, begin_state: int, end_state: int) -> list[int]:
-        """The pieces of the chunk that follow its begin state, up to its end state's piece."""
+    def between(self, left: str, body: str, n: int, begin_state: int, end_state: int) -> bytes:
+        """The ids of the chunk's pieces that follow its begin state, up to its end state's piece."""
         into, out = self.ends(left, body, n)
         (piece, begin), (own, beyond) = into[begin_state], out[end_state]
         first, last = self.cuts(body, n)
         if first == n:
-            return self.back(self.paths(body[begin:], piece, n - begin), n + beyond - begin, own)
+            return packed_ids(self.back(self.paths(body[begin:], piece, n - begin), n + beyond - begin, own))
         head = self.paths(body[begin:first], piece, first - begin)
         tail = self.paths(body[last:], "", n - last)
-        return self.back(head, first - begin, next(iter(head[-1]))) + self.whole(body[first:last]) + self.back(tail, n + beyond - last, own)
+        return packed_ids(self.back(head, first - begin, next(iter(head[-1])))) + self.whole(body[first:last]) + packed_ids(self.back(tail, n + beyond - last, own))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.spelled[i] for i in ids])[1:].decode("utf-8", "replace")
@@ -244,7 +246,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
             for low in range(0, b.num_rows, 500):
                 part = b.slice(low, 500)
                 ids = [model.whole(marked(t.as_py())) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "text_key", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), id_lists(ids)], names=["doc_id", "text_key", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = model_of(path).reach
@@ -276,7 +278,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         model = model_of(path)
         for b in batches:
             ids = [model.between(*(x.as_py() for x in row)) for row in zip(*(b.column(k) for k in ("left", "body", "n", "begin", "beyond")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), b.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "text_key", "chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), b.column("chunk"), id_lists(ids)], names=["doc_id", "text_key", "chunk", "ids"])
 
     giant = F.coalesce(F.length("text") >= chunk, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "text_key")
@@ -301,9 +303,10 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for low in range(0, b.num_rows, 500):
                 part = b.slice(low, 500)
-                ids = [x.as_py() for x in part.column(2)]
-                text = pa.array([model.decode(x) for x in ids], pa.string())
-                crc = pa.array([zlib.crc32(np.array(x, dtype="<u4").tobytes()) for x in ids], pa.int64())
+                flat, bounds = np.asarray(part.column(2).flatten()), np.append(0, np.cumsum(part.column(2).value_lengths().to_numpy(zero_copy_only=False)))
+                ids = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                text = pa.array([model.decode(x.tolist()) for x in ids], pa.string())
+                crc = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, text, crc], names=["doc_id", "text_key", "ids", "decoded", "ids_crc32"])
 
     return coded.mapInArrow(spell, "doc_id long, text_key long, ids array<int>, decoded string, ids_crc32 long")
