@@ -103,10 +103,11 @@ def bucket_weights(docs: DataFrame, labels: DataFrame) -> list[float]:
     known = grams(docs.select("doc_id", "text")).select("doc_id", "buckets")
     # The broadcast side has TRUSTED_DOCUMENTS rows at most.
     known = known.join(F.broadcast(trusted_ids(labels)), "doc_id", "left")
-    counts = known.select(F.coalesce("trusted", F.lit(False)).cast("long").alias("trusted"), F.explode("buckets").alias("bucket"))
+    counts = known.select(F.coalesce("trusted", F.lit(False)).cast("long").alias("trusted"), F.explode_outer("buckets").alias("bucket"))
     counts = counts.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("trusted"))
     raw, trusted = [1] * BUCKETS, [0] * BUCKETS
-    for row in counts.collect():
+    # explode_outer spares the filter on empty arrays, which would compute the buckets twice.
+    for row in (r for r in counts.collect() if r.bucket is not None):
         raw[row.bucket] += row.raw
         trusted[row.bucket] += row.trusted
     if not any(trusted):
