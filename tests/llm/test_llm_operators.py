@@ -207,3 +207,21 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert sorted((r.doc_id, r.text) for r in frame.collect()) == sorted(left)
     assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in corpus_pipeline.best_fit_packing(spark, frame, DATA).collect()} == {i for i, _ in left}
+
+
+def test_lm_scoring_learns_more_contexts_than_any_fixed_table(spark):
+    import random
+
+    deal, pairs = random.Random(5), 20000
+    words = [f"a{i} b{i}" for i in range(pairs)] * 4
+    deal.shuffle(words)
+    texts = [(i, " ".join(words[low : low + 100])) for i, low in enumerate(range(0, len(words), 100))]
+    held = [r for r in lm_scoring.score(spark.createDataFrame(texts, "doc_id long, text string")).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in held) * 3.3219280948873626 / sum(r.n_tokens for r in held)
+    # Half of the words follow from the one before: up to four of eight bits a word on average.
+    assert gain > 2.5
+
+
+def test_lm_scoring_beats_the_base_score_on_held_out_documents(spark):
+    held = [r for r in lm_scoring.op10_lm_scoring(spark, DATA.replace("sf0.001", "sf0.01")).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
