@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph.llm import textscan as ts
@@ -166,13 +167,51 @@ def segment_texts(docs: DataFrame, distinct: DataFrame, width: int, by_words: bo
     return joined.select("text", "cuts").mapInArrow(cut, schema)
 
 
+#: A window that stands in more than one in so many rows of crowded windows meets its count by a broadcast.
+CROWD_SHARE = 4096
+
+
+def crowded_spans(texts: DataFrame, width: int, by_words: bool) -> DataFrame:
+    """anchor, content, span of the repeated runs in segments of anchors that are too large for one bucket.
+
+    Each window is a row, told apart by its hash and counted by partial sums; no group holds an anchor's segments.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = ts.string_buffers(batch.column(3))
+            for low, high in ts.slices(offsets):
+                sums, units, _ = unit_sums(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], by_words)
+                windows = np.asarray(batch.column(2))[low:high].astype(np.int64)
+                row = np.repeat(np.arange(high - low), windows)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+                first, take = units[row] + nth, pa.array(row + low)
+                hashes = ts.span_hashes(sums, first, first + width)
+                columns = [batch.column(i).take(take) for i in (0, 1, 4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(nth), pa.array(hashes.view(np.int64))], names=["anchor", "content", "copies", "nth", "window"])
+
+    found = texts.select("anchor", "content", "windows", "body", "copies").mapInArrow(scan, "anchor long, content long, copies long, nth long, window long")
+    # Repeated rows hand their segments on more than once.
+    windows = materialize(found.dropDuplicates(["anchor", "content", "nth"]), "crowded")
+    counted = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("n"), F.count("*").alias("rows"))
+    often = materialize(counted.filter("n > 1").select("anchor", "window", "rows"), "crowded-often")
+    limit = max(1, windows.count() // CROWD_SHARE)
+    key = ["anchor", "window"]
+    most = F.broadcast(often.filter(F.col("rows") > limit).select(key))
+    # The most frequent windows, CROWD_SHARE at most, move no rows to one task.
+    hit = windows.join(most, key, "left_semi").unionByName(windows.join(most, key, "left_anti").join(often.filter(F.col("rows") <= limit).select(key), key, "left_semi"))
+    run = F.col("nth") - F.row_number().over(W.partitionBy("anchor", "content").orderBy("nth"))
+    ends = hit.withColumn("run", run).groupBy("anchor", "content", "run").agg(F.min("nth").alias("first"), F.max("nth").alias("last"))
+    return ends.select("anchor", "content", (F.shiftleft("first", 32) + F.col("last") + width).alias("span"))
+
+
 def repeated_ranges(
     docs: DataFrame, width: int, gram: int, by_words: bool, locate: Callable[[dict], tuple], bucket_bytes: int
 ) -> DataFrame:
     """doc_id, text_key, spans: unit ranges [first, last) covered by a window that occurs more than once.
 
     ``locate`` works on the distinct segments of a bucket of anchors and returns, for each repeated run,
-    (segment number, first window, number of windows).
+    (segment number, first window, number of windows). Anchors whose segments exceed a bucket are split by window.
     """
     recurring = recurring_segments(docs, width, gram, by_words)
     texts = materialize(segment_texts(docs, distinct_segments(recurring), width, by_words), "texts")
@@ -194,11 +233,15 @@ def repeated_ranges(
             }
         )
 
+    # One anchor for each bucket_bytes of text at most.
+    crowded = materialize(texts.groupBy("anchor").agg(F.sum(F.octet_length("body")).alias("bytes")).filter(F.col("bytes") > bucket_bytes).select("anchor"), "crowded-anchors")
+    split = not crowded.isEmpty()
+    alone = texts.join(F.broadcast(crowded), "anchor", "left_anti") if split else texts
+    located = alone.withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(shard, "anchor long, content long, span long")
+    if split:
+        located = located.unionByName(crowded_spans(texts.join(F.broadcast(crowded), "anchor", "left_semi"), width, by_words))
     hits = materialize(
-        texts.withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInArrow(shard, "anchor long, content long, span long")
-        .groupBy("anchor", "content")
+        located.groupBy("anchor", "content")
         .agg(F.collect_set("span").alias("found")),
         "hits",
     )

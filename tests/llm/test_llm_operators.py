@@ -225,3 +225,31 @@ def test_lm_scoring_learns_more_contexts_than_any_fixed_table(spark):
 def test_lm_scoring_beats_the_base_score_on_held_out_documents(spark):
     held = [r for r in lm_scoring.op10_lm_scoring(spark, DATA.replace("sf0.001", "sf0.01")).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+@pytest.mark.parametrize("by_words", [True, False])
+def test_a_passage_in_many_documents_fills_no_bucket(spark, by_words):
+    import random
+
+    from kithgraph.llm import segments
+
+    deal, most = random.Random(3), 20000
+    name = lambda: "".join(deal.choices("abcdefghijklmnop", k=5))
+    passage = " ".join(name() for _ in range(50))
+    texts = [(i, " ".join([*(name() for _ in range(40)), passage, *(name() for _ in range(40))])) for i in range(400)]
+    texts.append(texts[0])
+    operator, width, gram = (substring_dedup, 35, 8) if by_words else (suffix_dedup, 200, 50)
+    locate = operator.locate
+
+    def bounded(columns):
+        size = sum(map(len, columns["body"].to_pylist()))
+        assert size <= 4 * most, size
+        return locate(columns, width)
+
+    rows = segments.base_rows(spark.createDataFrame(texts, "doc_id long, text string"))
+    found = segments.rows_with_spans(rows, segments.repeated_ranges(rows, width, gram, by_words, bounded, most)).collect()
+    units = {i: brute.words(t) if by_words else t.encode() for i, t in enumerate(t for _, t in texts)}
+    gone = brute.repeated(units, width)
+    want = Counter((texts[i][0], frozenset(own)) for i, own in gone.items())
+    got = Counter((r.doc_id, frozenset(j for x in r.spans or [] for j in range(x >> 32, x & 0xFFFFFFFF))) for r in found)
+    assert got == want
