@@ -153,23 +153,23 @@ def merge_fixpoint(assigned: DataFrame, least: float = 0.72) -> DataFrame:
         labels = saved(labels.join(moved, "cluster_id", "left").select("face_id", "v", F.coalesce("_to", "cluster_id").alias("cluster_id")))
 
 
-def diverse(group: pd.DataFrame, most: int, same: float) -> pd.DataFrame:
-    """Greedy pick by score; a face too like a kept one is dropped."""
-    kept: list[int] = []
-    vectors = np.stack(group.v.to_numpy()).astype(np.float64)
-    for i in np.lexsort((group.face_id.to_numpy(), -group.score.to_numpy())):
-        if len(kept) < most and all(vectors[i] @ vectors[j] <= same for j in kept):
-            kept.append(int(i))
-    chosen = group.iloc[kept]
-    return pd.DataFrame({"cluster_id": chosen.cluster_id.to_numpy(), "face_id": chosen.face_id.to_numpy(), "rank": range(len(kept))})
-
-
-def select_representatives(faces: DataFrame, most: int = 7, same: float = 0.85, candidates: int = 50) -> DataFrame:
-    """Up to ``most`` representatives of each cluster, good and unlike each other, among its best by score."""
+def select_representatives(faces: DataFrame, most: int = 7, same: float = 0.85) -> DataFrame:
+    """Up to ``most`` representatives of each cluster, good and unlike each other: the best face left, round by round."""
     middle = x.centroids(faces, "cluster_id", "v", normalize=True).select("cluster_id", "centroid")
     scored = faces.join(middle, "cluster_id").withColumn("score", F.round(F.col("quality_score") / 100 * 0.6 + x.dot(F.col("v"), F.col("centroid")) * 0.4, 9))
-    top = top_n(scored, ["cluster_id"], [F.col("score").desc(), F.col("face_id")], candidates).select("cluster_id", "face_id", "v", "score")
-    return top.groupBy("cluster_id").applyInPandas(lambda g: diverse(g, most, same), "cluster_id long, face_id long, rank int")
+    scored = saved(scored.select("cluster_id", "face_id", "v", F.coalesce("score", F.lit(float("-inf"))).alias("score")))
+    left, kept = scored, None
+    for _ in range(most):
+        best = saved(left.groupBy("cluster_id").agg(F.min_by(F.struct("face_id", "v"), F.struct(-F.col("score"), F.col("face_id"))).alias("best")))
+        if kept is None:
+            kept = best.select("cluster_id", F.array("best").alias("kept"))
+        elif best.isEmpty():
+            break
+        else:
+            kept = saved(kept.join(best, "cluster_id", "left").select("cluster_id", F.when(F.col("best").isNull(), F.col("kept")).otherwise(F.concat("kept", F.array("best"))).alias("kept")))
+        unlike = F.forall("kept", lambda k: (k["face_id"] != F.col("face_id")) & (x.dot(F.col("v"), k["v"]) <= same))
+        left = scored.join(kept, "cluster_id").filter(unlike)
+    return kept.select("cluster_id", F.posexplode("kept").alias("rank", "face")).select("cluster_id", F.col("face.face_id").alias("face_id"), "rank")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 20, seed: int = 7) -> DataFrame:

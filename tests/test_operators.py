@@ -83,3 +83,22 @@ def test_snapshots_read_back(spark, tmp_path):
     tables.write_snapshot({"faces": df}, str(tmp_path), 1, {"faces": "face_id"})
     tables.write_snapshot({"faces": df.filter("face_id < 5")}, str(tmp_path), 2, {"faces": "face_id"})
     assert tables.read_snapshot(spark, str(tmp_path))["faces"].count() == 5
+
+
+def test_representatives_are_found_behind_many_near_copies(spark):
+    rng = np.random.default_rng(8)
+    near = np.eye(16)[0] + 0.01 * rng.normal(size=(70, 16))
+    v = np.concatenate([near, np.eye(16)[1:10] + 0.05 * rng.normal(size=(9, 16))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    quality = [100 - i // 10 for i in range(70)] + [50 - i for i in range(9)]
+    rows = [(1, i, q, x.tolist()) for i, (q, x) in enumerate(zip(quality, v, strict=True))] + [(2, 100, 50, v[0].tolist())]
+    faces = spark.createDataFrame(rows, "cluster_id long, face_id long, quality_score long, v array<double>")
+    middle = v.mean(axis=0)
+    score = np.round(np.array(quality) / 100 * 0.6 + v @ (middle / np.linalg.norm(middle)) * 0.4, 9)
+    kept = []
+    for i in np.lexsort((np.arange(len(v)), -score)):
+        if len(kept) < 7 and all(v[i] @ v[j] <= 0.85 for j in kept):
+            kept.append(int(i))
+    assert len(kept) == 7
+    got = {(r.cluster_id, r["rank"]): r.face_id for r in clustering.select_representatives(faces).collect()}
+    assert got == {(1, n): i for n, i in enumerate(kept)} | {(2, 0): 100}
