@@ -25,9 +25,4 @@ def live_view(v):
 
 @query("t9_dedup_stream", "SELECT DISTINCT event_id FROM events", raw=True)
 def dedup(v):
-    from kithgraph.sources.storage import new_folder
-
-    events = jobs.source(v.spark, f"{v.sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
-    out = new_folder(v.spark, "dedup")
-    jobs.drain(jobs.dedup_stream(events, "event_id", "at").select("event_id"), lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-    return v.spark.read.parquet(out).select("event_id")
+    return jobs.dedup_stream(v.spark, jobs.source(v.spark, f"{v.sf_dir}/events.parquet").select("event_id"), "event_id")

@@ -51,9 +51,19 @@ def complete(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def dedup_stream(events: DataFrame, key: str, at: str, delay: str = "10 minutes") -> DataFrame:
-    """Rows delivered again within the delay are dropped."""
-    return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+def dedup_stream(spark: SparkSession, events: DataFrame, key: str) -> DataFrame:
+    """The first row of each key over all batches, however late; a batch that runs again changes nothing."""
+    out = new_folder(spark, "dedup")
+
+    def step(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        if number:
+            known = spark.read.schema(batch.schema).parquet(*(f"{out}/batch={i:08d}" for i in range(number))).select(F.col(key).alias("_known"))
+            fresh = fresh.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
+
+    drain(events, step)
+    return spark.read.schema(events.schema).parquet(f"{out}/*")
 
 
 def live_view(spark: SparkSession, changes: DataFrame, key: str, order: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kithgraph.functions import scoring, vectors
 from kithgraph.operators import clustering, people, sequence, simjoin, tables
 from kithgraph.operators.graph import components
+from kithgraph.streaming import jobs
 
 
 def test_upsert_takes_the_last_row_and_is_idempotent(spark):
@@ -102,3 +103,13 @@ def test_representatives_are_found_behind_many_near_copies(spark):
     assert len(kept) == 7
     got = {(r.cluster_id, r["rank"]): r.face_id for r in clustering.select_representatives(faces).collect()}
     assert got == {(1, n): i for n, i in enumerate(kept)} | {(2, 0): 100}
+
+
+def test_duplicates_go_over_several_batches_in_any_order_of_time(spark, tmp_path):
+    path = str(tmp_path / "events")
+    for hour in (5, 1, 9, 0, 3):
+        own = spark.createDataFrame([(10 * hour + i, f"2024-01-01 0{hour}:{10 * i}:00") for i in range(5)] + [(90, f"2024-01-01 0{hour}:59:00"), (None, None)], "event_id long, ts string")
+        own.coalesce(1).write.mode("append").parquet(path)
+    events = jobs.source(spark, path, 1).select("event_id")
+    got = [r.event_id for r in jobs.dedup_stream(spark, events, "event_id").collect()]
+    assert sorted(got, key=str) == sorted({10 * h + i for h in (5, 1, 9, 0, 3) for i in range(5)} | {None}, key=str)
