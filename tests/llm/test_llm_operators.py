@@ -177,7 +177,7 @@ def test_piece_coding(spark, odd, docs):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    for texts, chunk in ((ODD, 64), (docs[:80], 512)):
+    for texts, chunk in ((ODD, 64), (docs[:80], 64), (docs, piece_coding.CHUNK)):
         df = odd if texts is ODD else spark.createDataFrame(texts, "doc_id long, text string")
         got = piece_coding.decode(piece_coding.encode(document_rows(df), path, chunk), path).collect()
         assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == Counter((i, tuple(library.encode(t or "")), t or "") for i, t in texts)
