@@ -53,8 +53,9 @@ def neighbours(hashes: str, n: int) -> Column:
 def repeated_words(triples: Column, n_words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more.
 
-    Each window's hash gives its upper bits to a number whose lower bits are the window's place, so one
-    sort brings equal windows together.
+    Each window's hash gives its lower bits to the upper part of a number whose lower part is the window's
+    place, so one sort of numbers brings equal windows together. In long texts these bits are few; so what is
+    found is only a choice of windows, which are then compared by their whole hashes.
     """
     bits = F.ceil(F.log2(n_words + F.lit(1.0))).cast("int")
     mask = F.expr("shiftleft(1L, cast(ceil(log2(n_words + 1.0D)) as int))") - 1
@@ -78,8 +79,18 @@ def repeated_words(triples: Column, n_words: Column) -> Column:
         either = F.zip_with(equal_after, equal_before, lambda a, b: F.coalesce(a, b))
         return F.sort_array(F.transform(F.filter(either, lambda x: x.isNotNull()), lambda x: x.bitwiseAND(mask)))
 
+    def equal(places: Column) -> Column:
+        """The places whose whole hashes occur twice or more."""
+        whole = F.sort_array(F.transform(places, lambda i: F.struct(F.get(triples, i.cast("int")).alias("hash"), i.alias("place"))))
+
+        def beside(ordered: Column, x: Column, i: Column) -> Column:
+            return F.coalesce(x["hash"] == F.get(ordered, i)["hash"], F.lit(False))
+
+        twice = let(whole, lambda ordered: F.filter(ordered, lambda x, i: beside(ordered, x, i - 1) | beside(ordered, x, i + 1)))
+        return F.sort_array(F.transform(twice, lambda x: x["place"]))
+
     placed = F.transform(triples, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long")))
-    counted = let(F.sort_array(placed), lambda ordered: let(flagged(ordered), covered))
+    counted = let(F.sort_array(placed), lambda ordered: let(equal(flagged(ordered)), covered))
     return F.when(F.size(F.array_distinct(triples)) == F.size(triples), F.lit(0).cast("long")).otherwise(counted)
 
 
