@@ -107,8 +107,9 @@ def level_of(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
 def build(universe: DataFrame, listed: list[str]) -> Cascade:
     """The cascade of the listed keys over the universe (key, first, second)."""
     cascade = Cascade()
-    left = universe.withColumn("listed", F.col("key").isin(listed))
-    left = left.select("key", "first", "second", "listed")
+    # Spark broadcasts the list only if it is small.
+    keys = universe.sparkSession.createDataFrame([(x, True) for x in sorted(set(listed))], "key string, listed boolean")
+    left = universe.join(keys, "key", "left").select("key", "first", "second", F.coalesce("listed", F.lit(False)).alias("listed"))
     counts = left.agg(F.count_if("listed").alias("r"), F.count("*").alias("u")).first()
     inside, n = True, counts.r
     rate = min(0.5, max(1e-9, n * math.sqrt(0.5) / max(1, counts.u - n)))
@@ -129,10 +130,10 @@ def parts(url: str = "url") -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def lookup_keys(host: str, path: str, lengths: list[int]) -> Column:
-    """Keys that a url can match, longest first."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def lookup_keys(host: str, path: str, lengths: list[int], most_labels: int) -> Column:
+    """Keys that a url can match, longest first; no rule's host has more than ``most_labels`` labels."""
+    labels = F.col("labels")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, most_labels), "."))
     fits = F.filter(F.array(*[F.lit(n) for n in sorted(lengths, reverse=True)]), lambda n: F.length(path) >= n)
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fits, lambda n: F.concat(s, F.col(path).substr(F.lit(1), n)))))
     longest = F.array_sort(keys, lambda a, b: F.length(b) - F.length(a))
@@ -144,7 +145,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     host, path = parts()
     lengths = sorted({len(rule) - rule.index("/") for rule, _ in rules})
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("keys", lookup_keys("host", "path", lengths))
+    most = max((rule[: rule.index("/")].count(".") + 1 for rule, _ in rules), default=1)
+    end = F.split(F.substring_index("host", ".", -most), r"\.")
+    urls = urls.withColumn("labels", end).withColumn("keys", lookup_keys("host", "path", lengths, most)).drop("labels")
     keys = urls.select(F.explode("keys").alias("key")).distinct()
     universe = materialize(keys.select("key", *(h.alias(n) for h, n in zip(hashes("key"), ("first", "second"), strict=True))), "keys")
     cascades = {verdict: build(universe, [r for r, v in rules if v == verdict]) for verdict in ("block", "allow")}
