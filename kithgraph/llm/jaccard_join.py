@@ -1,10 +1,12 @@
 """Self-join of documents on the Jaccard similarity of their word n-gram sets.
 
-The join follows vertical partitioning. All n-grams have one global order: rarest first, then by hash. The
-hash range is cut into fragments; each fragment counts in how many different sets its n-grams occur and
-drops those of a single set, which can't be shared. Sets whose rare n-grams alone forbid a link stop there.
-The others meet at the n-grams of their prefixes, under the positional bound, and a pair's overlap is
-counted fragment by fragment and summed.
+The join follows vertical partitioning. All n-grams have one global order: rarest first, then by hash. For
+that, n-grams are dealt by hash to tasks, which count in how many different sets each occurs and drop those of
+a single set, which can't be shared. N-grams that a bounded sample shows in very many sets are not dealt to one
+task but stay spread over the sets' own parts; they come last in the order. Sets whose rare n-grams alone
+forbid a link stop there. The others meet at the n-grams of their prefixes, under the positional bound. The
+global order is cut into fragments, a pair's overlap is counted in each fragment apart, and the counts are
+summed per pair.
 
 Equal sets are one node. Pairs inside a component that is already connected need no check, so large groups
 of near copies cost one pair a member: rounds pair each node with one leader of another component, and an
@@ -12,8 +14,8 @@ exact join of what is left over components closes the gap. No cap is set on part
 
 Defined results: documents without words (null and empty texts too) have an empty set and link with nothing;
 their component is their own doc_id, null if that is null. Null doc_ids never are a component's id unless
-all are. Repeated rows are equal sets. An empty table gives no rows. Extra columns are ignored. Sets and
-n-grams are told apart by 64-bit hashes.
+all are. Repeated rows are equal sets. An empty table gives no rows. Extra columns are ignored. Sets are
+told apart by 64-bit hashes, n-grams by 48 bits and their task's number.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,11 +37,18 @@ WORDS = 5
 PERCENT = 80
 #: N-grams that a fragment holds on average; a task sorts one fragment.
 FRAGMENT_GRAMS = 1 << 21
-LEAST_FRAGMENTS = 64
+LEAST_FRAGMENTS, MOST_BITS = 64, 24
 #: Leaders that a set is compared with in a round, and rounds before the exact join takes what is left.
 TRIES, ROUNDS = 3, 8
-#: Pieces of the hash range whose overlaps are counted apart, as a power of two.
-OVERLAP_BITS = 3
+#: Where the global order is cut: frequencies at which a fragment begins, and fragments of equal parts of the hash range there.
+CUTS = ((2, 4), (3, 2), (4, 1), (8, 1), (64, 1))
+PIECES = sum(parts for _, parts in CUTS)
+#: N-grams of the sample in which common ones are looked for, and the least number of sets that makes one common.
+SAMPLE_GRAMS, COMMON = 1 << 23, 32
+#: Frequency of a common n-gram, and the greatest that is told apart.
+MOST = 65535
+#: The largest components, whose rows meet their component by a broadcast.
+LARGEST = 4096
 
 
 def gram_sets(batch_column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,7 +75,7 @@ def set_node(grams: np.ndarray) -> int:
 
 
 def profile(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and node (the set's hash; null for the empty set) of each row."""
+    """doc_id, text_key, n_shingles and node (the set's hash; null for the empty set) of each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,9 +83,34 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
             for row, grams in gram_sets(batch.column(1), n):
                 if len(grams):
                     sizes[row], nodes[row] = len(grams), set_node(grams)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "text_key", "n_shingles", "node"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n_shingles long, node long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(scan, "doc_id long, text_key long, n_shingles long, node long")
+
+
+def common_grams(docs: DataFrame, n: int, total: int) -> np.ndarray:
+    """The sorted n-grams that at least COMMON sets of a sample hold: SAMPLE_GRAMS / COMMON at most, whatever the corpus.
+
+    They only decide where an n-gram is counted and that it comes last in the order; any choice gives the same links.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held = []
+        for batch in batches:
+            for _, grams in gram_sets(batch.column(0), n):
+                if len(grams) and (node := set_node(grams)) not in seen:
+                    seen.add(node)
+                    held.append(grams)
+        if held:
+            grams, times = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(times)], names=["gram", "n"])
+
+    share = max(1, -(-total // SAMPLE_GRAMS))
+    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
+    found = sample.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+    return np.sort(np.asarray(found.select("gram").toArrow().column(0).combine_chunks()).view(np.uint64))
 
 
 PACKED = "nodes binary, sizes binary, counts binary, grams binary, often binary"
@@ -114,20 +149,23 @@ def unpacked(group: pa.Table, short: bool, often: str = "<u2") -> tuple[np.ndarr
     return nodes, sizes, counts, grams.view("<u8").ravel(), np.zeros(0, "<u2")
 
 
-def fragments(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """Every set's n-grams dealt to 2**bits fragments of the hash range; a task hands a set on once."""
+def fragments(docs: DataFrame, n: int, bits: int, common) -> DataFrame:
+    """Every set's n-grams dealt to 2**bits parts of the hash range, common ones by set; a task hands a set on once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             held, size = [], 0
 
-            def out(held: list) -> pa.RecordBatch:
+            def out(held: list) -> Iterator[pa.RecordBatch]:
                 lengths = [len(x) for _, x in held]
                 nodes = np.repeat(np.array([x for x, _ in held], np.int64), lengths)
-                grams = np.concatenate([x for _, x in held])
-                keys = (grams >> np.uint64(64 - bits)).astype(np.uint16)
-                return packed("fragment", keys, nodes, np.repeat(lengths, lengths), grams, None)
+                grams, sizes = np.concatenate([x for _, x in held]), np.repeat(lengths, lengths)
+                known = common.value
+                often = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams if len(known) else np.zeros(len(grams), dtype=bool)
+                for own, route in ((~often, grams), (often, ts.mix(nodes.view(np.uint64)))):
+                    keys = (route[own] >> np.uint64(64 - bits)).astype(np.int32)
+                    yield packed("fragment", keys, nodes[own], sizes[own], grams[own], None if route is grams else np.full(len(keys), MOST, "<u2"))
 
             for _, grams in gram_sets(batch.column(0), n):
                 node = set_node(grams)
@@ -138,10 +176,10 @@ def fragments(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 held.append((node, grams))
                 size += len(grams)
                 if size > 1_000_000:
-                    yield out(held)
+                    yield from out(held)
                     held, size = [], 0
             if held:
-                yield out(held)
+                yield from out(held)
 
     return docs.select("text").mapInArrow(scan, f"fragment int, {PACKED}")
 
@@ -149,14 +187,18 @@ def fragments(docs: DataFrame, n: int, bits: int) -> DataFrame:
 def shared_grams(dealt: DataFrame, bits: int, buckets: int) -> DataFrame:
     """The n-grams of each fragment that occur in several sets, dealt by set, with their frequencies."""
 
-    def count(group: pa.Table) -> pa.Table:
-        fragment = group.column("fragment")[0].as_py()
-        nodes, sizes, counts, grams, _ = unpacked(group, True)
+    def first_sending(nodes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The entries of the first task that handed on a set; others sent the same."""
         _, first = np.unique(nodes, return_index=True)
-        # A set that several tasks handed on counts once.
         once = np.zeros(len(nodes), dtype=bool)
         once[first] = True
-        keep = np.repeat(once, counts)
+        return np.repeat(once, counts)
+
+    def count(group: pa.Table) -> pa.Table:
+        fragment = group.column("fragment")[0].as_py()
+        by_set = pa.compute.greater(pa.compute.binary_length(group.column("often")), 0)
+        nodes, sizes, counts, grams, _ = unpacked(group.filter(pa.compute.invert(by_set)), True)
+        keep = first_sending(nodes, counts)
         grams, owner = grams[keep], np.repeat(np.arange(len(nodes)), counts)[keep]
         order = np.argsort(grams, kind="stable")
         grams, owner = grams[order], owner[order]
@@ -164,7 +206,12 @@ def shared_grams(dealt: DataFrame, bits: int, buckets: int) -> DataFrame:
         runs = np.diff(np.append(edges, len(grams)))
         often = np.repeat(runs, runs)
         keep = often > 1
-        grams, owner, often = grams[keep] | np.uint64(fragment << (64 - bits)), owner[keep], np.minimum(often[keep], 65535).astype("<u2")
+        grams, owner, often = grams[keep] | np.uint64(fragment << (64 - bits)), owner[keep], np.minimum(often[keep], MOST - 1).astype("<u2")
+        more_nodes, more_sizes, counts, more_grams, most = unpacked(group.filter(by_set), False)
+        keep = first_sending(more_nodes, counts)
+        owner = np.append(owner, np.repeat(np.arange(len(more_nodes)), counts)[keep] + len(nodes))
+        nodes, sizes = np.append(nodes, more_nodes), np.append(sizes, more_sizes)
+        grams, often = np.append(grams, shortened(more_grams[keep], bits)), np.append(often, most[keep])
         order = np.argsort(owner, kind="stable")
         grams, owner, often = grams[order], owner[order], often[order]
         keys = (nodes[owner] % buckets).astype(np.int32)
@@ -173,29 +220,46 @@ def shared_grams(dealt: DataFrame, bits: int, buckets: int) -> DataFrame:
     return dealt.groupBy("fragment").applyInArrow(count, f"bucket int, {PACKED}")
 
 
+def shortened(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The bits by which n-grams are told apart: those of the task's number and the lower 48."""
+    return grams & np.uint64((((1 << bits) - 1) << (64 - bits)) | ((1 << 48) - 1))
+
+
 def prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100.0) + 1
 
 
 def candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """node, size, alone (n-grams of no other set) and shared n-grams in the global order, for sets that may link."""
+    """node, size, alone (n-grams of no other set) and shared n-grams, cut along the global order, for sets that may link."""
 
     def gather(group: pa.Table) -> pa.Table:
         nodes, sizes, counts, grams, often = unpacked(group, False)
         owner = np.repeat(nodes, counts)
         size = np.repeat(sizes, counts)
         order = np.lexsort((grams, often, owner))
-        owner, size, grams = owner[order], size[order], grams[order]
+        owner, size, grams, often = owner[order], size[order], grams[order], often[order]
         edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-        ends = np.append(edges[1:], len(owner)) if len(owner) else edges
-        n, alone = size[edges], size[edges] - (ends - edges)
+        runs = np.diff(np.append(edges, len(owner)))
+        n, alone = size[edges], size[edges] - runs
         keep = alone < n - -(-n * percent // 100) + 1
-        lists = [grams[a:b].view(np.int64) for a, b in zip(edges[keep], ends[keep], strict=True)]
-        return pa.table(
-            {"node": pa.array(owner[edges][keep]), "size": pa.array(n[keep]), "alone": pa.array(alone[keep]), "grams": pa.array(lists, pa.list_(pa.int64()))}
-        )
+        own = np.repeat(keep, runs)
+        key = np.repeat(np.arange(keep.sum()) * PIECES, runs[keep]) + fragment_of(often[own], grams[own])
+        inner = np.searchsorted(key, np.arange(keep.sum() * PIECES + 1))
+        lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(grams[own].view(np.int64)))
+        pieces = pa.ListArray.from_arrays(pa.array(np.arange(keep.sum() + 1) * PIECES, pa.int32()), lists)
+        return pa.table({"node": pa.array(owner[edges][keep]), "size": pa.array(n[keep]), "alone": pa.array(alone[keep]), "pieces": pieces})
+
+    return shared.groupBy("bucket").applyInArrow(gather, "node long, size long, alone long, pieces array<array<long>>")
+
 
-    return shared.groupBy("bucket").applyInArrow(gather, "node long, size long, alone long, grams array<long>")
+def fragment_of(often: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The fragment of the global order (frequency, then hash) in which each n-gram lies; it never falls along the order."""
+    out, before = np.zeros(len(grams), np.int64), 0
+    for begin, parts in CUTS:
+        here = often >= begin
+        out[here] = before + (grams[here] >> np.uint64(32)) * np.uint64(parts) // np.uint64(1 << 32)
+        before += parts
+    return out
 
 
 def can_link(a: str, b: str, percent: int) -> Column:
@@ -206,38 +270,55 @@ def can_link(a: str, b: str, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps counted by fragment and summed per pair."""
-    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit((1 << OVERLAP_BITS) - 1)), lambda i: F.struct(i.alias("fragment"), F.filter("grams", lambda g: F.shiftrightunsigned(g, 64 - OVERLAP_BITS) == i).alias("grams"))))
-    pieces = sets.select("node", "size", cut.alias("x")).select("node", "size", "x.fragment", "x.grams").filter(F.size("grams") > 0)
+    """The labels (a, b) of the pairs of sets that link: overlaps counted by fragment and summed per pair."""
+    pieces = sets.select("node", "size", F.posexplode("pieces").alias("fragment", "grams")).filter(F.size("grams") > 0)
     left = pieces.select(F.col("node").alias("a"), F.col("size").alias("size_a"), "fragment", F.col("grams").alias("grams_a"))
     right = pieces.select(F.col("node").alias("b"), F.col("size").alias("size_b"), "fragment", F.col("grams").alias("grams_b"))
     both = pairs.join(left, "a").join(right, ["b", "fragment"])
-    total = both.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("grams_a", "grams_b"))).alias("overlap"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-    return total.filter(F.col("overlap") * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent).select("a", "b")
+    first = [F.first(name).alias(name) for name in ("size_a", "size_b", "label_a", "label_b")]
+    total = both.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("grams_a", "grams_b"))).alias("overlap"), *first)
+    linked = total.filter(F.col("overlap") * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent)
+    return linked.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+
+
+def largest_labels(labels: DataFrame) -> DataFrame:
+    """label, members of the largest components, LARGEST rows at most."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members")).filter("members > 1")
+    return materialize(sizes.orderBy(F.col("members").desc(), "label").limit(LARGEST), "largest")
+
+
+def with_values(rows: DataFrame, values: DataFrame, largest: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with values by label. The largest components' rows stay where they are and get theirs by a broadcast."""
+    crowd = F.broadcast(largest.select("label"))
+    hot = rows.join(crowd, "label", "left_semi").join(F.broadcast(values.join(crowd, "label", "left_semi")), "label", how)
+    return hot.unionByName(rows.join(crowd, "label", "left_anti").join(values, "label", how))
 
 
 def linked(sets: DataFrame, percent: int) -> DataFrame:
     """node, label for every candidate set: its component among all links."""
     sets = materialize(sets, "sets")
     prefix = materialize(
-        sets.select("node", "size", "alone", F.posexplode(F.slice("grams", F.lit(1), (prefix_length(F.col("size"), percent) - F.col("alone")).cast("int"))).alias("i", "gram"))
+        sets.select("node", "size", "alone", F.posexplode(F.slice(F.flatten("pieces"), F.lit(1), (prefix_length(F.col("size"), percent) - F.col("alone")).cast("int"))).alias("i", "gram"))
         .select("gram", "node", "size", "alone", (F.col("alone") + F.col("i")).alias("place")),
         "prefix",
     )
     labels = sets.select("node", F.col("node").alias("label"))
     rounds = 0
     while True:
-        sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
-        ranked = labels.join(sizes, "label").select("node", "label", "members")
-        placed = prefix.join(ranked, "node")
+        if rounds:
+            # How large a component is only decides who leads; beyond the largest, all count alike.
+            labels_now = labels.join(F.broadcast(largest_labels(labels)), "label", "left").select("node", "label", F.coalesce("members", F.lit(1)).alias("members"))
+            placed = prefix.join(labels_now, "node")
+        else:
+            placed = prefix.withColumn("label", F.col("node")).withColumn("members", F.lit(1).cast("long"))
         # First the set with the fewest n-grams of its own leads, later any set of the largest component.
         chance = F.xxhash64("node", "gram", F.lit(rounds))
         order = F.struct(-F.col("members"), (F.col("alone") if rounds == 0 else chance).alias("turn"), chance.alias("chance"), "node", "size", "place", "alone", "label")
         leaders = placed.groupBy("gram").agg(F.min(order).alias("o")).select("gram", "o.label", "o.node", "o.size", "o.place", "o.alone")
         met = placed.alias("x").join(leaders.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & can_link("x", "y", percent))
-        votes = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("n"), F.min("y.alone").alias("alone"))
+        votes = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("n"), F.min("y.alone").alias("alone"), F.first("x.label").alias("label_a"), F.first("y.label").alias("label_b"))
         best = W.partitionBy("a").orderBy(F.col("n").desc() if rounds == 0 else F.col("alone"), "alone", "b")
-        pairs = votes.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TRIES).select("a", "b")
+        pairs = votes.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TRIES).select("a", "b", "label_a", "label_b")
         new, labels = joined(verified(pairs, sets, percent), labels)
         rounds += 1
         if not new or rounds == ROUNDS:
@@ -249,32 +330,37 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     rest = placed.join(main, "gram")
     x, y = rest.filter("label <> main").alias("x"), rest.alias("y")
     different = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y, different & can_link("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = x.join(y, different & can_link("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("label_a"), F.col("y.label").alias("label_b")).distinct()
     return joined(verified(pairs, sets, percent), labels)[1]
 
 
 def joined(links: DataFrame, labels: DataFrame) -> tuple[bool, DataFrame]:
-    """Whether there were links, and the labels with the links' components merged."""
-    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("from")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("to")), "b")
-    edges = materialize(ends.select(F.col("from").alias("a"), F.col("to").alias("b")).distinct(), "links")
+    """Whether there were links (a, b) of labels, and the labels with the links' components merged."""
+    edges = materialize(links.distinct(), "links")
     if edges.isEmpty():
         return False, labels
-    merged = components(edges)
-    moved = labels.join(merged.select(F.col("node").alias("old"), F.col("label").alias("new")), F.col("label") == F.col("old"), "left")
+    merged = components(edges).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    moved = with_values(labels, merged, largest_labels(labels), "left")
     return True, materialize(moved.select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
-def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
+def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, labelled: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs; if ``labelled``, also text_key and label.
+
+    label tells components apart where doc_ids can't (null or repeated ones); it is null for the empty set.
+    """
     rows = materialize(profile(docs, n), "profile")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = max(LEAST_FRAGMENTS.bit_length() - 1, min(16, int(total // FRAGMENT_GRAMS).bit_length()))
-    shared = shared_grams(fragments(docs, n, bits), bits, 1 << bits)
+    bits = max(LEAST_FRAGMENTS.bit_length() - 1, min(MOST_BITS, int(total // FRAGMENT_GRAMS).bit_length()))
+    common = docs.sparkSession.sparkContext.broadcast(common_grams(docs, n, total))
+    shared = shared_grams(fragments(docs, n, bits, common), bits, 1 << bits)
     labels = linked(candidates(shared, percent), percent).filter("label <> node")
-    labelled = rows.filter("node IS NOT NULL").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    grouped = labelled.join(smallest, "label").select("doc_id", "n_shingles", "component_id")
-    return grouped.unionByName(rows.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    found = rows.filter("node IS NOT NULL").join(labels, "node", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("label", "node").alias("label"))
+    found = materialize(found, "labelled")
+    smallest = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    alone = rows.filter("node IS NULL").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
+    out = with_values(found, smallest, largest_labels(found)).unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id", *(("text_key", "label") if labelled else ()))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,20 @@ def test_jaccard_join(spark, odd, docs):
     assert Counter(map(tuple, jaccard_join.op4_ngram_jaccard_join(spark, DATA).collect())) == brute.near_copies(docs)
 
 
+def test_jaccard_join_with_common_grams_by_set(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COMMON", 2)
+    monkeypatch.setattr(jaccard_join, "LARGEST", 3)
+    assert Counter(map(tuple, jaccard_join.op4_ngram_jaccard_join(spark, DATA).collect())) == brute.near_copies(docs)
+
+
+def test_order_is_cut_along_itself():
+    import numpy as np
+
+    often, grams = np.repeat(np.array([2, 3, 4, 9, 70, 65535]), 50), np.tile(np.linspace(0, 2**64 - 2**12, 50).astype(np.uint64), 6)
+    found = jaccard_join.fragment_of(often, grams)
+    assert (np.diff(found) >= 0).all() and found.min() == 0 and found.max() == jaccard_join.PIECES - 1
+
+
 def test_substring_dedup(spark, odd, docs):
     cut = "doc_id", "n_words", "n_removed", "sha2(cast(kept as binary), 256)"
     assert Counter(map(tuple, substring_dedup.remove_passages(odd).selectExpr(*cut).collect())) == brute.passages(ODD)
@@ -135,6 +149,60 @@ def test_quality_rules(spark, odd):
         assert not (r.base_failed and r.kept)
 
 
+def test_repeated_words_compares_whole_hashes(spark):
+    from pyspark.sql import functions as F
+
+    apart = [5, 5 + (1 << 62), 9, 9, 11, 12, 13, 5 - (1 << 62), 12]
+    got = spark.createDataFrame([(apart,), ([],), ([5, 5 + (1 << 62)],)], "triples array<long>")
+    got = got.withColumn("n_words", F.size("triples").cast("long") + 2).select(quality_rules.repeated_words(F.col("triples"), F.col("n_words"))).collect()
+    # Windows 2 and 3 are equal, and 5 and 8.
+    assert [r[0] for r in got] == [len({*range(2, 6), *range(5, 8), *range(8, 11)}), 0, 0]
+
+
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_quality_score(spark, docs, most, monkeypatch):
+    import math
+    import struct
+
+    import xxhash
+
+    def long_hash(x: bytes, seed: int) -> int:
+        return int.from_bytes(xxhash.xxh64(x, seed=seed).digest(), "big")
+
+    def buckets(text):
+        own = [long_hash(w.encode(), 42) for w in brute.words(text)]
+        pairs = [long_hash(struct.pack("<Q", b), long_hash(struct.pack("<Q", a), 42)) for a, b in zip(own, own[1:], strict=False)]
+        return [(h - (1 << 64) if h >> 63 else h) % quality_rules.BUCKETS for h in own + pairs]
+
+    docs = docs[:120]
+    labels = [(i, int(i % 3 > 0), None if i % 5 else int(i % 2)) for i, _ in docs[:60]]
+    trusted = [i for i, good, toxic in labels if good and not toxic]
+    trusted.sort(key=lambda i: struct.unpack("<q", struct.pack("<Q", long_hash(struct.pack("<q", i), 42))))
+    trusted = set(trusted[:most])
+    raw, good = Counter(range(quality_rules.BUCKETS)), Counter()
+    for i, text in docs:
+        raw.update(buckets(text))
+        if i in trusted:
+            good.update(buckets(text))
+    prior, total = quality_rules.PRIOR * quality_rules.BUCKETS, sum(good.values())
+    weight = [math.log((good[b] + prior * (p := raw[b] / sum(raw.values()))) / (total + prior) / p) for b in range(quality_rules.BUCKETS)]
+    monkeypatch.setattr(quality_rules.trusted_ids, "__defaults__", (most,))
+    got = quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    texts = dict(docs)
+    for r in got:
+        own = buckets(texts[r.doc_id])
+        want = sum(weight[b] for b in own) / max(1, len(own))
+        assert abs(r.score - want) < 1e-9
+        assert r.kept == (not r.base_failed and r.score >= quality_rules.THRESHOLD)
+    assert len({r.kept for r in got if not r.base_failed}) == 2 or most == 3
+
+
+def test_url_filters_reads_only_as_many_labels_as_rules_have(spark):
+    hosts = ["a." * 100_000 + "net", "a." * 100_000 + "example.net", "x" * 100_000]
+    df = spark.createDataFrame([(i, f"http://{h}/en/") for i, h in enumerate(hosts)], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in url_filter.judge(df).orderBy("page_id").collect()] == [("net/", "block"), ("example.net/en/", "allow"), (None, "allow")]
+
+
 def test_url_filters(spark):
     urls = [(1, None), (None, "http://A.NET/x"), (2, "x"), (3, "://net"), (4, "http://net/en/"), (5, "https://example.net/en/"), (6, "HTTP://a.Example.COM/de/#"), (7, "http://org/fr/?x"), (8, "http://borg/fr/"), (8, "http://borg/fr/")]
     df = spark.createDataFrame([(*u, "x", "y") for u in urls], "page_id long, url string, host string, keys string")
@@ -209,6 +277,25 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.best_fit_packing(spark, frame, DATA).collect()} == {i for i, _ in left}
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    long = " ".join(f"w{i}" for i in range(80))
+    near = long.replace("w79", "other")
+    data = [(1, long), (1, long), (2, long), (3, None), (3, None), (None, near), (None, near), (4, ""), (5, "a b")]
+    docs = spark.createDataFrame([(i, t, "xx", None, len(t or ""), "x") for i, t in data], schema)
+    once = corpus_pipeline.drop_copies(spark, docs, DATA)
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == Counter([(1, long), (3, None), (None, near), (5, "a b")])
+    both = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert Counter((r.doc_id, r.text) for r in both.collect()) == Counter([(1, long), (3, None), (3, None), (4, ""), (5, "a b")])
+    own = corpus_pipeline.drop_near_copies(spark, docs.filter("doc_id IS NULL"), DATA)
+    assert [(r.doc_id, r.text) for r in own.collect()] == [(None, near)]
+    left = corpus_pipeline.drop_passages(spark, both, DATA)
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(1, long), (3, None), (3, None), (4, ""), (5, "a b")])
+    assert corpus_pipeline.best_fit_packing(spark, left, DATA).count() == 5
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
 def test_lm_scoring_learns_more_contexts_than_any_fixed_table(spark):
     import random
 
