@@ -1,4 +1,7 @@
-"""A corpus from raw documents to packed sequences: each stage works on all that the one before kept."""
+"""A corpus from raw documents to packed sequences: each stage works on all that the one before kept.
+
+Stages read the columns of ``documents`` and ignore others; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -16,25 +19,43 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CARRIED = ("lang", "source", "n_chars")
 
 
+def one_of_each(docs: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of the keys: the longest text, then the greatest row. Tasks combine before they send."""
+    order = F.struct(F.coalesce(F.length("text"), F.lit(-1)).alias("points"), *COLUMNS)
+    return docs.groupBy(*keys).agg(F.max(order).alias("row")).select(*(F.col(f"row.{name}").alias(name) for name in COLUMNS))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts go; repeated rows stay or go alike."""
     return judge(docs, table(spark, sf_dir, "labels"), carry=CARRIED).filter("kept").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The owner of each group of equal texts."""
-    return exact_dedup(docs, carry=("text", *CARRIED)).filter("kept").select(*COLUMNS)
+    """The owner of each group of equal texts; one row where it is repeated. Null and empty texts are one group."""
+    kept = exact_dedup(docs, carry=("text", *CARRIED)).filter("kept")
+    return one_of_each(kept, "doc_id", "text_sha256")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of linked documents."""
-    found = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = found.select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stays, docs.doc_id.eqNullSafe(stays.stays), "left_semi").select(*COLUMNS)
+    """One document of each group of linked ones: the smallest doc_id, and one row where it is repeated.
+
+    Documents without words are linked with nothing and all stay, repeated rows too.
+    """
+    found = jaccard_components(docs, labelled=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key"))
+    stays = found.filter("label IS NOT NULL").groupBy("label").agg(first.alias("o")).select(F.col("o.doc_id").alias("id"), F.col("o.text_key").alias("key"))
+    alone = found.filter("label IS NULL").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    same = (F.col("text_key") == F.col("key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("id"))
+    return one_of_each(rows.join(stays, same, "left_semi"), "doc_id", "text_key").unionByName(rows.join(alone, same, "left_semi").select(*COLUMNS))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; those with repeated passages keep their other words, joined by one space."""
+    """All documents; those with repeated passages keep their other words, joined by one space.
+
+    Null, empty and short texts stay as they are. Repeated rows of long texts remove each other's words, as any
+    two documents do; the stages before leave none.
+    """
     found = remove_passages(docs, carry=CARRIED)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     size = docs.schema["n_chars"].dataType
@@ -42,7 +63,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in token sequences."""
+    """The pieces of all documents with their places in token sequences; a null or empty text packs as its end token."""
     return pack(docs)
 
 
