@@ -87,3 +87,74 @@ def unigram(docs: list[tuple]) -> dict:
     c = Counter(t for tokens, ok in zip(own, train, strict=True) if ok for t in tokens)
     n, v = sum(c.values()), len(c)
     return [(len(t), sum(c[x] > 0 for x in t), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t)) for t in own]
+
+
+def mixed(rows: list[tuple], hashes: list[list[int]], lm) -> list[float]:
+    """log10 scores by plain counting; rows are (node, train), hashes each row's token hashes, the end token last."""
+    import math
+
+    end, mask, bits = int(lm.END), int(lm.LOW), lm.CODE_BITS
+    order = sorted(range(len(rows)), key=lambda i: rows[i][0])
+    tokens, times, codes, nodes = [], Counter(), Counter(), Counter()
+    for i in order:
+        before = [end, end, end]
+        for h in hashes[i]:
+            reduced = [before[0] & mask, *((x >> 24) & (lm.CODES - 1) for x in before[1:])]
+            a, b, c = (int(x[0]) for x in lm.longer([lm.np.array([x], lm.np.uint64) for x in reduced]))
+            route = b if before[0] == end else before[0]
+            tokens.append((i, rows[i][1], h, h % lm.CODES, (a, b, c), before[0] == end, ((route >> 40) * 4) >> 24))
+            before = [h, *before[:2]]
+            times[h] += rows[i][1]
+            codes[h % lm.CODES] += rows[i][1]
+    visits = Counter()
+    for _, train, _, code, found, _, _ in tokens:
+        for depth in range(bits + 1):
+            nodes[depth, code >> (bits - depth)] += train
+            for x in enumerate(found):
+                visits[x, depth, code >> (bits - depth)] += train
+    total = [0.0] * len(rows)
+    for i, train, h, code, *_ in tokens:
+        total[i] += math.log10(max(times[h] - train, 1)) - math.log10(codes[code] - train + 1)
+    squash = lambda x: 1 / (1 + math.exp(-x))
+    for fragment in range(4):
+        own = [t for t in tokens if t[6] == fragment]
+        for depth in range(bits):
+            w = {g: [0.4] * 4 for g in range(8)}
+            ones, seen_at = [4 * squash(-8 + x / 2) for x in range(33)], [4.0] * 33
+            cases = []
+            for i, train, _, code, found, first, _ in own:
+                bit, x, gate = code >> (bits - 1 - depth) & 1, [0.0] * 4, 0
+                same, every = nodes[depth + 1, code >> (bits - 1 - depth)] - train, nodes[depth, code >> (bits - depth)] - train
+                x[0] = math.log((same + 0.4) / (every - same + 0.4)) * (2 * bit - 1)
+                for k, context in enumerate(enumerate(found)):
+                    every = visits[context, depth, code >> (bits - depth)] - train
+                    if every > 0 and not (k == 0 and first and depth >= lm.HOT_BITS):
+                        same = visits[context, depth + 1, code >> (bits - 1 - depth)] - train
+                        x[k + 1], gate = math.log((same + 0.4) / (every - same + 0.4)) * (2 * bit - 1), gate | 1 << k
+                cases.append((i, train, bit, x, gate, same_rest(nodes, code, depth, train, bits)))
+            learn, low, step = [c for c in cases if c[1] and c[4]], 0, lm.FIRST_STEP
+            dot = lambda x, g: max(-8.0, min(8.0, sum(a * b for a, b in zip(x, w[g], strict=True))))
+            while low < len(learn):
+                slope, bend = defaultdict(lambda: [0.0] * 4), Counter()
+                for _, _, bit, x, g, _ in learn[low : low + step]:
+                    y = dot(x, g)
+                    ones[round((y + 8) * 2)] += bit
+                    seen_at[round((y + 8) * 2)] += 1
+                    for k in range(4):
+                        slope[g][k] += (bit - squash(y)) * x[k]
+                    bend[g] += sum(v * v for v in x)
+                for g, s in slope.items():
+                    w[g] = [a + b / (bend[g] / 4 + 8) for a, b in zip(w[g], s, strict=True)]
+                low, step = low + step, min(lm.LAST_STEP, step + step // 4)
+            for i, _, bit, x, g, plain in cases:
+                if g:
+                    y = dot(x, g)
+                    p = (squash(y) + ones[round((y + 8) * 2)] / seen_at[round((y + 8) * 2)]) / 2
+                    plain = p if bit else 1 - p
+                total[i] += math.log10(plain)
+    return total
+
+
+def same_rest(nodes: Counter, code: int, depth: int, train: int, bits: int) -> float:
+    below, above = nodes[depth + 1, code >> (bits - 1 - depth)] - train, nodes[depth, code >> (bits - depth)] - train
+    return (max(below, 0) + 0.4) / (max(above, 0) + 0.8)

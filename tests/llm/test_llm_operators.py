@@ -240,6 +240,23 @@ def test_lm_scoring(spark, odd, docs):
         assert all(r.score <= 0 for r in got)
 
 
+def test_lm_scoring_is_what_plain_counting_gives(spark, docs):
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    few = [(i, t[:1500] if t else t) for i, t in docs[:60]]
+    df = spark.createDataFrame(few, "doc_id long, text string")
+    node = {r.doc_id: r.node for r in df.select("doc_id", F.xxhash64("doc_id", "text").alias("node")).collect()}
+    rows, hashes = [(node[i], int(zlib.crc32(str(i).encode()) % 7 != 2)) for i, _ in few], []
+    for _, tokens, bounds in lm_scoring.token_slices(pa.array([t for _, t in few])):
+        hashes += [x.tolist() for x in np.split(tokens, bounds[1:-1])]
+    want = dict(zip([i for i, _ in few], brute.mixed(rows, hashes, lm_scoring), strict=True))
+    for r in lm_scoring.score(df).collect():
+        # Single precision, and a place in the table may be rounded to its neighbour.
+        assert abs(r.score - want[r.doc_id]) <= 2e-3 * abs(want[r.doc_id])
+
+
 def test_piece_coding(spark, odd, docs):
     import sentencepiece
 
