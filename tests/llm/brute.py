@@ -132,26 +132,27 @@ def mixed(rows: list[tuple], hashes: list[list[int]], lm) -> list[float]:
                         same = visits[context, depth + 1, code >> (bits - 1 - depth)] - train
                         x[k + 1], gate = math.log((same + 0.4) / (every - same + 0.4)) * (2 * bit - 1), gate | 1 << k
                 cases.append((i, train, bit, x, gate, same_rest(nodes, code, depth, train, bits)))
-            learn, low, step = [c for c in cases if c[1] and c[4]], 0, lm.FIRST_STEP
-            dot = lambda x, g: max(-8.0, min(8.0, sum(a * b for a, b in zip(x, w[g], strict=True))))
-            while low < len(learn):
-                slope, bend = defaultdict(lambda: [0.0] * 4), Counter()
-                for _, _, bit, x, g, _ in learn[low : low + step]:
-                    y = dot(x, g)
-                    ones[round((y + 8) * 2)] += bit
-                    seen_at[round((y + 8) * 2)] += 1
-                    for k in range(4):
-                        slope[g][k] += (bit - squash(y)) * x[k]
-                    bend[g] += sum(v * v for v in x)
+            for i, *_, g, plain in cases:
+                total[i] += 0 if g else math.log10(plain)
+            cases, low, step = [c for c in cases if c[4]], 0, lm.FIRST_STEP
+            while low < len(cases):
+                slope, bend, new = defaultdict(lambda: [0.0] * 4), Counter(), []
+                for i, train, bit, x, g, _ in cases[low : low + step]:
+                    y = max(-8.0, min(8.0, sum(a * b for a, b in zip(x, w[g], strict=True))))
+                    at = round((y + 8) * 2)
+                    p = (squash(y) + ones[at] / seen_at[at]) / 2
+                    total[i] += math.log10(p if bit else 1 - p)
+                    if train:
+                        new.append((at, bit))
+                        for k in range(4):
+                            slope[g][k] += (bit - squash(y)) * x[k]
+                        bend[g] += sum(v * v for v in x)
+                for at, bit in new:
+                    ones[at] += bit
+                    seen_at[at] += 1
                 for g, s in slope.items():
                     w[g] = [a + b / (bend[g] / 4 + 8) for a, b in zip(w[g], s, strict=True)]
                 low, step = low + step, min(lm.LAST_STEP, step + step // 4)
-            for i, _, bit, x, g, plain in cases:
-                if g:
-                    y = dot(x, g)
-                    p = (squash(y) + ones[round((y + 8) * 2)] / seen_at[round((y + 8) * 2)]) / 2
-                    plain = p if bit else 1 - p
-                total[i] += math.log10(plain)
     return total
 
 
