@@ -1,9 +1,12 @@
 """Removal of word passages that recur, found by repeated-phrase automata.
 
 A window of ``width`` words is repeated if its word sequence also starts anywhere else. Windows are routed
-by their anchors (see ``segments``); the distinct segments of a bucket of anchors confirm which windows
-recur, the maximal recurring phrases of the bucket are compiled into one Aho-Corasick automaton over word
-codes, and every segment is streamed through it to find each occurrence. All words of an occurrence go.
+by their anchors (see ``segments``), so each shard gets all text that can hold its phrases. In a shard, counts
+of windows choose the phrases: windows that always follow each other are one phrase, of which a single copy is
+compiled into the shard's Aho-Corasick automaton over word codes. All text of the shard is streamed through
+it. The automaton alone finds the places and, as it compares word by word, confirms by their number that a
+phrase recurs. All words of an occurrence go. Anchors with more text than a shard holds are split by window,
+which then is told apart by its hash (see ``crowded_spans``).
 
 Defined results: null text has no words; a document of fewer words than a window keeps them all; repeated
 rows are documents of their own, so long ones remove each other; null doc_id is kept; an empty table gives
@@ -41,35 +44,47 @@ def coded(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.cumsum([0, *map(len, ids)])
 
 
-def confirmed(codes: np.ndarray, offsets: np.ndarray, copies: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """First code and number of windows of each maximal run of windows that occur more than once."""
+def phrases(codes: np.ndarray, offsets: np.ndarray, copies: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First code and number of windows of one copy of each phrase that may recur.
+
+    Neighbouring windows belong to one phrase if neither occurs without the other, so whoever holds one of a
+    phrase's windows holds the whole phrase.
+    """
     sums = ts.prefix_sums(ts.mix(codes.astype(np.uint64)))
     lengths = np.maximum(offsets[1:] - offsets[:-1] - width + 1, 0)
     segment = np.repeat(np.arange(len(lengths)), lengths)
     at = offsets[segment] + np.arange(len(segment)) - (np.cumsum(lengths) - lengths)[segment]
-    _, which = np.unique(ts.span_hashes(sums, at, at + width), return_inverse=True)
-    often = np.bincount(which, weights=copies[segment])[which] > 1
-    own, segment = at[often], segment[often]
-    if not len(own):
-        return own, own
-    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1] + 1) | (segment[1:] != segment[:-1])))
-    return own[first], np.diff(np.append(first, len(own)))
+    _, first, which = np.unique(ts.span_hashes(sums, at, at + width), return_index=True, return_inverse=True)
+    times = np.bincount(which, weights=copies[segment])
+    chosen = np.zeros(len(at), dtype=bool)
+    chosen[first[times > 1]] = True
+    # How often each two windows stand side by side.
+    beside = np.flatnonzero(segment[1:] == segment[:-1])
+    pair, kind = np.unique(which[beside] * len(times) + which[beside + 1], return_inverse=True)
+    both = np.zeros(len(at))
+    both[beside + 1] = np.bincount(kind, weights=copies[segment[beside]], minlength=len(pair))[kind]
+    goes_on = np.zeros(len(at), dtype=bool)
+    goes_on[1:] = chosen[1:] & chosen[:-1] & (both[1:] == times[which[1:]]) & (both[1:] == times[which[:-1]])
+    begins = np.flatnonzero(chosen & ~goes_on)
+    return at[begins], np.bincount(np.cumsum(chosen & ~goes_on)[chosen] - 1, minlength=len(begins)).astype(np.int64)
 
 
 def locate(columns: dict, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes, offsets = coded(columns["body"].to_pylist())
-    text = codes.astype("<u4").tobytes().decode("utf-32-le")
-    first, count = confirmed(codes, offsets, np.asarray(columns["copies"]), width)
+    text, copies = codes.astype("<u4").tobytes().decode("utf-32-le"), np.asarray(columns["copies"])
+    first, count = phrases(codes, offsets, copies, width)
     automaton = ahocorasick.Automaton()
-    for low, n in zip(first.tolist(), count.tolist(), strict=True):
-        automaton.add_word(text[low : low + n + width - 1], n)
+    for i, (low, n) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
+        automaton.add_word(text[low : low + n + width - 1], i)
     found: list[tuple[int, int, int]] = []
     if len(automaton):
         automaton.make_automaton()
         for segment, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            found += [(segment, end - low - n - width + 2, n) for end, n in automaton.iter(text, low, high)]
-    rows = np.array(found, dtype=np.int64).reshape(-1, 3)
-    return rows[:, 0], rows[:, 1], rows[:, 2]
+            found += [(segment, end - low, i) for end, i in automaton.iter(text, low, high)]
+    segment, end, phrase = np.array(found, dtype=np.int64).reshape(-1, 3).T
+    recurs = np.bincount(phrase, weights=copies[segment], minlength=len(first))[phrase] > 1
+    segment, end, n = segment[recurs], end[recurs], count[phrase[recurs]]
+    return segment, end - n - width + 2, n
 
 
 def remove_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -95,6 +95,38 @@ def test_substring_dedup(spark, odd, docs):
     assert Counter(map(tuple, substring_dedup.op6_substring_dedup(spark, DATA).collect())) == brute.passages(docs)
 
 
+def test_the_automaton_holds_one_copy_of_each_phrase(monkeypatch):
+    import pyarrow as pa
+
+    added, plain = [], substring_dedup.ahocorasick.Automaton
+
+    class Noted:
+        def __init__(self):
+            self.own = plain()
+            self.make_automaton, self.iter = self.own.make_automaton, self.own.iter
+
+        def __len__(self):
+            return len(self.own)
+
+        def add_word(self, word, value):
+            added.append(word)
+            self.own.add_word(word, value)
+
+    monkeypatch.setattr(substring_dedup.ahocorasick, "Automaton", Noted)
+    passage = [f"p{i}" for i in range(20)]
+    bodies = [" ".join(["a", "b", *passage, "c"]), " ".join(["d", *passage, "e", "f"]), " ".join(passage[:12] + ["x"] * 12), "q r s t u v w", "q r s t u v w"]
+    found = substring_dedup.locate({"body": pa.array(bodies), "copies": pa.array([1, 1, 1, 1, 1])}, 5)
+    got = {(int(a), i) for a, b, n in zip(*found, strict=True) for i in range(b, b + n)}
+    where = {}
+    for i, body in enumerate(bodies):
+        own = body.split(" ")
+        for j in range(len(own) - 4):
+            where.setdefault(tuple(own[j : j + 5]), set()).add((i, j))
+    assert got == set().union(*(x for x in where.values() if len(x) > 1))
+    # The passage in two phrases, as one body holds its begin only; the x; the equal bodies.
+    assert len(added) == len(set(added)) == 4 and sum(map(len, added)) == (8 + 4) + (8 + 4) + 5 + 7
+
+
 def test_suffix_dedup(spark, odd, docs):
     cut = "doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)"
     assert Counter(map(tuple, suffix_dedup.remove_strings(odd).selectExpr(*cut).collect())) == brute.strings(ODD)
