@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Thresholds that results depend on.
@@ -147,6 +147,32 @@ def eye_open_points(probability: Column) -> Column:
     return F.when(probability.isNull(), 1.0).when(probability > 0.8, 2.0).when(probability > 0.5, 1.5).when(probability > 0.3, 0.5).otherwise(0.0)
 
 
+def eye_score(left: Column, right: Column, apart: Column) -> Column:
+    """Points for two landmarks, open eyes and their distance in pixels."""
+    return clamp(3 + eye_open_points(left) + eye_open_points(right) + F.when(apart > 30, 2.0).when(apart > 20, 1.5).when(apart > 10, 1.0).otherwise(0.0), 0, 10)
+
+
+def position_score(left: Column, top: Column, right: Column, bottom: Column, width: int, height: int, margin: float = 0.03) -> Column:
+    """Up to 5 points for a face in the middle; none near an edge."""
+    away = F.abs((left + right) / 2 / width - 0.5) + F.abs((top + bottom) / 2 / height - 0.5)
+    edge = (left / width < margin) | (top / height < margin) | ((width - right) / width < margin) | ((height - bottom) / height < margin)
+    return F.when(edge, 0.0).otherwise(clamp((1 - away) * 5, 0, 5))
+
+
+def usable_boxes(boxes: DataFrame, width: int, height: int, least: int = 50, padding: float = 0.25, most_clip: float = 0.20) -> DataFrame:
+    """Boxes (l, t, r, b in pixels) large enough, not too narrow and mostly inside, with their share outside, normalised sides and crop."""
+    w, h = F.col("r") - F.col("l"), F.col("b") - F.col("t")
+    fit = boxes.filter((w >= least) & (h >= least) & (w / h).between(0.5, 2))
+    inside = F.greatest(F.least("r", F.lit(width)) - F.greatest("l", F.lit(0)), F.lit(0)) * F.greatest(F.least("b", F.lit(height)) - F.greatest("t", F.lit(0)), F.lit(0))
+    clip = 1 - inside / (w * h)
+    whole = lambda c: c.cast("int")
+    return fit.filter(F.round(clip, 9) <= most_clip).select(
+        "face_id", F.round(clip, 6).cast("double").alias("clip"), F.round(clamp(F.col("l") / width, 0, 1), 6).cast("double").alias("norm_left"), F.round(clamp(F.col("r") / width, 0, 1), 6).cast("double").alias("norm_right"),
+        F.greatest(whole(F.col("l") - w * padding), F.lit(0)).alias("crop_left"), F.greatest(whole(F.col("t") - h * padding), F.lit(0)).alias("crop_top"),
+        F.least(whole(F.col("r") + w * padding), F.lit(width)).alias("crop_right"), F.least(whole(F.col("b") + h * padding), F.lit(height)).alias("crop_bottom"),
+    )
+
+
 def split_confidence(variance: Column, spread: Column, groups: Column) -> Column:
     parts = F.when(groups >= 3, 1.0).when(groups == 2, 0.7).otherwise(0.3)
     return clamp(variance - 0.05, 0, 0.15) / 0.15 * 0.4 + clamp(spread - 0.25, 0, 0.35) / 0.35 * 0.3 + parts * 0.3

@@ -58,9 +58,21 @@ def medoids(df: DataFrame, key: str, member: str, vector: str, bonus: Column | N
     For unit vectors the mean similarity to the others is (e . total - e . e) / (n - 1); a group of one is
     its own medoid. Ties go to the smaller member.
     """
+    best = F.min_by(F.struct(F.col(member).alias("member"), "score"), F.struct(-F.col("score"), F.col(member)))
+    return scored_members(df, key, vector, bonus).groupBy(key).agg(best.alias("b")).select(key, F.col("b.member").alias(member), F.col("b.score").alias("score"))
+
+
+def quality_medoids(df: DataFrame, key: str, member: str, vector: str, quality: str, eligible: Column) -> DataFrame:
+    """The eligible member with the greatest mean similarity plus half its quality share; without one, the best quality and no score."""
+    scored = scored_members(df, key, vector, F.col(quality) / 100 * 0.5)
+    order = F.struct((~eligible).alias("_out"), -F.when(eligible, F.col("score")).otherwise(F.col(quality)), F.col(member))
+    best = F.min_by(F.struct(F.col(member).alias("member"), F.when(eligible, F.col("score")).alias("score")), order)
+    return scored.groupBy(key).agg(best.alias("b")).select(key, F.col("b.member").alias(member), F.col("b.score").alias("score"))
+
+
+def scored_members(df: DataFrame, key: str, vector: str, bonus: Column | None) -> DataFrame:
+    """df with the score of each member: its mean similarity to the others of its group, plus the bonus."""
     summed = vector_sums(df, key, vector).select(key, "n", "total")
     own = total(F.zip_with(vector, "total", lambda x, y: x.cast("double") * y)) - total(F.transform(vector, lambda x: x.cast("double") * x))
     score = F.when(F.col("n") > 1, own / (F.col("n") - 1)).otherwise(1.0)
-    scored = df.join(summed, key).withColumn("score", F.round(score + (bonus if bonus is not None else F.lit(0.0)), 9))
-    best = F.min_by(F.struct(F.col(member).alias("member"), "score"), F.struct(-F.col("score"), F.col(member)))
-    return scored.groupBy(key).agg(best.alias("b")).select(key, F.col("b.member").alias(member), F.col("b.score").alias("score"))
+    return df.join(summed, key).withColumn("score", F.round(score + (bonus if bonus is not None else F.lit(0.0)), 9))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph.functions import scoring as s
 from kithgraph.functions import vectors as x
-from kithgraph.operators import simjoin
+from kithgraph.operators import matching, simjoin
 from kithgraph.operators.graph import components
 from kithgraph.operators.people import top_n
 from kithgraph.sources.storage import saved
@@ -23,19 +20,9 @@ def tightness(faces: DataFrame) -> DataFrame:
     return near.groupBy("cluster_id").agg(F.round(F.avg("sim") * 100, 6).alias("tightness"), F.count("*").alias("n"))
 
 
-def pair_similarities(faces: DataFrame) -> DataFrame:
-    """Similarities of all pairs of a cluster's rows (anchor sets are small by nature)."""
-    a, b = faces.alias("a"), faces.alias("b")
-    pairs = a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.face_id") < F.col("b.face_id")))
-    return pairs.select(F.col("a.cluster_id").alias("cluster_id"), x.dot(F.col("a.v"), F.col("b.v")).alias("sim"))
-
-
 def cluster_statistics(faces: DataFrame) -> DataFrame:
     """Spread of the similarities inside each cluster, and its acceptance threshold."""
-    out = pair_similarities(faces).groupBy("cluster_id").agg(
-        F.avg("sim").alias("mean"), F.var_pop("sim").alias("variance"), F.stddev_pop("sim").alias("stddev"), F.min("sim").alias("least"), F.max("sim").alias("most"), F.count("*").alias("samples")
-    )
-    out = out.withColumn("threshold", s.clamp(F.col("mean") - 2 * F.col("stddev"), 0.45, 0.65))
+    out = matching.cluster_spread(faces).withColumn("threshold", s.clamp(F.col("mean") - 2 * F.col("stddev"), 0.45, 0.65))
     return out.select("cluster_id", "samples", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "stddev", "least", "most", "threshold")])
 
 
@@ -99,56 +86,37 @@ def incremental_cluster(new: DataFrame, known: DataFrame, least: float = s.MATCH
     return new.select("face_id").join(best.select("face_id", "cluster_id", "sim"), "face_id", "left")
 
 
-def greedy_block(faces: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Average linkage in order of quality; a cluster takes one face of a photo."""
-    ordered = faces.sort_values(["quality_score", "face_id"], ascending=[False, True])
-    sums: list[np.ndarray] = []
-    sizes: list[int] = []
-    photos: list[set] = []
-    seeds, out = [], []
-    for face_id, photo_id, v in zip(ordered.face_id, ordered.photo_id, ordered.v, strict=True):
-        vector = np.asarray(v, dtype=np.float64)
-        sims = [float(total @ vector) / n if photo_id not in seen else -2.0 for total, n, seen in zip(sums, sizes, photos, strict=True)]
-        best = int(np.argmax(sims)) if sims else -1
-        if best >= 0 and sims[best] >= least:
-            sums[best] = sums[best] + vector
-            sizes[best] += 1
-            photos[best].add(photo_id)
-        else:
-            best = len(sums)
-            sums.append(vector)
-            sizes.append(1)
-            photos.append({photo_id})
-            seeds.append(face_id)
-        out.append((face_id, seeds[best]))
-    return pd.DataFrame(out, columns=["face_id", "cluster_id"])
-
-
 def greedy_cluster(faces: DataFrame, least: float = s.MATCH) -> DataFrame:
-    """face_id and cluster_id (its seed face), as one pass over all faces in order of quality would give.
+    """face_id and cluster_id (its leader), as one pass over all faces in order of quality gives; see ``matching.leaders``.
 
-    Average linkage from a threshold needs one pair from it, so faces of different components of the
-    similarity graph never share a cluster, and each component is clustered on its own.
+    A cluster takes its leader's similarity for its own, and only its leader's photo is barred.
     """
-    side = faces.select(F.col("face_id").alias("id"), F.col("v").alias("vector"))
-    edges = simjoin.similarity_join(side, side, least).filter("id_a < id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    block = components(edges).select(F.col("node").alias("face_id"), F.col("label").alias("block"))
-    dealt = faces.join(block, "face_id", "left").withColumn("block", F.coalesce("block", "face_id"))
-    return dealt.groupBy("block").applyInPandas(lambda p: greedy_block(p, least), "face_id long, cluster_id long")
+    ranked = faces.select(F.col("face_id").alias("id"), F.col("v").alias("vector"), F.col("quality_score").alias("rank"), F.lit(0).alias("part"), F.col("photo_id").alias("photo"), F.lit(0.0).alias("boost"))
+    return matching.leaders(ranked, least).select("face_id", F.col("leader").alias("cluster_id"))
+
+
+def incremental_clusters(new: DataFrame, known: DataFrame, least: float = s.MATCH) -> DataFrame:
+    """face_id, cluster_id of all faces: new ones join known clusters, the rest cluster among themselves (-1 - leader), then clusters merge."""
+    placed = incremental_cluster(new, known, least)
+    rest = new.join(placed.filter("cluster_id IS NULL").select("face_id"), "face_id")
+    own = greedy_cluster(rest, least).select("face_id", (-1 - F.col("cluster_id")).alias("cluster_id"))
+    labels = known.select("face_id", F.col("cluster_id").cast("long").alias("cluster_id")).unionByName(placed.filter("cluster_id IS NOT NULL").select("face_id", F.col("cluster_id").cast("long").alias("cluster_id"))).unionByName(own)
+    return merge_fixpoint(labels.join(new.select("face_id", "v").unionByName(known.select("face_id", "v")), "face_id"))
 
 
-def merge_fixpoint(assigned: DataFrame, least: float = 0.72) -> DataFrame:
-    """Merge clusters whose mean cross similarity reaches the threshold: mutual best pairs, until none is left."""
-    labels = assigned.select("face_id", "v", "cluster_id")
+def merge_fixpoint(assigned: DataFrame, least: float = 0.72, passes: int | None = None) -> DataFrame:
+    """Merge clusters whose centroids' similarity reaches the threshold: mutual best pairs, pass by pass until none is left."""
+    labels, done = assigned.select("face_id", "v", "cluster_id"), 0
     while True:
-        middles = x.centroids(labels, "cluster_id", "v")
+        middles = x.centroids(labels, "cluster_id", "v", normalize=True)
         side = middles.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vector"))
         near = simjoin.similarity_join(side, side, least).filter("id_a <> id_b")
         best = top_n(near, ["id_a"], [F.col("sim").desc(), F.col("id_b")], 1).select("id_a", "id_b")
         back = best.select(F.col("id_a").alias("id_b"), F.col("id_b").alias("id_a"))
         pairs = saved(best.join(back, ["id_a", "id_b"]).filter("id_a < id_b"))
-        if pairs.isEmpty():
+        if pairs.isEmpty() or done == passes:
             return labels.select("face_id", "cluster_id")
+        done += 1
         moved = pairs.select(F.col("id_b").alias("cluster_id"), F.col("id_a").alias("_to"))
         labels = saved(labels.join(moved, "cluster_id", "left").select("face_id", "v", F.coalesce("_to", "cluster_id").alias("cluster_id")))
 
@@ -172,8 +140,8 @@ def select_representatives(faces: DataFrame, most: int = 7, same: float = 0.85)
     return kept.select("cluster_id", F.posexplode("kept").alias("rank", "face")).select("cluster_id", F.col("face.face_id").alias("face_id"), "rank")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 20, seed: int = 7) -> DataFrame:
-    """Labels by weighted vote of the neighbours (a, b, w); half the nodes move a round, ties to the lower label."""
+def label_propagation(edges: DataFrame, rounds: int = 100, seed: int = 7) -> DataFrame:
+    """Labels by weighted vote of the neighbours (a, b, w); half the nodes move a round, so two rounds are one turn of all; ties to the lower label."""
     both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     for i in range(rounds):

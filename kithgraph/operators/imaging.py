@@ -41,3 +41,31 @@ def measure_images(images: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["image_id", "variance", "brightness", "darkest", "lightest"])
 
     return images.mapInPandas(measure, "image_id long, variance double, brightness double, darkest double, lightest double")
+
+
+#: Side of the picture that a descriptor reads, of its grid, and the descriptor's length (fixed values).
+SIDE, GRID, LENGTH = 32, 4, 512
+
+
+def hash_descriptor(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """A unit vector of a picture (packed RGB): mean colours of a grid, then blue differences along the diagonal."""
+    at = np.arange(SIDE)
+    small = pixels.reshape(height, width)[at * height // SIDE][:, at * width // SIDE]
+    colours = np.stack([small >> 16 & 255, small >> 8 & 255, small & 255], axis=2)
+    cell = SIDE // GRID
+    means = colours.reshape(GRID, cell, GRID, cell, 3).mean(axis=(1, 3)) / 255
+    blue = colours[:, :, 2].astype(np.float64)
+    out = np.concatenate([means.ravel(), ((blue[:-1, :-1] - blue[1:, 1:]) / 255).ravel()])[:LENGTH]
+    size = np.linalg.norm(out)
+    return (out / size if size else out).astype(np.float32)
+
+
+def hash_descriptors(pictures: DataFrame) -> DataFrame:
+    """image_id, descriptor of pictures (image_id, w, h, pixels)."""
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [hash_descriptor(np.asarray(p), w, h) for p, w, h in zip(b.pixels, b.w, b.h, strict=True)]
+            yield pd.DataFrame({"image_id": b.image_id, "descriptor": found})
+
+    return pictures.select("image_id", "w", "h", "pixels").mapInPandas(describe, "image_id long, descriptor array<float>")

@@ -188,6 +188,44 @@ def remove_photos(clusters: DataFrame, faces: DataFrame, removed: DataFrame) ->
     return clusters.join(left, "cluster_id").withColumn("face_count", F.col("_n")).drop("_n")
 
 
+def best_faces(faces: DataFrame) -> DataFrame:
+    """cluster_id, n, photos and the best face (quality, then id) of the clusters of live faces."""
+    order = F.struct(-F.coalesce("quality_score", F.lit(0)), F.col("face_id"))
+    own = faces.filter("cluster_id IS NOT NULL").groupBy("cluster_id")
+    return own.agg(F.count("*").alias("n"), F.count_distinct("photo_id").alias("photos"), F.min_by("face_id", order).alias("best"))
+
+
+def after_removal(clusters: DataFrame, faces: DataFrame, removed: DataFrame) -> DataFrame:
+    """All clusters after photos are taken away: recounted, best face picked again, empty clusters and persons marked."""
+    left = faces.join(removed, "photo_id", "left_anti")
+    placed = clusters.select("cluster_id", "person_id").join(best_faces(left), "cluster_id", "left")
+    alive = placed.filter("n IS NOT NULL AND person_id IS NOT NULL").select("person_id").distinct().withColumn("_alive", F.lit(True))
+    both = placed.join(alive, "person_id", "left")
+    return both.select("cluster_id", F.coalesce("n", F.lit(0)).alias("face_count"), F.col("n").isNull().alias("cluster_deleted"), F.col("best").alias("representative"), "person_id", (F.col("person_id").isNotNull() & F.col("_alive").isNull()).alias("person_deleted"))
+
+
+def merge_persons(persons: DataFrame, clusters: DataFrame, faces: DataFrame, mapping: DataFrame) -> DataFrame:
+    """person_id, clusters, photos, merged of the persons that stay after (old, new) merges."""
+    to = clusters.select("cluster_id", "person_id").join(mapping.select(F.col("old").alias("person_id"), "new"), "person_id", "left")
+    moved = to.select("cluster_id", F.coalesce("new", "person_id").alias("person_id"))
+    owned = moved.groupBy("person_id").agg(F.count("*").alias("clusters"))
+    seen = moved.join(faces.select("cluster_id", "photo_id"), "cluster_id").groupBy("person_id").agg(F.count_distinct("photo_id").alias("photos"))
+    sources = mapping.groupBy(F.col("new").alias("person_id")).agg(F.count("*").alias("merged"))
+    left = persons.select("person_id").join(mapping.select(F.col("old").alias("person_id")), "person_id", "left_anti")
+    for more in (owned, seen, sources):
+        left = left.join(more, "person_id", "left")
+    return left.na.fill(0, ["clusters", "photos", "merged"])
+
+
+def orphan_report(clusters: DataFrame, faces: DataFrame, persons: DataFrame) -> DataFrame:
+    """cluster_id, outcome, display_number, photos, representative of every live cluster without a person."""
+    lonely = live(clusters).filter("person_id IS NULL").select("cluster_id")
+    linked = fix_orphans(clusters, faces, persons).select("cluster_id", "display_number")
+    found = best_faces(live(faces)).select("cluster_id", "photos", "best")
+    both = lonely.join(found, "cluster_id", "left").join(linked, "cluster_id", "left")
+    return both.select("cluster_id", F.when(F.col("best").isNull(), "DELETED").otherwise("LINKED").alias("outcome"), "display_number", "photos", F.col("best").alias("representative"))
+
+
 def record_history(events: DataFrame, days: int = 30) -> DataFrame:
     return events.withColumn("expires_at", F.col("ts") + F.expr(f"INTERVAL {days} DAYS"))
 

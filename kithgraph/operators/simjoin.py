@@ -7,16 +7,16 @@ a time: a product of matrices with a local cut, then a global pick. Work is n *
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kithgraph.functions import vectors
+
 BLOCK_ROWS = 4096
 
 
@@ -25,19 +25,28 @@ def blocked(df: DataFrame, key: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame,
     return df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
 
 
-def block_pairs(a: DataFrame, b: DataFrame, min_sim: float, k: int | None) -> DataFrame:
-    """id_a, id_b, sim of the pairs of (id, vector) tables; k per row of a and block, or all from min_sim."""
+def block_reduce(a: DataFrame, b: DataFrame, reduce: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """reduce(rows of a, rows of b, their similarities) for every pair of blocks of tables with id and vector."""
     # New names give both sides columns of their own, so a table may be joined with itself.
-    left, n_left = blocked(a.select(F.col("id").alias("id"), F.col("vector").alias("vector")), "id")
-    right, n_right = blocked(b.select(F.col("id").alias("id"), F.col("vector").alias("vector")), "id")
+    left, n_left = blocked(a.select(*(F.col(c).alias(c) for c in a.columns)), "id")
+    right, n_right = blocked(b.select(*(F.col(c).alias(c) for c in b.columns)), "id")
     left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).withColumnRenamed("_block", "_own")
     right = right.withColumn("_own", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).withColumnRenamed("_block", "_other")
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"id_a": pd.Series(dtype="int64"), "id_b": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
         if not len(x) or not len(y):
-            return out
+            return pd.DataFrame({name: [] for name in names})
         sims = np.clip(np.stack(x.vector.to_numpy()).astype(np.float64) @ np.stack(y.vector.to_numpy()).astype(np.float64).T, -1, 1)
+        return reduce(x, y, sims)
+
+    return left.groupBy("_own", "_other").cogroup(right.groupBy("_own", "_other")).applyInPandas(product, schema)
+
+
+def block_pairs(a: DataFrame, b: DataFrame, min_sim: float, k: int | None) -> DataFrame:
+    """id_a, id_b, sim of the pairs of (id, vector) tables; k per row of a and block, or all from min_sim."""
+
+    def pairs(x: pd.DataFrame, y: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
         if k is not None and sims.shape[1] > k:
             # Ties at the cut all stay; the global pick orders them.
             least = np.partition(sims, -k, axis=1)[:, -k]
@@ -46,7 +55,7 @@ def block_pairs(a: DataFrame, b: DataFrame, min_sim: float, k: int | None) -> Da
             rows, columns = np.nonzero(sims >= min_sim)
         return pd.DataFrame({"id_a": x.id.to_numpy()[rows], "id_b": y.id.to_numpy()[columns], "sim": sims[rows, columns]})
 
-    return left.groupBy("_own", "_other").cogroup(right.groupBy("_own", "_other")).applyInPandas(product, "id_a long, id_b long, sim double")
+    return block_reduce(a.select("id", "vector"), b.select("id", "vector"), pairs, "id_a long, id_b long, sim double")
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
@@ -60,25 +69,31 @@ def similarity_join(a: DataFrame, b: DataFrame, min_sim: float) -> DataFrame:
     return block_pairs(a, b, min_sim, None).withColumn("sim", F.round("sim", 6))
 
 
-def ann_join(a: DataFrame, b: DataFrame, min_sim: float, tables: int = 24, bucket: float = 1.0) -> DataFrame:
-    """Pairs of unit vectors from min_sim, from hashed projections; more tables find more of them."""
-    left = a.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    right = b.select("id", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(left)
-    near = model.approxSimilarityJoin(left, right, float(np.sqrt(2 - 2 * min_sim)), "distance")
-    return near.select(F.col("datasetA.id").alias("id_a"), F.col("datasetB.id").alias("id_b"), (1 - F.col("distance") * F.col("distance") / 2).alias("sim"))
-
-
-def match_evidence(matches: DataFrame, cluster_of: DataFrame, supporting: float = 0.35) -> DataFrame:
-    """Best cluster of each face, the gap to the second best, and how many of its anchors support it.
+def ann_join(a: DataFrame, b: DataFrame, min_sim: float, tables: int = 24, bucket: float = 0.25) -> DataFrame:
+    """Pairs of unit vectors from min_sim, from hashed projections; more tables and wider buckets find more of them.
 
-    matches: id_a (face), id_b (anchor), sim; cluster_of: id_b, cluster_id.
+    A vector meets those that share the buckets of two projections at least once among the tables' pairs; a
+    projection of unit vectors in d dimensions is about 1 / sqrt(d) wide.
     """
-    own = matches.join(cluster_of, "id_b")
-    by_cluster = own.groupBy("id_a", "cluster_id").agg(F.max("sim").alias("sim"), F.count_if(F.col("sim") >= supporting).alias("support"))
-    order = W.partitionBy("id_a").orderBy(F.col("sim").desc(), "cluster_id")
-    ranked = by_cluster.withColumn("rank", F.row_number().over(order)).withColumn("second", F.lead("sim").over(order))
-    return ranked.filter("rank = 1").select(F.col("id_a").alias("face_id"), "cluster_id", "sim", F.round(F.coalesce(F.col("sim") - F.col("second"), F.lit(1.0)), 6).alias("gap"), "support")
+    dim = a.select(F.size("vector")).first()
+    rng = np.random.default_rng(7)
+    axes = rng.standard_normal((tables, 2, dim[0] if dim else 1))
+    axes /= np.linalg.norm(axes, axis=2, keepdims=True)
+
+    def keys(df: DataFrame) -> DataFrame:
+        def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                if len(rows):
+                    at = np.floor(np.einsum("nd,tkd->ntk", np.stack(rows.vector.to_numpy()).astype(np.float64), axes) / bucket).astype(np.int64)
+                    out = rows.loc[rows.index.repeat(tables)].reset_index(drop=True)
+                    yield out.assign(table=np.tile(np.arange(tables), len(rows)), first=at[:, :, 0].ravel(), second=at[:, :, 1].ravel())
+
+        return df.select("id", "vector").mapInPandas(hashed, f"id long, vector {df.schema['vector'].dataType.simpleString()}, table long, first long, second long")
+
+    left = keys(a).select("table", "first", "second", F.col("id").alias("id_a"), F.col("vector").alias("x"))
+    right = keys(b).select("table", "first", "second", F.col("id").alias("id_b"), F.col("vector").alias("y"))
+    near = left.join(right, ["table", "first", "second"]).withColumn("sim", vectors.dot(F.col("x"), F.col("y")))
+    return near.filter(F.col("sim") >= min_sim).groupBy("id_a", "id_b").agg(F.max("sim").alias("sim"))
 
 
 def unpack_vectors(df: DataFrame, blob: str, name: str) -> DataFrame:

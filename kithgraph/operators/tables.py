@@ -93,16 +93,19 @@ def apply_increments(df: DataFrame, deltas: DataFrame, key: str, counter: str) -
 
 
 def write_snapshot(tables: dict[str, DataFrame], path: str, version: int, keys: dict[str, str], buckets: int = 16) -> None:
-    """Write all tables of a version, each by a hash of its key, then the pointer that makes it current."""
+    """Write all tables of a version, each by a hash of its key, then the pointer that makes it current.
+
+    The pointer is a folder of its own, which counts once its job has committed, so a reader sees one version whole.
+    """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.withColumn("bucket", F.pmod(F.xxhash64(keys[name]), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{version}/{name}")
     pointer = spark.createDataFrame([(version, json.dumps(sorted(tables)))], "version int, tables string")
-    pointer.coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    pointer.coalesce(1).write.mode("overwrite").parquet(f"{path}/current/version={version}")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    current = spark.read.parquet(f"{path}/current").first()
+    current = spark.read.parquet(f"{path}/current/*").orderBy(F.col("version").desc()).first()
     return {name: spark.read.parquet(f"{path}/v{current.version}/{name}").drop("bucket") for name in json.loads(current.tables)}
 
 
@@ -207,17 +210,22 @@ def cut_points(df: DataFrame, column: str, parts: int) -> list[float]:
 
 
 def part_of(column: str, cuts: list[float]) -> Column:
-    out = F.lit(0)
-    for c in cuts:
-        out = out + (F.col(column) > c).cast("int")
-    return out
+    """How many cut points lie below the value."""
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(column)))
+
+
+#: Rows of a part of the range that one task sums in order; a part's cut points are expressions of the plan.
+PART_ROWS, MOST_PARTS = 1 << 20, 2048
 
 
-def running_total(df: DataFrame, order: str, value: Column, name: str, parts: int = 32) -> DataFrame:
+def running_total(df: DataFrame, order: str, value: Column, name: str, parts: int | None = None) -> DataFrame:
     """df (one row for each order value) with the sum of value up to and with it.
 
-    Parts of the range sum side by side; only the part totals meet in one task.
+    Parts of the range sum side by side, their number follows the rows; only the part totals meet in one task.
     """
+    parts = parts or min(MOST_PARTS, max(8, -(-df.count() // PART_ROWS)))
     cut = df.withColumn("_part", part_of(order, cut_points(df, order, parts))).withColumn("_value", value)
     totals = cut.groupBy("_part").agg(F.sum("_value").alias("_sum"))
     before = totals.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

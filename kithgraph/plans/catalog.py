@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kithgraph.sources.fixtures import Frames, duckdb_views
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("tables", "people", "scores", "vectors", "sequences", "streams", "more")
+MODULES = ("tables", "people", "scores", "vectors", "sequences", "streams", "more", "matching", "albums")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}

@@ -1,16 +1,14 @@
 """Representatives, promotion, audits, dimension picks and image measurements."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph.functions import scoring as s
 from kithgraph.functions import vectors as x
 from kithgraph.operators import clustering as k
-from kithgraph.operators import imaging, people, simjoin
+from kithgraph.operators import imaging, people
 from kithgraph.plans.catalog import query
-from kithgraph.plans.vectors import PLANTED, planted, side
+from kithgraph.plans.vectors import PLANTED, planted
 
 POSES = PLANTED + ", a AS (SELECT *, " + s.POSE_SQL.format(yaw="yaw") + " AS pose FROM f WHERE quality_score >= 80)\n"
 
@@ -45,14 +43,19 @@ def promote(v):
     return fit.join(known, "face_id", "left_anti").select("face_id", "cluster_id", s.pose(F.coalesce("euler_y", F.lit(0))).alias("pose_category"), F.lit(0).alias("match_count"))
 
 
-V11 = PLANTED + ", r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY quality_score DESC, face_id) AS n FROM f) WHERE n <= 3) SELECT f.face_id, max(round(list_dot_product(f.v, r.v), 6)) AS sim FROM f JOIN r ON r.cluster_id = f.cluster_id GROUP BY 1"
+V11 = PLANTED + """, w AS (SELECT *, greatest(-0.08, least(0.08, (least(1, greatest(0, quality_score / 100)) - 0.5) * 0.2)) AS boost FROM f), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY quality_score DESC, face_id) AS n FROM f) WHERE n <= 7)
+SELECT w.face_id, max(CASE WHEN r.n <= 3 THEN round(greatest(-1, least(1, list_dot_product(w.v, r.v) + boost)), 6) END) AS top3, max(round(greatest(-1, least(1, list_dot_product(w.v, r.v) + boost)), 6)) AS all_reps,
+ max(CASE WHEN r.quality_score >= 65 THEN round(greatest(-1, least(1, list_dot_product(w.v, r.v) + boost)), 6) END) AS anchors FROM w JOIN r ON r.cluster_id = w.cluster_id GROUP BY 1"""
 
 
 @query("v11_best_representative", V11, raw=True)
 def best_representative(v):
-    faces = planted(v)
-    top = people.top_n(faces, ["cluster_id"], [F.col("quality_score").desc(), F.col("face_id")], 3).select("cluster_id", F.col("v").alias("w"))
-    return faces.join(top, "cluster_id").groupBy("face_id").agg(F.max(F.round(x.dot(F.col("v"), F.col("w")), 6)).alias("sim"))
+    """Each face's best weighted similarity to its cluster's three best representatives, all seven, and those of anchor quality."""
+    faces, order = planted(v), [F.col("quality_score").desc(), F.col("face_id")]
+    top = people.compact_ranks(people.top_n(faces, ["cluster_id"], order, 7), ["cluster_id"], order)
+    both = faces.join(top.select("cluster_id", F.col("v").alias("w"), "rank", F.col("quality_score").alias("q")), "cluster_id")
+    sim = F.round(s.weighted_similarity(x.dot(F.col("v"), F.col("w")), F.col("quality_score")), 6)
+    return both.groupBy("face_id").agg(F.max(F.when(F.col("rank") < 3, sim)).alias("top3"), F.max(sim).alias("all_reps"), F.max(F.when(F.col("q") >= 65, sim)).alias("anchors"))
 
 
 V14 = PLANTED + """, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY quality_score DESC, face_id) AS n FROM f) WHERE n <= 20),
@@ -81,22 +84,6 @@ def sync_report(v):
     return out.withColumn("rebuild", (F.col("missing") > F.col("base") * 0.1) | (F.col("orphaned") > 10))
 
 
-R2 = PLANTED + """, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY quality_score DESC, face_id) AS n FROM f) WHERE n <= 3),
-p AS (SELECT a.cluster_id AS a, b.cluster_id AS b, round(list_dot_product(a.c, b.c), 6) AS sim FROM m a JOIN m b ON a.cluster_id < b.cluster_id WHERE list_dot_product(a.c, b.c) >= 0)
-SELECT p.a, p.b, p.sim, max(round(list_dot_product(x.v, y.v), 6)) AS representative FROM p JOIN r x ON x.cluster_id = p.a JOIN r y ON y.cluster_id = p.b GROUP BY 1, 2, 3"""
-
-
-@query("r2_merge_review", R2, raw=True)
-def merge_review(v):
-    """Cluster pairs by centroid similarity with their best pair of representatives."""
-    faces = planted(v)
-    pairs = simjoin.similarity_join(*[side(x.centroids(faces, "cluster_id", "v"), "cluster_id", "centroid")] * 2, 0.0).filter("id_a < id_b")
-    top = people.top_n(faces, ["cluster_id"], [F.col("quality_score").desc(), F.col("face_id")], 3)
-    a, b = top.select(F.col("cluster_id").alias("a"), F.col("v").alias("x")), top.select(F.col("cluster_id").alias("b"), F.col("v").alias("y"))
-    both = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "sim").join(a, "a").join(b, "b")
-    return both.groupBy("a", "b", "sim").agg(F.max(F.round(x.dot(F.col("x"), F.col("y")), 6)).alias("representative"))
-
-
 J11 = "SELECT i.image_id, o.n_nationkey AS overlay_id FROM (SELECT image_id, row_number() OVER (PARTITION BY album_id ORDER BY date_taken, image_id) - 1 AS pos FROM v_images) i JOIN nation o ON o.n_nationkey % 5 = 0 OR o.n_nationkey = i.pos"
 
 
@@ -106,8 +93,9 @@ def overlays(v):
     place = F.row_number().over(W.partitionBy("album_id").orderBy("date_taken", "image_id")) - 1
     images = v.images.select("image_id", place.alias("pos"))
     marks = v.table("nation").select(F.col("n_nationkey").alias("overlay_id"))
-    always = F.array(*[F.lit(r.overlay_id) for r in marks.filter("overlay_id % 5 = 0").collect()])
-    everywhere = images.select("image_id", F.explode(always).alias("overlay_id"))
+    always = marks.filter("overlay_id % 5 = 0").agg(F.sort_array(F.collect_list("overlay_id")).alias("always"))
+    # One row, whose list is the handful of overlays without a position.
+    everywhere = images.join(F.broadcast(always), F.lit(True)).select("image_id", F.explode("always").alias("overlay_id"))
     return everywhere.unionByName(images.join(marks.filter("overlay_id % 5 <> 0"), F.col("pos") == F.col("overlay_id")).select("image_id", "overlay_id"))
 
 
@@ -160,15 +148,3 @@ def measure(v):
     """Sharpness and brightness of small pictures made from the embeddings' values."""
     pixels = F.transform("embedding", lambda e: ((e + 1) * 127).cast("int"))
     return imaging.measure_images(v.table("embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("w"), F.lit(8).alias("h"), pixels.alias("pixels")))
-
-
-@query("k19_subgroups")
-def subgroups(v):
-    """Groups of two or more alike faces inside each cluster."""
-    return planted(v).groupBy("cluster_id").applyInPandas(lambda g: parts_of(g, 0.5), "cluster_id long, face_id long, part long")
-
-
-def parts_of(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    found = k.greedy_block(group.assign(photo_id=group.face_id), least).rename(columns={"cluster_id": "part"})
-    found = found[found.groupby("part").part.transform("size") >= 2]
-    return pd.DataFrame({"cluster_id": np.full(len(found), group.cluster_id.iloc[0]), "face_id": found.face_id, "part": found.part})

@@ -195,9 +195,17 @@ def same_photo(v):
     return p.same_photo_constraints(faces, existing)
 
 
-@query("c2_cannot_link_map", "SELECT face_id, list_sort(list(DISTINCT partner)) AS partners FROM (" + "SELECT face_id1 AS face_id, face_id2 AS partner FROM v_constraints WHERE constraint_type = 'CANNOT_LINK' AND face_id1 LIKE '1%' UNION ALL SELECT face_id2, face_id1 FROM v_constraints WHERE constraint_type = 'CANNOT_LINK' AND face_id1 LIKE '1%') GROUP BY 1")
+C2 = """
+, b AS (SELECT face_id1 AS face_id, face_id2 AS partner FROM v_constraints WHERE constraint_type = 'CANNOT_LINK' UNION SELECT face_id2, face_id1 FROM v_constraints WHERE constraint_type = 'CANNOT_LINK')
+SELECT face_id, partner, count(*) OVER (PARTITION BY face_id) AS partners FROM b
+"""
+
+
+@query("c2_cannot_link_map", C2)
 def cannot_link_map(v):
-    return t.partners(v.constraints.filter("face_id1 LIKE '1%'"), "CANNOT_LINK").groupBy("face_id").agg(F.sort_array(F.collect_set("partner")).alias("partners"))
+    """The map as rows, one for each face and partner, with the number of partners; a list could grow without bound."""
+    both = t.partners(v.constraints, "CANNOT_LINK").select("face_id", "partner").distinct()
+    return both.join(both.groupBy("face_id").agg(F.count("*").alias("partners")), "face_id")
 
 
 C3 = "SELECT DISTINCT a.face_id, a.cluster_id, b.face_id AS partner FROM v_faces a JOIN v_faces b ON a.cluster_id = b.cluster_id AND a.photo_id = b.photo_id AND a.face_id <> b.face_id WHERE NOT a.deleted AND NOT b.deleted"
@@ -216,10 +224,26 @@ def add_constraints(v):
     return p.add_constraints(old, new)
 
 
+C5 = """
+, m AS (SELECT cluster_id, CASE WHEN person_id % 3 = 2 THEN person_id - 1 ELSE person_id END AS person_id FROM v_clusters)
+SELECT p.person_id, (SELECT count(*) FROM m WHERE m.person_id = p.person_id) AS clusters, (SELECT count(DISTINCT f.photo_id) FROM m JOIN v_faces f ON f.cluster_id = m.cluster_id AND NOT f.deleted WHERE m.person_id = p.person_id) AS photos,
+ (SELECT count(*) FROM v_persons s WHERE s.person_id % 3 = 2 AND s.person_id - 1 = p.person_id) AS merged FROM v_persons p WHERE p.person_id % 3 <> 2
+"""
+
+
 @query("c5_merge_persons", "SELECT cluster_id, CASE WHEN person_id % 3 = 2 THEN person_id - 1 ELSE person_id END AS person_id FROM v_clusters")
 def merge_persons(v):
-    mapping = v.persons.filter("person_id % 3 = 2").select(F.col("person_id").alias("old"), (F.col("person_id") - 1).alias("new"))
-    return t.reassign(v.clusters, mapping, "person_id", live_only=False).select("cluster_id", "person_id")
+    return t.reassign(v.clusters, merges(v), "person_id", live_only=False).select("cluster_id", "person_id")
+
+
+def merges(v):
+    return v.persons.filter("person_id % 3 = 2").select(F.col("person_id").alias("old"), (F.col("person_id") - 1).alias("new"))
+
+
+@query("c5_merged_persons", C5)
+def merged_persons(v):
+    """The persons left, recounted, with how many were merged into each (one history row each)."""
+    return p.merge_persons(v.persons, v.clusters, t.live(v.faces), merges(v))
 
 
 C6 = "SELECT c.cluster_id, count(f.face_id) AS face_count FROM v_clusters c JOIN v_faces f ON f.cluster_id = c.cluster_id AND NOT f.deleted AND f.photo_id % 5 <> 0 GROUP BY 1"
@@ -227,8 +251,24 @@ C6 = "SELECT c.cluster_id, count(f.face_id) AS face_count FROM v_clusters c JOIN
 
 @query("c6_remove_photos", C6)
 def remove_photos(v):
-    removed = v.photos.filter("photo_id % 5 = 0").select("photo_id")
-    return p.remove_photos(v.clusters, t.live(v.faces), removed).select("cluster_id", "face_count")
+    return p.remove_photos(v.clusters, t.live(v.faces), removed(v)).select("cluster_id", "face_count")
+
+
+def removed(v):
+    return v.photos.filter("photo_id % 5 = 0").select("photo_id")
+
+
+C6B = """
+, h AS (SELECT cluster_id, count(*) AS n, arg_min(face_id, (-coalesce(quality_score, 0), face_id)) AS best FROM v_faces WHERE NOT deleted AND cluster_id IS NOT NULL AND photo_id % 5 <> 0 GROUP BY 1),
+pp AS (SELECT c.person_id, count(DISTINCT f.photo_id) AS photos FROM v_clusters c JOIN v_faces f ON f.cluster_id = c.cluster_id AND NOT f.deleted AND f.photo_id % 5 <> 0 GROUP BY 1)
+SELECT c.cluster_id, coalesce(h.n, 0) AS face_count, h.n IS NULL AS cluster_deleted, h.best AS representative, c.person_id, c.person_id IS NOT NULL AND pp.photos IS NULL AS person_deleted FROM v_clusters c LEFT JOIN h USING (cluster_id) LEFT JOIN pp ON pp.person_id = c.person_id
+"""
+
+
+@query("c6_after_removal", C6B)
+def after_removal(v):
+    """Every cluster after photos are taken away: count, representative, and what becomes empty and goes."""
+    return p.after_removal(v.clusters, t.live(v.faces), removed(v))
 
 
 @query("c7_record_history", "SELECT history_id, operation_type, ts + INTERVAL 30 DAY AS expires_at FROM v_history")
@@ -255,10 +295,26 @@ def fix_orphans(v):
     return p.fix_orphans(v.clusters, v.faces, v.persons).select("cluster_id", "display_number", "photos")
 
 
-@query("c10_profile_edits", "SELECT person_id, CASE WHEN person_id % 8 = 1 THEN NULL ELSE name END AS name FROM v_persons")
+C9B = """
+, lonely AS (SELECT c.cluster_id, count(f.face_id) AS n, count(DISTINCT f.photo_id) AS photos, arg_min(f.face_id, (-coalesce(f.quality_score, 0), f.face_id)) AS best FROM v_clusters c LEFT JOIN v_faces f ON f.cluster_id = c.cluster_id AND NOT f.deleted WHERE c.person_id IS NULL AND NOT c.deleted GROUP BY 1)
+SELECT cluster_id, CASE WHEN n = 0 THEN 'DELETED' ELSE 'LINKED' END AS outcome, CASE WHEN n > 0 THEN (SELECT max(display_number) FROM v_persons) + row_number() OVER (PARTITION BY n > 0 ORDER BY cluster_id) END AS display_number, CASE WHEN n > 0 THEN photos END AS photos, best AS representative FROM lonely
+"""
+
+
+@query("c9_orphan_report", C9B)
+def orphan_report(v):
+    """Each live cluster without a person: linked to a new person with its best face, or deleted as empty."""
+    return p.orphan_report(v.clusters, v.faces, v.persons)
+
+
+C10 = "SELECT person_id, CASE WHEN person_id % 8 = 1 THEN NULL ELSE name END AS name, CASE WHEN person_id % 8 = 1 THEN '02-29' ELSE birthday END AS birthday, CASE WHEN person_id % 8 = 1 THEN NOT is_hidden ELSE is_hidden END AS is_hidden FROM v_persons"
+
+
+@query("c10_profile_edits", C10)
 def profile_edits(v):
-    edits = v.persons.filter("person_id % 8 = 1").select("person_id", F.lit("   ").alias("name"))
-    return t.update_from(v.persons.select("person_id", "name"), edits.withColumn("name", F.nullif(F.trim("name"), F.lit(""))), "person_id", ["name"])
+    """New name (blank: none), birthday and visibility for some persons."""
+    edits = v.persons.filter("person_id % 8 = 1").select("person_id", F.nullif(F.trim(F.lit("   ")), F.lit("")).alias("name"), F.lit("02-29").alias("birthday"), (~F.col("is_hidden")).alias("is_hidden"))
+    return t.update_from(v.persons.select("person_id", "name", "birthday", "is_hidden"), edits, "person_id", ["name", "birthday", "is_hidden"])
 
 
 @query("c11_birthdays", "SELECT person_id, birthday FROM v_persons WHERE NOT deleted AND (birthday >= '12-28' OR birthday <= '01-26')")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kithgraph.functions import scoring as s
+from kithgraph.operators import people
 from kithgraph.plans.catalog import query
 
 
@@ -34,7 +35,7 @@ def pose(v):
 
 E5 = """
 , pairs AS (SELECT a.cluster_id, a.anchor_id AS a_id, b.anchor_id AS b_id, a.pose_category AS a, b.pose_category AS b, a.quality_score / 200 AS sim
-  FROM v_anchors a JOIN v_anchors b ON a.cluster_id = b.cluster_id AND a.anchor_id < b.anchor_id WHERE a.cluster_id % 40 = 3)
+  FROM v_anchors a JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY quality_score DESC, anchor_id) AS n FROM v_anchors) WHERE n = 1) b ON a.cluster_id = b.cluster_id AND a.anchor_id <> b.anchor_id)
 SELECT a_id, b_id, round(greatest(0, least(1, sim + CASE WHEN a = b THEN 0.15 WHEN (a = 'FRONTAL' AND b LIKE 'SLIGHT%') OR (b = 'FRONTAL' AND a LIKE 'SLIGHT%') THEN 0.12
   WHEN (a = 'SLIGHT_LEFT' AND b = 'PROFILE_LEFT') OR (a = 'PROFILE_LEFT' AND b = 'SLIGHT_LEFT') OR (a = 'SLIGHT_RIGHT' AND b = 'PROFILE_RIGHT') OR (a = 'PROFILE_RIGHT' AND b = 'SLIGHT_RIGHT') THEN 0.08 ELSE 0.03 END)), 6) AS confidence
 FROM pairs
@@ -43,8 +44,9 @@ FROM pairs
 
 @query("e5_bridge_confidence", E5)
 def bridge(v):
-    own = v.anchors.filter("cluster_id % 40 = 3")
-    both = own.alias("a").join(own.alias("b"), (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.anchor_id") < F.col("b.anchor_id")))
+    """Each anchor's bridge to the best one of its cluster."""
+    best = people.best_per_group(v.anchors, ["cluster_id"], [F.col("quality_score").desc(), F.col("anchor_id")])
+    both = v.anchors.alias("a").join(best.alias("b"), (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.anchor_id") != F.col("b.anchor_id")))
     sure = s.bridge_confidence(F.col("a.quality_score") / 200, F.col("a.pose_category"), F.col("b.pose_category"))
     return both.select(F.col("a.anchor_id").alias("a_id"), F.col("b.anchor_id").alias("b_id"), F.round(sure, 6).alias("confidence"))
 
@@ -102,9 +104,9 @@ def merge_split(v):
     )
 
 
-@query("e12_date_formats", "SELECT photo_id, strftime(date_taken, '%B %-d, %Y') AS friendly, strftime(date_taken, '%b %Y') AS month, strftime(date_taken, '%m-%d') AS day FROM v_photos")
+@query("e12_date_formats", "SELECT photo_id, strftime(date_taken, '%B %-d, %Y') AS friendly, strftime(date_taken, '%b %Y') AS month, strftime(date_taken, '%m-%d') AS day, strftime(date_taken, '%Y-%m-%d') AS day_key, strftime(date_taken, '%Y') AS year FROM v_photos")
 def dates(v):
-    return v.photos.select("photo_id", *[F.date_format("date_taken", f).alias(n) for f, n in (("MMMM d, yyyy", "friendly"), ("MMM yyyy", "month"), ("MM-dd", "day"))])
+    return v.photos.select("photo_id", *[F.date_format("date_taken", f).alias(n) for f, n in (("MMMM d, yyyy", "friendly"), ("MMM yyyy", "month"), ("MM-dd", "day"), ("yyyy-MM-dd", "day_key"), ("yyyy", "year"))])
 
 
 E13 = """
@@ -163,13 +165,33 @@ def size_pose(v):
     return v.faces.select("face_id", s.size_score(F.col("quality_score") * 2.2).alias("size_score"), F.round(s.pose_score(yaw, yaw / 2), 6).alias("pose_score"))
 
 
-E19 = "SELECT face_id FROM v_faces WHERE (bbox_right - bbox_left) * 640 >= 50 AND (bbox_right - bbox_left) / (bbox_bottom - bbox_top) BETWEEN 0.5 AND 2"
+#: A face's box on a picture of 640 x 480, drawn from the view's shares, a little over the edge for some.
+BOX = ", bx AS (SELECT face_id, bbox_left * 640 - 30 AS l, bbox_top * 480 - 5 AS t, bbox_right * 640 - 30 AS r, bbox_bottom * 480 - 5 AS b FROM v_faces)"
+E19 = BOX + """, g AS (SELECT *, r - l AS w, b - t AS h, (greatest(least(r, 640) - greatest(l, 0), 0) * greatest(least(b, 480) - greatest(t, 0), 0)) AS inside FROM bx),
+k AS (SELECT *, 1 - inside / (w * h) AS clip FROM g WHERE w >= 50 AND h >= 50 AND w / h BETWEEN 0.5 AND 2)
+SELECT face_id, round(clip, 6) AS clip, round(greatest(0, least(1, l / 640)), 6)::double AS norm_left, round(greatest(0, least(1, r / 640)), 6)::double AS norm_right, greatest(trunc(l - w * 0.25), 0)::int AS crop_left, greatest(trunc(t - h * 0.25), 0)::int AS crop_top, least(trunc(r + w * 0.25), 640)::int AS crop_right, least(trunc(b + h * 0.25), 480)::int AS crop_bottom FROM k WHERE round(clip, 9) <= 0.20"""
+
+
+def boxes(v):
+    return v.faces.select("face_id", (F.col("bbox_left") * 640 - 30).alias("l"), (F.col("bbox_top") * 480 - 5).alias("t"), (F.col("bbox_right") * 640 - 30).alias("r"), (F.col("bbox_bottom") * 480 - 5).alias("b"))
 
 
 @query("e19_geometry_filter", E19)
 def geometry(v):
-    width, height = F.col("bbox_right") - F.col("bbox_left"), F.col("bbox_bottom") - F.col("bbox_top")
-    return v.faces.filter((width * 640 >= 50) & (width / height).between(0.5, 2)).select("face_id")
+    return s.usable_boxes(boxes(v), 640, 480)
+
+
+E18B = BOX + """, p AS (SELECT face_id, ((1 - (abs((l + r) / 2 / 640 - 0.5) + abs((t + b) / 2 / 480 - 0.5))) * 5) AS mid, l / 640 < 0.03 OR t / 480 < 0.03 OR (640 - r) / 640 < 0.03 OR (480 - b) / 480 < 0.03 AS edge FROM bx),
+y AS (SELECT face_id, eye_visibility_score / 11.0 AS le, CASE WHEN photo_id % 3 = 0 THEN NULL ELSE sharpness_score / 26.0 END AS re, quality_score * 0.5 AS apart FROM v_faces)
+SELECT p.face_id, (CASE WHEN edge THEN 0 ELSE round(greatest(0, least(5, mid)), 6) END)::double AS position, (least(10, 3 + CASE WHEN le > 0.8 THEN 2 WHEN le > 0.5 THEN 1.5 WHEN le > 0.3 THEN 0.5 ELSE 0 END + CASE WHEN re IS NULL THEN 1 WHEN re > 0.8 THEN 2 WHEN re > 0.5 THEN 1.5 WHEN re > 0.3 THEN 0.5 ELSE 0 END
+ + CASE WHEN apart > 30 THEN 2 WHEN apart > 20 THEN 1.5 WHEN apart > 10 THEN 1 ELSE 0 END))::double AS eyes FROM p JOIN y USING (face_id)"""
+
+
+@query("e18_eye_position_scores", E18B)
+def eye_position(v):
+    faces = v.faces.select("face_id", (F.col("eye_visibility_score") / 11.0).alias("le"), F.when(F.col("photo_id") % 3 != 0, F.col("sharpness_score") / 26.0).alias("re"), (F.col("quality_score") * 0.5).alias("apart"))
+    both = boxes(v).join(faces, "face_id")
+    return both.select("face_id", F.round(s.position_score(F.col("l"), F.col("t"), F.col("r"), F.col("b"), 640, 480), 6).alias("position"), s.eye_score(F.col("le"), F.col("re"), F.col("apart")).alias("eyes"))
 
 
 E21 = """
@@ -187,16 +209,23 @@ def measured(v):
 
 
 Q3 = """
-, x AS (SELECT face_id, (CASE WHEN quality_score * 2.2 >= 200 THEN 25 WHEN quality_score * 2.2 >= 150 THEN 22 WHEN quality_score * 2.2 >= 100 THEN 18 WHEN quality_score * 2.2 >= 80 THEN 14 WHEN quality_score * 2.2 >= 60 THEN 8 WHEN quality_score * 2.2 >= 40 THEN 4 ELSE 0 END
- + sharpness_score + eye_visibility_score + 20)::double AS overall, sharpness_score, eye_visibility_score FROM v_faces)
-SELECT * FROM (SELECT face_id, overall, CASE WHEN overall >= 65 AND sharpness_score >= 15 AND eye_visibility_score >= 6 THEN 'ANCHOR' WHEN overall >= 50 AND sharpness_score >= 10 THEN 'CLUSTERING' WHEN overall >= 35 THEN 'DISPLAY_ONLY' ELSE 'REJECTED' END AS tier FROM x) WHERE tier <> 'REJECTED'
+, m AS (SELECT *, quality_score * 2.2 AS px, quality_score * quality_score / 15 AS va, quality_score * 2.5 AS br, sharpness_score * 7 AS co FROM v_faces),
+o AS (SELECT face_id, sharpness_score, eye_visibility_score, CASE WHEN px >= 200 THEN 25 WHEN px >= 150 THEN 22 WHEN px >= 100 THEN 18 WHEN px >= 80 THEN 14 WHEN px >= 60 THEN 8 WHEN px >= 40 THEN 4 ELSE 0 END
+ + greatest(0, least(25, 25 - CASE WHEN abs(euler_y) > 45 THEN 20 WHEN abs(euler_y) > 30 THEN 10 + (abs(euler_y) - 30) * 0.4 WHEN abs(euler_y) > 15 THEN 3 + (abs(euler_y) - 15) * 0.3 ELSE abs(euler_y) * 0.1 END
+   - CASE WHEN abs(euler_y) / 2 > 35 THEN 10 WHEN abs(euler_y) / 2 > 25 THEN 5 + (abs(euler_y) / 2 - 25) * 0.3 ELSE abs(euler_y) / 2 * 0.1 END))
+ + CASE WHEN va >= 500 THEN 25 WHEN va >= 300 THEN 22 + (va - 300) / 66 WHEN va >= 150 THEN 18 + (va - 150) / 37.5 WHEN va >= 80 THEN 12 + (va - 80) / 11.7 WHEN va >= 40 THEN 6 + (va - 40) / 6.7 WHEN va >= 15 THEN 2 + (va - 15) / 6.25 ELSE va / 7.5 END
+ + CASE WHEN br >= 100 AND br <= 160 THEN 10 WHEN br >= 80 AND br <= 180 THEN 8 WHEN br >= 60 AND br <= 200 THEN 5 WHEN br >= 40 AND br <= 220 THEN 3 WHEN br < 30 OR br > 230 THEN 0 ELSE 1 END
+ + CASE WHEN co >= 150 THEN 5 WHEN co >= 100 THEN 4 WHEN co >= 70 THEN 3 WHEN co >= 40 THEN 2 ELSE 0 END + eye_visibility_score AS raw FROM m),
+c AS (SELECT *, round(greatest(0, least(100, raw)), 6)::double AS overall FROM o), z AS (SELECT *, """ + s.TIER_SQL.format(score="overall", sharpness="sharpness_score", eye="eye_visibility_score") + """ AS tier FROM c)
+SELECT face_id, overall, tier FROM z WHERE tier <> 'REJECTED'
 """
 
 
 @query("q3_score_faces", Q3)
 def score_faces(v):
-    """Overall score and tier from measured parts; rejects go."""
-    overall = s.clamp(s.size_score(F.col("quality_score") * 2.2) + F.col("sharpness_score") + F.col("eye_visibility_score") + 20, 0, 100)
-    scored = v.faces.select("face_id", overall.alias("overall"), "sharpness_score", "eye_visibility_score")
+    """Overall score and tier from the five measured parts; rejects go."""
+    yaw, q = F.col("euler_y"), F.col("quality_score")
+    parts = s.size_score(q * 2.2) + s.pose_score(yaw, yaw / 2) + s.sharpness_score(q * q / 15) + s.brightness_score(q * 2.5, F.col("sharpness_score") * 7) + F.col("eye_visibility_score")
+    scored = v.faces.select("face_id", F.round(s.clamp(parts, 0, 100), 6).cast("double").alias("overall"), "sharpness_score", "eye_visibility_score")
     tier = s.quality_tier("overall", "sharpness_score", "eye_visibility_score")
     return scored.select("face_id", "overall", tier.alias("tier")).filter("tier <> 'REJECTED'")

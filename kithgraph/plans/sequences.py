@@ -88,12 +88,12 @@ def timeline(v):
     return q.timeline(v.images)
 
 
-M10 = ", x AS (SELECT image_id, floor(2.0 * (1 + image_id % 3) * 5)::bigint AS n FROM v_images WHERE image_id % 20 = 0), y AS (SELECT image_id, n, n - floor(n * 0.2)::bigint AS c, unnest(range(0, n)) AS frame FROM x) SELECT image_id, frame, round(CASE WHEN frame >= c THEN (frame - c) / (n - c) ELSE 0 END, 6)::double AS progress, (frame * 1000000 // 5) AS at_us FROM y"
+M10 = ", x AS (SELECT image_id, floor(2.0 * (1 + image_id % 3) * 5)::bigint AS n FROM v_images), y AS (SELECT image_id, n, n - floor(n * 0.2)::bigint AS c, unnest(range(0, n)) AS frame FROM x) SELECT image_id, frame, round(CASE WHEN frame >= c THEN (frame - c) / (n - c) ELSE 0 END, 6)::double AS progress, (frame * 1000000 // 5) AS at_us FROM y"
 
 
 @query("m10_frame_plan", M10)
 def frames(v):
-    return q.frame_plan(v.images.filter("image_id % 20 = 0").select("image_id", (2.0 * (1 + F.col("image_id") % 3)).alias("seconds")), 5)
+    return q.frame_plan(v.images.select("image_id", (2.0 * (1 + F.col("image_id") % 3)).alias("seconds")), 5)
 
 
 T2 = "SELECT album_id, image_id, sum(fresh) OVER (PARTITION BY album_id ORDER BY date_taken, image_id)::bigint AS session FROM (SELECT *, CASE WHEN lag(date_taken) OVER (PARTITION BY album_id ORDER BY date_taken, image_id) >= date_taken - INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM v_images)"

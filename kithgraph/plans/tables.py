@@ -129,9 +129,9 @@ def verified(v):
     return t.by_status(v.staged, "VERIFIED", [F.col("quality_score").desc(), F.col("face_id")]).select("face_id", "quality_score")
 
 
-@query("f5_pending_older", "SELECT face_id FROM v_staged WHERE status = 'PENDING' AND created_at < TIMESTAMP '2000-01-01 00:00:00' AND candidate_cluster_id % 5 = 2")
+@query("f5_pending_older", "SELECT face_id FROM v_staged WHERE status = 'PENDING' AND created_at < TIMESTAMP '2000-01-01 00:00:00'")
 def pending_older(v):
-    old = (F.col("created_at") < F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")) & (F.col("candidate_cluster_id") % 5 == 2)
+    old = F.col("created_at") < F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
     return t.by_status(v.staged, "PENDING", [F.col("created_at"), F.col("face_id")]).filter(old).select("face_id")
 
 
@@ -196,9 +196,9 @@ def undoable(v):
     return t.undoable(v.history, "2024-02-05 00:00:00", 50).select("history_id")
 
 
-@query("f12_merge_history", "SELECT history_id, ts FROM v_history WHERE operation_type = 'MERGE' AND cluster_id % 10 = 3")
+@query("f12_merge_history", "SELECT history_id, ts FROM v_history WHERE operation_type = 'MERGE'")
 def merge_history(v):
-    return v.history.filter("operation_type = 'MERGE' AND cluster_id % 10 = 3").select("history_id", "ts")
+    return v.history.filter("operation_type = 'MERGE'").select("history_id", "ts")
 
 
 @query("f13_search_persons", "SELECT person_id, name FROM v_persons WHERE lower(name) LIKE '%0001%'")

@@ -83,38 +83,6 @@ def join(v):
     return simjoin.similarity_join(faces, faces, 0.58).filter("id_a < id_b")
 
 
-V8 = PLANTED + """, s AS (SELECT a.face_id, b.cluster_id, max(round(list_dot_product(a.v, b.v), 6)) AS sim, count(*) FILTER (round(list_dot_product(a.v, b.v), 6) >= 0.35) AS support
- FROM f a JOIN f b ON b.quality_score >= 65 WHERE a.face_id % 20 = 1 GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY sim DESC, cluster_id) AS n, lead(sim) OVER (PARTITION BY face_id ORDER BY sim DESC, cluster_id) AS second FROM s)
-"""
-
-
-def evidence(v):
-    faces = planted(v)
-    anchors = faces.filter("quality_score >= 65")
-    near = simjoin.similarity_join(side(faces.filter("face_id % 20 = 1")), side(anchors), -1.0)
-    return simjoin.match_evidence(near, anchors.select(F.col("face_id").alias("id_b"), "cluster_id"))
-
-
-@query("v8_match_evidence", V8 + "SELECT face_id, cluster_id, sim, round(coalesce(sim - second, 1), 6) AS gap, support FROM r WHERE n = 1", raw=True)
-def match_evidence(v):
-    return evidence(v)
-
-
-@query("k7_anchor_decision", V8 + "SELECT face_id, cluster_id, CASE WHEN sim >= 0.62 AND support >= 1 THEN 'SAFE_SAME' WHEN sim >= 0.35 THEN 'UNCERTAIN' ELSE 'SAFE_DIFFERENT' END AS zone FROM r WHERE n = 1", raw=True)
-def anchor_decision(v):
-    from kithgraph.functions import scoring
-
-    zone = scoring.three_zones(F.when(F.col("support") >= 1, F.col("sim")).otherwise(F.least("sim", F.lit(0.6))))
-    return evidence(v).select("face_id", "cluster_id", zone.alias("zone"))
-
-
-@query("k9_second_pass", V8 + "SELECT face_id, CASE WHEN sim >= 0.55 AND support >= 1 THEN cluster_id END AS cluster_id, CASE WHEN sim >= 0.55 AND support >= 1 THEN 'ASSIGNED' WHEN face_id % 3 = 0 THEN 'NEW' ELSE 'KEPT' END AS outcome FROM r WHERE n = 1", raw=True)
-def second_pass(v):
-    fits = (F.col("sim") >= 0.55) & (F.col("support") >= 1)
-    return evidence(v).select("face_id", F.when(fits, F.col("cluster_id")).alias("cluster_id"), F.when(fits, "ASSIGNED").when(F.col("face_id") % 3 == 0, "NEW").otherwise("KEPT").alias("outcome"))
-
-
 @query("v9_ann_join")
 def ann(v):
     faces = side(planted(v))
@@ -130,9 +98,16 @@ def medoids(v):
     return x.medoids(planted(v), "cluster_id", "face_id", "v").withColumn("score", F.round("score", 6))
 
 
-@query("v13_quality_medoids", V12.format(bonus="a.quality_score / 100 * 0.5", where=""), raw=True)
+V13 = V12.format(bonus="a.quality_score / 100 * 0.5", where="").replace("SELECT cluster_id, face_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, face_id) AS n FROM s) WHERE n = 1", """
+, q AS (SELECT s.cluster_id, s.face_id, s.score, f.quality_score, s.cluster_id % 4 <> 1 AND s.face_id % 3 <> 0 AS eyes FROM s JOIN f USING (face_id))
+SELECT cluster_id, face_id, CASE WHEN eyes THEN round(score, 6) END AS score FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY eyes DESC, CASE WHEN eyes THEN score ELSE quality_score END DESC, face_id) AS n FROM q) WHERE n = 1""")
+
+
+@query("v13_quality_medoids", V13, raw=True)
 def quality_medoids(v):
-    return x.medoids(planted(v), "cluster_id", "face_id", "v", F.col("quality_score") / 100 * 0.5).withColumn("score", F.round("score", 6))
+    """Faces without visible eyes are passed over; where all are, the best quality counts."""
+    eyes = (F.col("cluster_id") % 4 != 1) & (F.col("face_id") % 3 != 0)
+    return x.quality_medoids(planted(v), "cluster_id", "face_id", "v", "quality_score", eyes).withColumn("score", F.round("score", 6))
 
 
 A9 = PLANTED + """, s AS (SELECT a.cluster_id, list_dot_product(a.v, b.v) AS sim FROM f a JOIN f b ON a.cluster_id = b.cluster_id AND a.face_id < b.face_id WHERE a.quality_score >= 65 AND b.quality_score >= 65)
@@ -152,14 +127,18 @@ def tightness(v):
     return k.tightness(planted(v))
 
 
-A11 = PLANTED + ", s AS (SELECT a.face_id AS id_a, count(*) AS degree FROM f a JOIN f b ON a.face_id <> b.face_id WHERE list_dot_product(a.v, b.v) >= 0.6 GROUP BY 1) SELECT count(*) AS nodes, sum(degree)::bigint AS edges, min(degree) AS least, max(degree) AS most FROM s"
+A11 = PLANTED + ", s AS (SELECT a.face_id AS id_a, count(*) AS degree FROM f a JOIN f b ON a.face_id <> b.face_id WHERE list_dot_product(a.v, b.v) >= 0.6 GROUP BY 1) SELECT count(*) AS nodes, sum(degree)::bigint AS edges, min(degree) AS least, max(degree) AS most, round(avg(degree), 6) AS mean, (SELECT max(len(v)) FROM f)::bigint AS dimension, (SELECT round(count(*) / count(DISTINCT cluster_id), 6) FROM f WHERE quality_score >= 65) AS anchors_per_cluster FROM s"
 
 
 @query("a11_edge_summary", A11, raw=True)
 def edges(v):
-    faces = side(planted(v))
-    degree = simjoin.similarity_join(faces, faces, 0.6).filter("id_a <> id_b").groupBy("id_a").agg(F.count("*").alias("degree"))
-    return degree.agg(F.count("*").alias("nodes"), F.sum("degree").alias("edges"), F.min("degree").alias("least"), F.max("degree").alias("most"))
+    faces = planted(v)
+    degree = simjoin.similarity_join(side(faces), side(faces), 0.6).filter("id_a <> id_b").groupBy("id_a").agg(F.count("*").alias("degree"))
+    degrees = degree.agg(F.count("*").alias("nodes"), F.sum("degree").alias("edges"), F.min("degree").alias("least"), F.max("degree").alias("most"), F.round(F.avg("degree"), 6).alias("mean"))
+    anchored = F.col("quality_score") >= 65
+    index = faces.agg(F.max(F.size("v")).cast("long").alias("dimension"), F.round(F.count_if(anchored) / F.count_distinct(F.when(anchored, F.col("cluster_id"))), 6).alias("anchors_per_cluster"))
+    # Two tables of one row each.
+    return degrees.join(F.broadcast(index), F.lit(True))
 
 
 K5 = PLANTED + """, s AS (SELECT f.face_id, m.cluster_id, round(list_dot_product(f.v, m.c), 6) AS sim FROM f, m),
@@ -194,6 +173,12 @@ def incremental(v):
     return k.incremental_cluster(faces.filter("face_id % 5 = 0"), faces.filter("face_id % 5 <> 0"))
 
 
+@query("k4_incremental_clusters")
+def incremental_clusters(v):
+    faces = planted(v)
+    return k.incremental_clusters(faces.filter("face_id % 5 = 0"), faces.filter("face_id % 5 <> 0 AND cluster_id % 3 <> 0"))
+
+
 K11 = PLANTED.replace("WITH proto", "WITH RECURSIVE proto") + """, g AS (SELECT a.face_id AS a, b.face_id AS b FROM f a JOIN f b ON a.face_id <> b.face_id WHERE list_dot_product(a.v, b.v) >= 0.7),
 c(node, label) AS (SELECT a, a FROM g UNION SELECT g.b, c.label FROM c JOIN g ON g.a = c.node)
 SELECT node, min(label) AS label FROM c GROUP BY 1"""
@@ -206,14 +191,6 @@ def connected(v):
     return components(found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 
 
-K14 = PLANTED + "SELECT CASE WHEN a.n >= b.n THEN b.cluster_id ELSE a.cluster_id END AS source, CASE WHEN a.n >= b.n THEN a.cluster_id ELSE b.cluster_id END AS target, round(list_dot_product(a.c, b.c), 6) AS sim, CASE WHEN list_dot_product(a.c, b.c) >= 0.62 THEN 'likely' WHEN list_dot_product(a.c, b.c) >= 0.58 THEN 'possible' ELSE 'uncertain' END AS label FROM m a JOIN m b ON a.cluster_id < b.cluster_id WHERE list_dot_product(a.c, b.c) >= 0.0"
-
-
-@query("k14_merge_candidates", K14, raw=True)
-def merge_candidates(v):
-    return k.merge_candidates(x.centroids(planted(v), "cluster_id", "v"), 0.0)
-
-
 @query("k13_merge_sets", "SELECT p_partkey % 40 AS label, count(DISTINCT p_partkey) AS n, min(p_partkey) AS target FROM part WHERE p_size % 3 = 0 GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1", raw=True)
 def merge_sets(v):
     return k.merge_sets(v.table("part").filter("p_size % 3 = 0").select((F.col("p_partkey") % 40).alias("label"), F.col("p_partkey").alias("cluster_id")))
@@ -226,8 +203,7 @@ def greedy(v):
 
 @query("k2_merge_fixpoint")
 def fixpoint(v):
-    faces = planted(v)
-    return k.merge_fixpoint(faces.withColumn("cluster_id", F.col("photo_id")), 0.45)
+    return k.merge_fixpoint(planted(v).withColumn("cluster_id", F.col("cluster_id") * 4 + F.col("face_id") % 4))
 
 
 @query("k12_label_propagation")

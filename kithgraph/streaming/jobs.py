@@ -19,29 +19,36 @@ def source(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, batch, mode: str = "append") -> None:
+def drain(stream: DataFrame, batch, mode: str = "append", state: str | None = None) -> None:
     """Run a stream over all that is there now."""
-    state = new_folder(stream.sparkSession, "stream")
+    state = state or new_folder(stream.sparkSession, "stream")
     stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(batch).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_scan(spark: SparkSession, path: str, key: str, status=None) -> DataFrame:
-    """Discover rows, skip known keys, set their status; a batch that runs again changes nothing."""
-    out = new_folder(spark, "scan")
+def run_scan(spark: SparkSession, path: str, key: str, status=None, state: str | None = None, max_files: int = 64) -> DataFrame:
+    """Discover rows, skip known keys, set their status; a batch that runs again changes nothing.
+
+    ``state`` is the folder of a scan that goes on from run to run: its stream reads only new files.
+    """
+    out = f"{state}/rows" if state else new_folder(spark, "scan")
 
     def step(batch: DataFrame, number: int) -> None:
         found = batch.select(key, (status if status is not None else F.lit("SCANNED")).alias("scan_status"))
-        known = spark.read.schema(found.schema).parquet(f"{out}/*") if number else spark.createDataFrame([], found.schema)
+        # Only earlier batches count, so a batch that runs again finds what it found before.
+        known = spark.read.schema(found.schema).parquet(*(f"{out}/batch={i:08d}" for i in range(number))) if number else spark.createDataFrame([], found.schema)
         fresh = insert_ignore(known, found, key).join(known.select(key), key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
 
-    drain(source(spark, path), step)
+    drain(source(spark, path, max_files), step, state=f"{state}/stream" if state else None)
     return spark.read.parquet(out).drop("batch")
 
 
 def progress(events: DataFrame, key: str) -> DataFrame:
     """Running totals of each scan: rows, failures, percent done."""
-    return events.groupBy(key).agg(F.count("*").alias("rows"), F.count_if(F.col("event_type") == "error").alias("failed"), F.max("value").alias("most"))
+    rows, failed, done = F.count("*"), F.count_if(F.col("event_type") == "error"), F.count_if(F.col("event_type") != "view")
+    # Views stand for rows that still wait.
+    state = F.when(failed * 4 > rows, "ERROR").when(done == rows, "COMPLETE").when(done > 0, "SCANNING").otherwise("IDLE")
+    return events.groupBy(key).agg(rows.alias("rows"), failed.alias("failed"), F.max("value").alias("most"), F.floor(done * 100 / rows).cast("long").alias("percent"), state.alias("state"))
 
 
 def complete(spark: SparkSession, stream: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from kithgraph.functions import scoring, vectors
-from kithgraph.operators import clustering, people, sequence, simjoin, tables
+from kithgraph.operators import clustering, matching, people, sequence, simjoin, tables
 from kithgraph.operators.graph import components
 from kithgraph.streaming import jobs
 
@@ -56,13 +56,173 @@ def faces_of(spark, n=60, groups=5):
     return pdf, spark.createDataFrame(rows, "face_id long, photo_id long, quality_score long, v array<double>")
 
 
-def test_greedy_clusters_equal_one_sequential_pass(spark):
+def one_pass(rows, sims, least, photo, part, boost=None):
+    """Leaders by going through the rows in order."""
+    led, out = [], {}
+    for i in rows:
+        near = [(-round(min(1, max(-1, sims[i, j] + (boost[i] if boost is not None else 0))), 6), j) for j in led if photo[i] != photo[j] and part[i] == part[j]]
+        best = min(near, default=(2, -1))
+        if -best[0] >= least:
+            out[i] = best[1]
+        else:
+            led.append(i)
+            out[i] = i
+    return out
+
+
+def test_greedy_clusters_equal_one_sequential_pass(spark, monkeypatch):
+    monkeypatch.setattr(simjoin.blocked, "__defaults__", (17,))
     pdf, df = faces_of(spark)
+    v = np.stack(pdf.v)
     got = {r.face_id: r.cluster_id for r in clustering.greedy_cluster(df, 0.58).collect()}
-    want = clustering.greedy_block(pdf, 0.58)
-    assert got == dict(zip(want.face_id, want.cluster_id, strict=True))
-    photo = dict(zip(pdf.face_id, pdf.photo_id, strict=True))
-    assert len({(c, photo[f]) for f, c in got.items()}) == len(got)
+    order = sorted(pdf.face_id, key=lambda i: (-pdf.quality_score[i], i))
+    assert got == one_pass(order, v @ v.T, 0.58, pdf.photo_id, [0] * len(v))
+    assert 2 <= len(set(got.values())) < len(v)
+
+
+def test_subgroups_of_each_cluster(spark):
+    pdf, df = faces_of(spark, 80, 8)
+    v, cluster = np.stack(pdf.v), [9 if i > 77 else 7 if i in (3, 4, 5, 6) else i % 3 for i in range(80)]
+    rows = [(int(i), int(c), int(i * 11 % 97), x.tolist()) for i, (c, x) in enumerate(zip(cluster, v, strict=True))]
+    got = {r.face_id: (r.cluster_id, r.part) for r in matching.subgroups(spark.createDataFrame(rows, "face_id long, cluster_id long, confidence long, v array<double>")).collect()}
+    led = one_pass(sorted(range(80), key=lambda i: (-(i * 11 % 97), i)), v @ v.T, 0.5, range(80), cluster)
+    want = {}
+    for c in set(cluster):
+        own = [i for i in range(80) if cluster[i] == c]
+        groups = {}
+        for i in own:
+            groups.setdefault(led[i], []).append(i)
+        kept = {k: g for k, g in groups.items() if len(g) > 1}
+        if len(own) < 3 or not kept:
+            kept = {min(groups): own}
+        want |= {i: (c, k) for k, g in kept.items() for i in g}
+    assert got == want
+
+
+def test_first_pass_in_order_of_quality(spark):
+    pdf, _ = faces_of(spark, 90, 9)
+    v, photo = np.stack(pdf.v), [i // 3 for i in range(90)]
+    quality = [40 + (i * 37) % 61 for i in range(90)]
+    tiers = ["ANCHOR" if q >= 65 else "CLUSTERING" if q >= 50 else "DISPLAY_ONLY" if q >= 42 else "REJECTED" for q in quality]
+    known = [i for i in range(90) if i % 3 == 0 and i % 9 < 4]
+    rows = [(i, v[i].tolist(), quality[i], tiers[i], photo[i]) for i in range(90) if i % 3]
+    faces = spark.createDataFrame(rows, "id long, vector array<double>, quality long, tier string, photo long")
+    anchors = spark.createDataFrame([(i, v[i].tolist(), i % 9) for i in known], "id long, vector array<double>, cluster_id long")
+    got = {r.face_id: (r.cluster, r.outcome) for r in matching.first_pass(faces, anchors).collect()}
+    boost = matching.quality_boost(np.array(quality, dtype=float))
+    sim = np.round(np.clip(v @ v.T + boost[:, None], -1, 1), 6)
+    seeds, wish, want = [], {}, {}
+    for i in sorted((i for i in range(90) if i % 3), key=lambda i: (-quality[i], i)):
+        if tiers[i] == "DISPLAY_ONLY":
+            want[i] = (None, "DISPLAY_ONLY")
+        if tiers[i] not in ("ANCHOR", "CLUSTERING"):
+            continue
+        old = min((-sim[i, j], j % 9) for j in known)
+        near = min(((-sim[i, j], j) for j in seeds if photo[j] != photo[i]), default=(2.0, None))
+        options = sorted([(old[0], 0, f"c{old[1]}"), (near[0], 1, f"n{near[1]}")])
+        if tiers[i] == "ANCHOR" and -options[0][0] < 0.35:
+            seeds.append(i)
+            want[i] = (f"n{i}", "NEW")
+        else:
+            wish[i] = [x[2] for x in options if -x[0] >= 0.62]
+    first = {}
+    for i in wish:
+        if wish[i]:
+            first.setdefault((photo[i], wish[i][0]), i)
+    second = {}
+    for i in wish:
+        if wish[i] and first[photo[i], wish[i][0]] != i and len(wish[i]) > 1 and (photo[i], wish[i][1]) not in first:
+            second.setdefault((photo[i], wish[i][1]), i)
+    for i, own in wish.items():
+        if own and first[photo[i], own[0]] == i:
+            want[i] = (own[0], "ASSIGNED")
+        elif len(own) > 1 and second.get((photo[i], own[1])) == i:
+            want[i] = (own[1], "ASSIGNED")
+        else:
+            want[i] = (f"n{i}", "NEW") if own and tiers[i] == "ANCHOR" else (None, "DEFERRED")
+    assert got == want
+    assert {x for _, x in got.values()} == {"ASSIGNED", "NEW", "DEFERRED", "DISPLAY_ONLY"}
+
+
+def test_representatives_are_maintained(spark):
+    rng = np.random.default_rng(11)
+    poses, held, new = ["FRONTAL", "SLIGHT_LEFT", "PROFILE_LEFT", "SLIGHT_RIGHT"], [], []
+    for c in range(40):
+        for r in range(7 if c % 8 else 6):
+            held.append((c, 100 * c + r, rng.normal(size=4).tolist(), float(rng.integers(40, 100)), poses[int(rng.integers(0, 3 if c % 2 else 4))], r))
+        new.append((c, 100 * c + 50, rng.normal(size=4).tolist(), float(rng.integers(40, 120)), poses[int(rng.integers(0, 4))]))
+    columns = "cluster_id long, face_id long, v array<double>, quality_score double, pose string"
+    got = {r.cluster_id: (r.action, r.replaced) for r in matching.maintain_representatives(spark.createDataFrame(new, columns), spark.createDataFrame(held, columns + ", rank int")).collect()}
+    for c, _, v, q, pose in new:
+        reps = [h for h in held if h[0] == c]
+        count = {}
+        for h in reps:
+            count[h[4]] = count.get(h[4], 0) + 1
+        double = next((h[4] for h in reps if count[h[4]] > 1), None)
+        same = [h for h in reps if h[4] == pose]
+        worst = min(reps, key=lambda h: (h[3], h[5]))
+        cos = min(np.dot(v, h[2]) / np.linalg.norm(v) / np.linalg.norm(h[2]) for h in reps)
+        if len(reps) < 7:
+            want = ("ADD", None)
+        elif not same and double:
+            want = ("REPLACE", min((h for h in reps if h[4] == double), key=lambda h: (h[3], h[5]))[1])
+        elif same and q > same[0][3] * 1.2:
+            want = ("REPLACE", same[0][1])
+        elif cos < 0.8 and q > worst[3] * 1.1:
+            want = ("REPLACE", worst[1])
+        else:
+            want = ("NONE", None)
+        assert got[c] == want
+    assert {x for x, _ in got.values()} == {"ADD", "REPLACE", "NONE"}
+
+
+def test_splits_by_variance_range_and_parts(spark):
+    one, other = np.eye(8)[0], np.eye(8)[1]
+    rng = np.random.default_rng(2)
+    rows = [(1, i, (one if i % 2 else other) + 0.05 * rng.normal(size=8)) for i in range(8)] + [(2, 100 + i, one + 0.05 * rng.normal(size=8)) for i in range(8)] + [(3, 200 + i, (one if i % 2 else other)) for i in range(4)]
+    rows = [(c, i, i, (v / np.linalg.norm(v)).tolist()) for c, i, v in rows]
+    faces = spark.createDataFrame(rows, "cluster_id long, face_id long, confidence long, v array<double>")
+    got = matching.split_candidates(faces, matching.subgroups(faces)).collect()
+    v = np.array([r[3] for r in rows if r[0] == 1])
+    middle = v.mean(axis=0)
+    sims = v @ (middle / np.linalg.norm(middle))
+    variance, spread = ((1 - sims) ** 2).mean(), sims.max() - sims.min()
+    sure = min(max(variance - 0.05, 0), 0.15) / 0.15 * 0.4 + min(max(spread - 0.25, 0), 0.35) / 0.35 * 0.3 + 0.7 * 0.3
+    assert [(r.cluster_id, r.faces, r.parts, r.auto) for r in got] == [(1, 8, 2, sure >= 0.7)] and abs(got[0].variance - variance) < 1e-6 and abs(got[0].confidence - sure) < 1e-5
+
+
+def test_auto_merge_pairs_each_cluster_once_a_pass(spark):
+    v = [np.array([np.cos(a), np.sin(a)]) for a in np.radians([0, 10, 25, 33, 90])]
+    faces = spark.createDataFrame([(i, i, x.tolist()) for i, x in enumerate(v)], "face_id long, cluster_id long, v array<double>")
+    once = {r.face_id: r.cluster_id for r in clustering.merge_fixpoint(faces, 0.75, 1).collect()}
+    assert once == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+    assert {r.face_id: r.cluster_id for r in clustering.merge_fixpoint(faces, 0.75, 5).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+
+
+def test_hash_descriptor_is_the_plain_loop():
+    from kithgraph.operators import imaging
+
+    pixels = np.random.default_rng(1).integers(0, 1 << 24, 40 * 48)
+    small = [[int(pixels[(y * 48 // 32) * 40 + x * 40 // 32]) for x in range(32)] for y in range(32)]
+    want = []
+    for gy in range(4):
+        for gx in range(4):
+            cell = [small[y][x] for y in range(gy * 8, gy * 8 + 8) for x in range(gx * 8, gx * 8 + 8)]
+            want += [sum(p >> k & 255 for p in cell) / 64 / 255 for k in (16, 8, 0)]
+    want += [((small[y][x] & 255) - (small[y + 1][x + 1] & 255)) / 255 for y in range(31) for x in range(31)]
+    want = np.array(want[:512])
+    assert np.allclose(imaging.hash_descriptor(pixels, 40, 48), want / np.linalg.norm(want), atol=1e-6)
+
+
+def test_a_scan_goes_on_and_a_batch_may_run_again(spark, tmp_path):
+    path, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for n in (3, 5):
+        spark.range(n).select(F.col("id").alias("key")).coalesce(1).write.mode("append").parquet(path)
+        assert sorted(r.key for r in jobs.run_scan(spark, path, "key", state=state, max_files=1).collect()) == list(range(n))
+    import shutil
+
+    shutil.rmtree(f"{state}/stream/commits")
+    assert sorted(r.key for r in jobs.run_scan(spark, path, "key", state=state, max_files=1).collect()) == list(range(5))
 
 
 def test_ann_finds_most_pairs(spark):
