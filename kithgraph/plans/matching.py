@@ -118,9 +118,9 @@ def two_stage(v):
     return m.match_two_stage(faces, x.centroids(clusters, "cluster_id", "v"), reps)
 
 
-def quarters(v):
-    """The planted clusters cut in four, so that there is something to merge."""
-    return planted(v).withColumn("cluster_id", F.col("cluster_id") * 4 + F.col("face_id") % 4)
+def quarters(v, n=4):
+    """The planted clusters cut in n, so that there is something to merge."""
+    return planted(v).withColumn("cluster_id", F.col("cluster_id") * n + F.col("face_id") % n)
 
 
 QUARTERS = PLANTED + """, g AS (SELECT * REPLACE (cluster_id * 4 + face_id % 4 AS cluster_id) FROM f), ge AS (SELECT cluster_id, i, avg(v[i]) AS c, count(*) AS n FROM g, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
@@ -134,9 +134,9 @@ def merge_candidates(v):
     return k.merge_candidates(x.centroids(quarters(v), "cluster_id", "v", normalize=True), s.MERGE)
 
 
-@query("k14_merge_suggestions", K14.format(least=0.45) + " AND list_dot_product(a.c, b.c) < 0.75", raw=True)
+@query("k14_merge_suggestions", K14.format(least=0.45).replace("* 4 + face_id % 4", "* 50 + face_id % 50") + " AND round(list_dot_product(a.c, b.c), 6) < 0.75", raw=True)
 def merge_suggestions(v):
-    return k.merge_candidates(x.centroids(quarters(v), "cluster_id", "v", normalize=True), s.SUGGEST).filter(F.col("sim") < s.MERGE)
+    return k.merge_candidates(x.centroids(quarters(v, 50), "cluster_id", "v", normalize=True), s.SUGGEST).filter(F.col("sim") < s.MERGE)
 
 
 @query("k15_auto_merge")
@@ -166,7 +166,13 @@ def subgroups(v):
 
 @query("r1_split_candidates")
 def split_candidates(v):
-    return m.split_candidates(planted(v), parts(v))
+    """Every two planted clusters as one, which should be split again."""
+    faces = pairs_as_one(v)
+    return m.split_candidates(faces, m.subgroups(faces))
+
+
+def pairs_as_one(v):
+    return planted(v).withColumn("cluster_id", F.floor(F.col("cluster_id") / 2)).withColumn("confidence", (F.col("face_id") * 11) % 97)
 
 
 R2 = QUARTERS + """, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY quality_score DESC, face_id) AS n FROM g) WHERE n <= 7),
@@ -184,9 +190,9 @@ def merge_review(v):
 @query("r3_refine")
 def refine(v):
     """One row: what the review finds to merge, to split, out of step and orphaned."""
-    faces = planted(v)
+    faces = pairs_as_one(v)
     merges = m.merge_review(quarters(v), 0.40, 0.55).agg(F.count("*").alias("merges"), F.count_if("auto").alias("auto_merges"))
-    splits = m.split_candidates(faces, parts(v)).agg(F.count("*").alias("splits"), F.count_if("auto").alias("auto_splits"))
+    splits = m.split_candidates(faces, m.subgroups(faces)).agg(F.count("*").alias("splits"), F.count_if("auto").alias("auto_splits"))
     counted = people.live(v.faces).filter("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.count("*").alias("n"))
     both = people.live(v.clusters).select("cluster_id", "face_count", "person_id").join(counted, "cluster_id", "left")
     audit = both.agg(F.count_if(F.coalesce("n", F.lit(0)) != F.col("face_count")).alias("recounts"), F.count_if(F.col("person_id").isNull() & (F.col("n") > 0)).alias("orphans"), F.count_if(F.col("n").isNull()).alias("empty"))

@@ -226,6 +226,7 @@ def score_faces(v):
     """Overall score and tier from the five measured parts; rejects go."""
     yaw, q = F.col("euler_y"), F.col("quality_score")
     parts = s.size_score(q * 2.2) + s.pose_score(yaw, yaw / 2) + s.sharpness_score(q * q / 15) + s.brightness_score(q * 2.5, F.col("sharpness_score") * 7) + F.col("eye_visibility_score")
-    scored = v.faces.select("face_id", F.round(s.clamp(parts, 0, 100), 6).cast("double").alias("overall"), "sharpness_score", "eye_visibility_score")
+    # Exploding an array of one keeps the optimiser from writing the sum into every branch of the tier.
+    scored = v.faces.select("face_id", F.explode(F.array(F.round(s.clamp(parts, 0, 100), 6).cast("double"))).alias("overall"), "sharpness_score", "eye_visibility_score")
     tier = s.quality_tier("overall", "sharpness_score", "eye_visibility_score")
     return scored.select("face_id", "overall", tier.alias("tier")).filter("tier <> 'REJECTED'")
