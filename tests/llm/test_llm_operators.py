@@ -157,6 +157,15 @@ def test_packing(odd):
         assert end <= 1024
 
 
+def test_packing_takes_few_sequences(spark, docs):
+    found = packing.op1_best_fit_packing(spark, DATA).collect()
+    tokens, used = sum(r.length for r in found), len({r.sequence_id for r in found})
+    longest = sum(r.length > 512 for r in found)
+    # No packing takes fewer than either number.
+    least = max(-(-tokens // 1024), longest)
+    assert least <= used <= 1.02 * least + 1
+
+
 def test_best_two_fit_replaces_the_smallest():
     # Greedy fills 6 + 3; 2 + 2 fill the gap that 3 leaves exactly.
     plan = packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)
@@ -265,6 +274,34 @@ def test_language_id(spark, odd):
     assert all(x.lang_pred == "und" and x.score == 0 for x in got if x.doc_id in (1, 2)) and {x.lang_pred for x in got if x.doc_id == 4} == {"aa"}
 
 
+def test_language_id_is_the_plain_out_of_place_distance(spark, docs):
+    rows = {r.doc_id: (r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+
+    def grams(text):
+        point = [ord(c.lower()[0]) % 1021 + 1 if c.isalpha() else 0 for c in text or ""]
+        a, n = [0, *point, 0], Counter()
+        for i in range(len(a)):
+            x, y, z = (a[j] if j < len(a) else 0 for j in (i, i + 1, i + 2))
+            n[x | 1 << 30] += x > 0
+            n[x << 10 | y | 2 << 30] += i + 1 < len(a) and (x > 0 or y > 0)
+            n[x << 20 | y << 10 | z | 3 << 30] += i + 2 < len(a) and y > 0
+        return +n
+
+    known = {}
+    for i, (text, lang) in rows.items():
+        if zlib.crc32(str(i).encode()) % 3 != 1 and text is not None and lang is not None:
+            known.setdefault(lang, Counter()).update(grams(text))
+    top = lambda n: [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:300]]
+    profiles = {lang: {g: i for i, g in enumerate(top(n))} for lang, n in known.items()}
+    for r in language_id.op8_language_id(spark, DATA).collect():
+        own = top(grams(rows[r.doc_id][0]))
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        far = min((sum(abs(p[g] - i) if g in p else 300 for i, g in enumerate(own)), lang) for lang, p in profiles.items())
+        assert r.lang_pred == far[1] and abs(r.score - max(0, 1 - far[0] / (300 * len(own)))) < 1e-9
+
+
 def test_lm_scoring(spark, odd, docs):
     for got, want in ((lm_scoring.score(odd).collect(), brute.unigram(ODD)), (lm_scoring.op10_lm_scoring(spark, DATA).collect(), brute.unigram(docs))):
         for r, w in zip(sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got), sorted(want), strict=True):
