@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +41,8 @@ def l2_normalize(a: Column) -> Column:
 def vector_sums(df: DataFrame, key: str, vector: str, weight: Column | None = None) -> DataFrame:
     """key, n and the element-wise (weighted) sum; partial sums travel, not vectors."""
     w = weight if weight is not None else F.lit(1.0)
-    parts = df.select(key, w.alias("_w"), F.posexplode(vector).alias("_i", "_x"))
-    summed = parts.groupBy(key, "_i").agg(F.sum(F.col("_x").cast("double") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_s"))), lambda x: x["_s"])
-    return summed.groupBy(key).agg(F.max("_n").alias("n"), ordered.alias("total"))
+    rows = df.select(key, w.cast("double").alias("_w"), array_to_vector(F.col(vector).cast("array<double>")).alias("_x"))
+    return rows.groupBy(key).agg(F.sum("_w").alias("n"), vector_to_array(Summarizer.sum(F.col("_x"), F.col("_w"))).alias("total"))
 
 
 def centroids(df: DataFrame, key: str, vector: str, normalize: bool = False) -> DataFrame:
