@@ -143,7 +143,10 @@ def backfill_display_number(persons: DataFrame) -> DataFrame:
 
 
 def scan_rate(df: DataFrame, key: str, order: list[str], value: str, n: int) -> DataFrame:
-    return df.withColumn("rate", F.avg(value).over(W.partitionBy(key).orderBy(*order).rowsBetween(1 - n, 0)))
+    """df with the mean of the last n values, and how many rows of the key are still to come."""
+    own = W.partitionBy(key).orderBy(*order)
+    waiting = F.count("*").over(W.partitionBy(key)) - F.row_number().over(own)
+    return df.withColumn("rate", F.avg(value).over(own.rowsBetween(1 - n, 0))).withColumn("waiting", waiting)
 
 
 def stable_order(current: DataFrame, known: DataFrame) -> DataFrame:
@@ -236,6 +239,18 @@ def undo_plan(history: DataFrame) -> DataFrame:
     return last.select("cluster_id", "history_id", "operation_type", F.col("operation_type").isin("RENAME", "MOVE_FACE").alias("reversible"))
 
 
+def replay_undo(history: DataFrame, clusters: DataFrame) -> DataFrame:
+    """operation_type, key, value: the name each person and the cluster each face gets back by undoing the newest operations.
+
+    history has face_id and previous_name beside its own columns. Of several renames of one person the newest counts.
+    """
+    last = best_per_group(history.filter("can_undo"), ["cluster_id"], [F.col("ts").desc(), F.col("history_id").desc()])
+    named = last.filter("operation_type = 'RENAME'").join(clusters.filter("person_id IS NOT NULL").select("cluster_id", "person_id"), "cluster_id")
+    newest = named.groupBy("person_id").agg(F.max_by("previous_name", F.struct("ts", "history_id")).alias("value"))
+    moved = last.filter("operation_type = 'MOVE_FACE' AND face_id IS NOT NULL").select(F.lit("MOVE_FACE").alias("operation_type"), F.col("face_id").alias("key"), F.col("cluster_id").cast("string").alias("value"))
+    return newest.select(F.lit("RENAME").alias("operation_type"), F.col("person_id").cast("string").alias("key"), "value").unionByName(moved)
+
+
 def fix_orphans(clusters: DataFrame, faces: DataFrame, persons: DataFrame) -> DataFrame:
     """A person for each live cluster that has faces but no person."""
     lonely = live(clusters).filter("person_id IS NULL").select("cluster_id")

@@ -37,6 +37,17 @@ def place_changes(images: DataFrame) -> DataFrame:
     return marked.filter(F.col("place_name").isNotNull() & (F.col("_last").isNull() | (F.col("_last") != F.col("place_name")))).select("image_id", "place_name")
 
 
+def story_captions(images: DataFrame) -> DataFrame:
+    """album_id, place, style (TITLE, CAPTION) and caption of the images that carry one in their album's story."""
+    placed = images.withColumn("place", F.row_number().over(in_album()) - 1).join(story_profile(images).select("album_id", "story"), "album_id")
+    travel, year = F.coalesce(F.concat(F.lit("Adventures in "), "place_name"), F.lit("Travel Memories")), F.concat(F.lit("Memories of "), F.year("date_taken").cast("string"))
+    text = F.when(F.col("story") == "TRAVEL", travel).when(F.col("story") == "CELEBRATION", year).otherwise("Our Memories")
+    titles = placed.filter("place = 0 AND story <> 'SOCIAL'").select("album_id", "place", F.lit("TITLE").alias("style"), text.alias("caption"))
+    changes = place_changes(images).select("image_id").distinct()
+    places = placed.filter("story = 'TRAVEL'").join(changes, "image_id", "left_semi")
+    return titles.unionByName(places.select("album_id", "place", F.lit("CAPTION").alias("style"), F.col("place_name").alias("caption")))
+
+
 def rms_energy(samples: DataFrame, window_ms: int = 50) -> DataFrame:
     at = (F.floor(F.col("t_ms") / window_ms) * window_ms).alias("t_ms")
     return samples.groupBy("track_id", at).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("energy"))

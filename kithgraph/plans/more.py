@@ -126,6 +126,68 @@ def recommend(v):
     return people.top_n(tracks, ["mood"], [F.col("track_id")], 5)
 
 
+M12B = """
+WITH a AS (SELECT s_suppkey AS album_id, CASE WHEN s_suppkey % 4 <> 0 THEN p_type END AS mood FROM supplier LEFT JOIN part ON p_partkey = s_suppkey),
+t AS (SELECT p_partkey AS track_id, p_type AS mood, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS n, row_number() OVER (ORDER BY md5(concat('7-', p_partkey)), p_partkey) AS any_n FROM part)
+SELECT album_id, track_id, n AS rank FROM a JOIN t ON a.mood = t.mood AND n <= 5 UNION ALL SELECT album_id, track_id, any_n FROM a JOIN t ON a.mood IS NULL AND any_n <= 5
+"""
+
+
+@query("m12_tracks_of_albums", M12B, raw=True)
+def tracks_of_albums(v):
+    """The first five tracks of each album's mood; albums without one get five by chance, the same for a seed."""
+    parts = v.table("part").select(F.col("p_partkey").alias("track_id"), F.col("p_type").alias("mood"))
+    albums = v.table("supplier").select(F.col("s_suppkey").alias("album_id")).join(parts, F.col("album_id") == F.col("track_id"), "left")
+    albums = albums.select("album_id", F.when(F.col("album_id") % 4 != 0, F.col("mood")).alias("mood"))
+    first = people.compact_ranks(people.top_n(parts, ["mood"], [F.col("track_id")], 5), ["mood"], [F.col("track_id")]).select("mood", "track_id", (F.col("rank") + 1).alias("rank"))
+    chance = F.md5(F.concat(F.lit("7-"), F.col("track_id").cast("string")))
+    drawn = parts.withColumn("chance", chance).orderBy("chance", "track_id").limit(5)
+    # Five rows.
+    lot = drawn.agg(F.sort_array(F.collect_list(F.struct("chance", "track_id"))).alias("lot"))
+    other = albums.filter("mood IS NULL").join(F.broadcast(lot), F.lit(True)).select("album_id", F.posexplode("lot").alias("place", "x"))
+    return albums.join(first, "mood").select("album_id", "track_id", "rank").unionByName(other.select("album_id", "x.track_id", (F.col("place") + 1).alias("rank")))
+
+
+STORY_ROWS = M2[: M2.rindex("SELECT album_id")].rstrip()
+M2B = STORY_ROWS + """,
+k(story, track) AS (VALUES ('CELEBRATION', 'bright'), ('TRAVEL', 'road'), ('MEMORIES', 'piano'), ('SOCIAL', 'beat')),
+c AS (SELECT y.album_id, y.n, y.story, k.track, (SELECT (template, longest) FROM t WHERE t.story = y.story ORDER BY CASE WHEN n > 10 THEN longest ELSE 0 END, CASE template WHEN 'party' THEN 0 WHEN 'lights' THEN 1 WHEN 'album' THEN 0 ELSE 1 END LIMIT 1) AS x FROM y JOIN k USING (story))
+SELECT i.album_id, image_id, row_number() OVER (PARTITION BY i.album_id ORDER BY date_taken, image_id) - 1 AS place, c.x[1] AS template, c.track, round(least(c.x[2]::double, greatest(1, least(5, 60::double / n))), 6) AS seconds FROM v_images i JOIN c ON c.album_id = i.album_id
+"""
+TRACKS = (("CELEBRATION", "bright"), ("TRAVEL", "road"), ("MEMORIES", "piano"), ("SOCIAL", "beat"))
+
+
+@query("m2_story_images", M2B)
+def story_images(v):
+    """Every image in its story: place by date, the album's template and track, and its seconds."""
+    from kithgraph.operators import sequence
+
+    table = v.spark.createDataFrame(TEMPLATES, "story string, template string, longest double, place int")
+    tracks = v.spark.createDataFrame(TRACKS, "story string, track string")
+    # Six rows and four.
+    both = sequence.story_profile(v.images).join(F.broadcast(table), "story").join(F.broadcast(tracks), "story")
+    order = [F.when(F.col("n") > 10, F.col("longest")).otherwise(0.0), F.col("place")]
+    plan = people.best_per_group(both, ["album_id"], order).select("album_id", "template", "track", F.round(F.least("longest", s.clamp(60.0 / F.col("n"), 1, 5)), 6).alias("seconds"))
+    place = F.row_number().over(W.partitionBy("album_id").orderBy("date_taken", "image_id")) - 1
+    return v.images.select("album_id", "image_id", place.alias("place")).join(plan, "album_id").select("album_id", "image_id", "place", "template", "track", "seconds")
+
+
+M4B = STORY_ROWS + """,
+o AS (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY date_taken, image_id) - 1 AS place FROM v_images),
+g AS (SELECT *, lag(place_name) OVER (PARTITION BY album_id ORDER BY date_taken, image_id) AS b FROM o WHERE place_name IS NOT NULL)
+SELECT album_id, place, 'TITLE' AS style, CASE story WHEN 'TRAVEL' THEN coalesce('Adventures in ' || place_name, 'Travel Memories') WHEN 'CELEBRATION' THEN 'Memories of ' || year(date_taken) ELSE 'Our Memories' END AS caption FROM o JOIN y USING (album_id) WHERE place = 0 AND story <> 'SOCIAL'
+UNION ALL SELECT album_id, place, 'CAPTION', place_name FROM g JOIN y USING (album_id) WHERE story = 'TRAVEL' AND (b IS NULL OR b <> place_name)
+"""
+
+
+@query("m4_story_captions", M4B)
+def story_captions(v):
+    """A title on each story's first image, and on travels the place wherever it differs from the last known one."""
+    from kithgraph.operators import sequence
+
+    return sequence.story_captions(v.images)
+
+
 E20 = """
 , l AS (SELECT face_id, 20.0 + sharpness_score AS lx, 30.0 AS ly, 50.0 + quality_score AS rx, 30.0 + eye_visibility_score AS ry, 40.0 + quality_score / 2 AS nx, 40.0 + eye_visibility_score * 4 AS ny FROM v_faces),
 d AS (SELECT *, sqrt((rx - lx) * (rx - lx) + (ry - ly) * (ry - ly)) AS dist FROM l),

@@ -170,9 +170,17 @@ def reorder(v):
     return p.compact_ranks(v.images, ["album_id"], order, "pos").select("image_id", "pos")
 
 
-@query("w10_scan_rate", "SELECT history_id, round(avg(value) OVER (PARTITION BY cluster_id ORDER BY ts, history_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 8) AS rate FROM v_history")
+W10 = """
+, r AS (SELECT history_id, avg(value) OVER (PARTITION BY cluster_id ORDER BY ts, history_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS rate, count(*) OVER (PARTITION BY cluster_id) - row_number() OVER (PARTITION BY cluster_id ORDER BY ts, history_id) AS waiting FROM v_history)
+SELECT history_id, rate, 60000 / nullif(rate, 0) AS per_minute, rate * waiting / 1000 AS eta_s FROM (SELECT history_id, round(rate, 8) AS rate, waiting FROM r)
+"""
+
+
+@query("w10_scan_rate", W10)
 def scan_rate(v):
-    return p.scan_rate(v.history, "cluster_id", ["ts", "history_id"], "value", 50).select("history_id", F.round("rate", 8).alias("rate"))
+    """Milliseconds a row over the last 50, rows a minute, and the seconds that the rows still waiting will take."""
+    found = p.scan_rate(v.history, "cluster_id", ["ts", "history_id"], "value", 50).withColumn("rate", F.round("rate", 8))
+    return found.select("history_id", "rate", (60000 / F.nullif("rate", F.lit(0.0))).alias("per_minute"), (F.col("rate") * F.col("waiting") / 1000).alias("eta_s"))
 
 
 @query("w11_stable_order", "SELECT person_id, row_number() OVER (ORDER BY (person_id % 3 = 0), photo_count DESC, person_id) AS place FROM v_persons WHERE NOT deleted")
@@ -284,6 +292,23 @@ def undo_last(v):
     return p.undo_plan(v.history)
 
 
+C8B = """
+, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ts DESC, history_id DESC) AS n FROM v_history WHERE can_undo) WHERE n = 1),
+nm AS (SELECT c.person_id, arg_max(u.history_id, (u.ts, u.history_id)) AS h FROM u JOIN v_clusters c USING (cluster_id) WHERE u.operation_type = 'RENAME' AND c.person_id IS NOT NULL GROUP BY 1),
+bf AS (SELECT cluster_id, arg_min(face_id, (-coalesce(quality_score, 0), face_id)) AS face_id FROM v_faces WHERE NOT deleted AND cluster_id IS NOT NULL GROUP BY 1)
+SELECT 'RENAME' AS operation_type, person_id::varchar AS key, concat('Before ', h) AS value FROM nm
+UNION ALL SELECT 'MOVE_FACE', bf.face_id, u.cluster_id::varchar FROM u JOIN bf ON bf.cluster_id = u.source_cluster_id WHERE u.operation_type = 'MOVE_FACE'
+"""
+
+
+@query("c8_replay_undo", C8B)
+def replay_undo(v):
+    """What undoing the newest operation of each cluster sets: names of persons, clusters of faces. Merges stay."""
+    history = v.history.withColumn("previous_name", F.concat(F.lit("Before "), F.col("history_id").cast("string")))
+    moved = p.best_faces(t.live(v.faces)).select(F.col("cluster_id").alias("source_cluster_id"), F.col("best").alias("face_id"))
+    return p.replay_undo(history.join(moved, "source_cluster_id", "left"), v.clusters)
+
+
 C9 = """
 SELECT c.cluster_id, (SELECT max(display_number) FROM v_persons) + row_number() OVER (ORDER BY c.cluster_id) AS display_number, c.photos
 FROM (SELECT c.cluster_id, count(DISTINCT f.photo_id) AS photos FROM v_clusters c JOIN v_faces f ON f.cluster_id = c.cluster_id AND NOT f.deleted WHERE c.person_id IS NULL AND NOT c.deleted GROUP BY 1) c
