@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from kithgraph.operators import matching
 from kithgraph.plans.catalog import query
+from kithgraph.plans.matching import WEIGHTED, decided
+from kithgraph.plans.vectors import planted
 from kithgraph.streaming import jobs
 
 
@@ -26,3 +29,35 @@ def live_view(v):
 @query("t9_dedup_stream", "SELECT DISTINCT event_id FROM events", raw=True)
 def dedup(v):
     return jobs.dedup_stream(v.spark, jobs.source(v.spark, f"{v.sf_dir}/events.parquet").select("event_id"), "event_id")
+
+
+T3 = """SELECT event_id, user_id, flush_second, ((row_number() OVER (PARTITION BY user_id, flush_second ORDER BY ts, event_id) + 7) // 8)::bigint AS flush
+FROM (SELECT *, ((epoch_us(ts) // 432000000000 + 1) * 432000)::bigint AS flush_second FROM events)"""
+
+
+@query("t3_stage_and_flush", T3, raw=True)
+def stage_and_flush(v):
+    """A user's events are the uncertain rows of one candidate; they are sparse, so a buffer has eight rows or five days."""
+    events = jobs.source(v.spark, f"{v.sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    return jobs.stage_and_flush(events, "user_id", "ts", "event_id", 8, 432_000).select("event_id", "user_id", "flush_second", "flush")
+
+
+T4 = WEIGHTED + """, o AS (SELECT *, zone <> 'UNCERTAIN' OR gap >= 0.10 OR support >= 2 OR sim >= 0.62 AS ok FROM d),
+q AS (SELECT face_id, CASE WHEN sim >= 0.55 AND ok THEN cluster_id END AS cluster_id, CASE WHEN sim >= 0.55 AND ok THEN 'ASSIGNED' WHEN sim < 0.55 AND quality_score >= 65 THEN 'NEW' ELSE 'KEPT' END AS outcome FROM o)
+SELECT face_id, cluster_id, outcome, ((face_id * 20 // 600 + CASE outcome WHEN 'ASSIGNED' THEN 1 ELSE 2 END) * 600)::bigint AS resolved_second FROM q"""
+
+
+@query("t4_deferred_pool", T4, raw=True)
+def deferred_pool(v):
+    """Faces deferred one every 20 seconds; a pool of 500 rows or ten minutes goes to the second pass.
+
+    Who is not assigned there waits in the next pool, where ten minutes have passed for all: a new cluster, or kept for good.
+    """
+    at = F.timestamp_seconds(F.col("vec_id") * 20).cast("timestamp_ntz")
+    faces = jobs.source(v.spark, f"{v.sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("face_id"), at.alias("deferred_at"), F.lit("all").alias("pool"))
+    looks = jobs.stage_and_flush(faces, "pool", "deferred_at", "face_id", 500, 600, 600)
+    waited = (F.col("flush_second") + 600 - F.col("face_id") * 20) / 60
+    more = planted(v).select("face_id", F.col("quality_score").alias("quality")).join(looks.select("face_id", "flush_second", waited.alias("minutes")), "face_id")
+    found = matching.second_pass(decided(v).join(more, "face_id"))
+    resolved = F.col("flush_second") + F.when(F.col("outcome") == "ASSIGNED", 0).otherwise(600)
+    return found.join(looks.select("face_id", "flush_second"), "face_id").select("face_id", "cluster_id", "outcome", resolved.alias("resolved_second"))

@@ -1,8 +1,9 @@
-"""Incremental jobs with Structured Streaming: scans, progress, live views, duplicates."""
+"""Incremental jobs with Structured Streaming: scans, buffers, progress, live views, duplicates."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kithgraph.operators.tables import insert_ignore, latest
@@ -86,4 +87,38 @@ def live_view(spark: SparkSession, changes: DataFrame, key: str, order: str) ->
         seen.append(path)
 
     drain(changes, step)
-    return spark.read.parquet(seen[-1])
+    return spark.read.parquet(seen[-1]) if seen else spark.createDataFrame([], changes.schema)
+
+
+def stage_and_flush(stream: DataFrame, key: str, at: str, row_id: str, most: int = 50, seconds: int = 5, delay: int = 60) -> DataFrame:
+    """Rows held in a buffer for each key until it has ``most`` of them or its interval of event time ends.
+
+    Adds ``flush_second``, the end of the interval, and ``flush``, the buffer's number in it from 1. An interval is closed once
+    a row is ``delay`` seconds past its end; what still waits when the stream is drained is flushed then. Rows that come after
+    their interval was closed form further buffers of it, counted from 1 again. Rows without a time are flushed at once, with a
+    null second. A buffer travels as a table of each batch, so a batch that runs again holds and flushes the same rows.
+    """
+    spark, columns = stream.sparkSession, stream.columns
+    out = new_folder(spark, "staged")
+    elapsed = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{at}`)")
+    end = ((F.floor(elapsed / (seconds * 1_000_000)) + 1) * seconds).cast("long")
+    place = F.row_number().over(W.partitionBy(key, "flush_second").orderBy(at, row_id))
+    schema = stream.select("*", end.alias("flush_second"), F.lit(1).cast("long").alias("flush"), F.lit(True).alias("open")).schema
+    last = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch
+        if number:
+            before = spark.read.schema(schema).parquet(f"{out}/batch={number - 1:08d}")
+            rows = rows.unionByName(before.filter("open").select(*columns))
+        newest = rows.agg(F.max(elapsed)).first()[0]
+        waits = F.coalesce(F.col("flush_second") > F.lit((newest or 0) // 1_000_000 - delay), F.lit(False))
+        placed = rows.withColumn("flush_second", end).withColumn("flush", F.ceil(place / most).cast("long")).withColumn("open", waits)
+        placed.write.mode("overwrite").partitionBy("open").parquet(f"{out}/batch={number:08d}")
+        last[:] = [number]
+
+    drain(stream, step)
+    if not last:
+        return spark.createDataFrame([], schema).drop("open")
+    whole = spark.read.schema(schema.add("batch", "integer")).parquet(out)
+    return whole.filter(~F.col("open") | (F.col("batch") == last[0])).select(*columns, "flush_second", "flush")

@@ -273,3 +273,34 @@ def test_duplicates_go_over_several_batches_in_any_order_of_time(spark, tmp_path
     events = jobs.source(spark, path, 1).select("event_id")
     got = [r.event_id for r in jobs.dedup_stream(spark, events, "event_id").collect()]
     assert sorted(got, key=str) == sorted({10 * h + i for h in (5, 1, 9, 0, 3) for i in range(5)} | {None}, key=str)
+
+
+def test_a_buffer_empties_by_size_and_by_time_whatever_the_batches(spark, tmp_path):
+    moments = [0, 1, 1, 2, 3, 4, 5, 9, 10, 23, 24, 31]
+    rows = [(i, i % 2, f"2024-01-01 00:00:{second:02d}") for i, second in enumerate(moments)]
+    want, seen = {}, {}
+    for i, user, _ in rows:
+        end = moments[i] // 5 * 5 + 5
+        seen[user, end] = seen.get((user, end), 0) + 1
+        want[i] = (end, (seen[user, end] + 1) // 2)
+    for name, size in (("one", 12), ("many", 1), ("pairs", 2)):
+        path = str(tmp_path / name)
+        for first in range(0, 12, size):
+            own = spark.createDataFrame(rows[first : first + size], "id long, user long, at string")
+            own.withColumn("at", F.to_timestamp_ntz("at")).coalesce(1).write.mode("append").parquet(path)
+        stream = jobs.source(spark, path, 1)
+        got = jobs.stage_and_flush(stream, "user", "at", "id", 2, 5, 60)
+        zero = 1_704_067_200
+        assert {r.id: (r.flush_second - zero, r.flush) for r in got.collect()} == want
+
+
+def test_late_rows_and_rows_without_a_time_are_flushed(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for rows in ([(1, "2024-01-01 00:00:01"), (2, None)], [(3, "2024-01-01 00:01:00")], [(4, "2024-01-01 00:00:02")]):
+        own = spark.createDataFrame(rows, "id long, at string").withColumn("at", F.to_timestamp_ntz("at"))
+        own.coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.source(spark, path, 1).withColumn("user", F.lit("u"))
+    got = {r.id: (r.flush_second and r.flush_second % 1000, r.flush) for r in jobs.stage_and_flush(stream, "user", "at", "id", 9, 5, 10).collect()}
+    assert got == {1: (205, 1), 2: (None, 1), 3: (265, 1), 4: (205, 1)}
+    empty = jobs.stage_and_flush(jobs.source(spark, path).filter("id > 9").withColumn("user", F.lit("u")), "user", "at", "id")
+    assert empty.count() == 0
