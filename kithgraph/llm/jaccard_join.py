@@ -365,3 +365,20 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (SELECT DISTINCT r, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 4], ' ') END AS gram
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)
+), n AS (SELECT r, count(*) AS n FROM g GROUP BY r
+), u AS (SELECT r, md5(string_agg(gram, ' | ' ORDER BY gram)) AS body FROM g GROUP BY r
+), f AS (SELECT body, min(r) AS head FROM u GROUP BY body
+), i AS (SELECT gram, list(r) AS rs FROM g SEMI JOIN f ON g.r = f.head GROUP BY gram HAVING count(*) > 1
+), pr AS (SELECT a.r AS a, b AS b, count(*) AS common FROM (SELECT unnest(rs) AS r, rs FROM i) a, unnest(a.rs) AS t(b) WHERE a.r < b GROUP BY 1, 2
+), links AS (SELECT a, b FROM pr JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links UNION ALL SELECT r, head FROM u JOIN f USING (body) UNION ALL SELECT head, r FROM u JOIN f USING (body)
+), walk(r, m) AS (SELECT r, r FROM d UNION SELECT walk.r, edges.b FROM walk JOIN edges ON edges.a = walk.m)
+SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n), 0)::bigint AS n_shingles, min(e.doc_id) AS component_id
+FROM walk JOIN d ON d.r = walk.r JOIN d e ON e.r = walk.m LEFT JOIN n ON n.r = walk.r GROUP BY walk.r
+"""

@@ -22,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard_join": jaccard_join.ORACLE,
     "op5_url_filters": url_filter.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op9_suffix_array_dedup": suffix_dedup.ORACLE,
 }

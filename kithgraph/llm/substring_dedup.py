@@ -117,3 +117,17 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carry
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (SELECT r, unnest(range(1, len(w) - 33)) AS p, w FROM d WHERE len(w) >= 35
+), h AS (SELECT r, p, md5(array_to_string(w[p:p + 34], ' ')) AS h FROM s
+), c AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1
+), x AS (SELECT DISTINCT r, p + unnest(range(0, 35)) AS p FROM c
+), k AS (SELECT r, list(p) AS gone FROM x GROUP BY r
+), l AS (SELECT doc_id, r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), o AS (SELECT l.r, string_agg(word, ' ' ORDER BY l.p) AS kept FROM l ANTI JOIN x ON l.r = x.r AND l.p = x.p GROUP BY l.r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(len(gone), 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN o USING (r)
+"""

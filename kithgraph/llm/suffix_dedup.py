@@ -159,3 +159,19 @@ def remove_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_strings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), y AS (SELECT r, q, substr(x, 2 * q + 1, 2398) AS y FROM (SELECT r, x, unnest(range(0, len(x) // 2, 1000)) AS q FROM d)
+), h AS (SELECT r, q + p AS p, md5(substr(y, 2 * p + 1, 400)) AS h FROM (SELECT r, q, y, unnest(range(0, least(1000, len(y) // 2 - 199))) AS p FROM y WHERE len(y) >= 400)
+), c AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1
+), e AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM c
+), g AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS span FROM e
+), s AS (SELECT r, span, min(p) AS low, max(p) + 200 AS high FROM g GROUP BY r, span
+), t AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM s
+), k AS (SELECT r, count(*) AS n_spans, sum(high - low) AS n_removed, string_agg(substr(x, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) || substr(any_value(x), 2 * max(high) + 1) AS kept
+  FROM t JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(x) // 2)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
