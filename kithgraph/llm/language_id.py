@@ -153,3 +153,23 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     known = docs.filter(~held_out & F.col("text").isNotNull() & F.col("lang").isNotNull())
     return identify(docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text"), profiles(known))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, text,
+    coalesce(xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) % 3 = 1, false) AS held_out FROM documents
+), u AS (SELECT r, unnest(list_concat([''], regexp_extract_all(text, '(?s).'))) AS x, unnest(range(0, length(text) + 1)) AS i FROM d WHERE text IS NOT NULL
+), l AS (SELECT x, CASE WHEN regexp_full_match(x, '\p{L}') THEN unicode(lower(x)) % 1021 + 1 ELSE 0 END::BIGINT AS a FROM (SELECT DISTINCT x FROM u)
+), s AS (SELECT r, a, coalesce(lead(a) OVER w, 0) AS b, coalesce(lead(a, 2) OVER w, 0) AS c FROM u JOIN l USING (x) WINDOW w AS (PARTITION BY r ORDER BY i)
+), g AS (SELECT r, gram, count(*) AS n FROM (
+    SELECT r, unnest([CASE WHEN a > 0 THEN a + 1073741824 END, CASE WHEN a > 0 OR b > 0 THEN a * 1024 + b + 2147483648 END, CASE WHEN b > 0 THEN a * 1048576 + b * 1024 + c + 3221225472 END]) AS gram FROM s)
+  WHERE gram IS NOT NULL GROUP BY r, gram
+), p AS (SELECT lang, gram, k FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS k
+    FROM g JOIN d USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, gram) WHERE k < 300
+), t AS (SELECT r, gram, row_number() OVER (PARTITION BY r ORDER BY n DESC, gram) - 1 AS j FROM g QUALIFY j < 300
+), f AS (SELECT t.r, names.lang, sum(coalesce(abs(p.k - t.j), 300))::BIGINT AS far, count(*) AS own
+  FROM t CROSS JOIN (SELECT DISTINCT lang FROM p) names LEFT JOIN p ON p.lang = names.lang AND p.gram = t.gram GROUP BY t.r, names.lang
+), z AS (SELECT r, lang, greatest(0.0::DOUBLE, 1.0::DOUBLE - far::DOUBLE / (300 * own)::DOUBLE) AS score FROM f QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, lang) = 1)
+SELECT doc_id, held_out, coalesce(z.lang, 'und') AS lang_pred, coalesce(score, 0) AS score FROM d LEFT JOIN z USING (r)
+"""

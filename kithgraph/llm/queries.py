@@ -26,5 +26,6 @@ ORACLES: dict[str, str] = {
     "op5_url_filters": url_filter.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op8_language_id": language_id.ORACLE,
     "op9_suffix_array_dedup": suffix_dedup.ORACLE,
 }
