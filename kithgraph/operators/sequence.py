@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -53,21 +55,35 @@ def rms_energy(samples: DataFrame, window_ms: int = 50) -> DataFrame:
     return samples.groupBy("track_id", at).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("energy"))
 
 
-def beats_of(group: pd.DataFrame, gap: int) -> pd.DataFrame:
-    """Peaks more than the gap after the last accepted one; the first may come early."""
-    last, kept = -500, []
-    for t in group.sort_values("t_ms").t_ms:
-        if t - last > gap:
-            kept.append(t)
-            last = t
-    return pd.DataFrame({"track_id": group.track_id.iloc[:1].repeat(len(kept)).to_numpy(), "t_ms": kept})
+def thinned(rows: DataFrame, key: str, gap: int, *order: str) -> DataFrame:
+    """The first row of each key, then each at least gap ms after the last one kept; order begins with t_ms.
+
+    A row that long after the one before it is kept whatever came earlier, so a key is cut there into runs. Runs are dealt
+    over all tasks, and a task streams its runs in order: neither a key nor a run is ever held whole.
+    """
+    own = W.partitionBy(key).orderBy(*order)
+    first = F.coalesce(F.col("t_ms") - F.lag("t_ms").over(own) >= gap, F.lit(True))
+    runs = rows.withColumn("_first", first).withColumn("_run", F.sum(F.col("_first").cast("long")).over(own))
+    columns, schema = rows.columns, rows.schema
+    dealt = runs.repartition(key, "_run").sortWithinPartitions(key, "_run", *order)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = 0
+        for batch in batches:
+            kept = []
+            for begins, t in zip(batch["_first"].tolist(), batch["t_ms"].tolist(), strict=True):
+                kept.append(begins or t - last >= gap)
+                last = t if kept[-1] else last
+            yield batch.loc[kept, columns]
+
+    return dealt.mapInPandas(keep, schema)
 
 
 def detect_beats(energy: DataFrame, sensitivity: float = 1.0, gap: int = 300) -> DataFrame:
-    """Beats of each track: peaks above 1.5 times the mean, divided by sensitivity, with a least gap."""
+    """Beats of each track: peaks above 1.5 times the mean, divided by sensitivity, more than gap ms apart."""
     mean = F.avg("energy").over(W.partitionBy("track_id"))
     peaks = energy.withColumn("_mean", mean).filter(F.col("energy") > F.col("_mean") * 1.5 / sensitivity)
-    return peaks.select("track_id", "t_ms").groupBy("track_id").applyInPandas(lambda g: beats_of(g, gap), "track_id long, t_ms long")
+    return thinned(peaks.select("track_id", "t_ms"), "track_id", gap + 1, "t_ms")
 
 
 def tempo(beats: DataFrame) -> DataFrame:
@@ -122,18 +138,9 @@ def sessions(events: DataFrame, gap: str = "1 HOUR") -> DataFrame:
     return events.withColumn("_new", new).withColumn("session", F.sum("_new").over(in_album())).drop("_new")
 
 
-def throttled(group: pd.DataFrame, ms: int) -> pd.DataFrame:
-    last, kept = None, []
-    for i, t in zip(group.image_id, group.t_ms, strict=True):
-        if last is None or t - last >= ms:
-            kept.append(i)
-            last = t
-    return pd.DataFrame({"image_id": kept})
-
-
 def throttle(events: DataFrame, ms: int) -> DataFrame:
     """The first event of an album, then each that comes at least ms after the last one kept."""
-    return events.groupBy("album_id").applyInPandas(lambda g: throttled(g.sort_values(["t_ms", "image_id"]), ms), "image_id long")
+    return thinned(events.select("album_id", "image_id", "t_ms"), "album_id", ms, "t_ms", "image_id").select("image_id")
 
 
 def debounce(events: DataFrame, ms: int) -> DataFrame:

@@ -205,8 +205,14 @@ def landmarks(v):
     return points.select("face_id", imaging.landmark_verdict().alias("verdict"))
 
 
-@query("q1_measure_images")
+Q1 = """WITH p AS (SELECT vec_id AS image_id, list_transform(embedding, lambda e: trunc((e + 1::FLOAT) * 127::FLOAT)::INT) AS x FROM embeddings),
+l AS (SELECT image_id, x, list_transform(list_filter(range(1, 65), lambda i: (i - 1) % 8 BETWEEN 1 AND 6 AND (i - 1) // 8 BETWEEN 1 AND 6), lambda i: x[i - 1] + x[i + 1] + x[i - 8] + x[i + 8] - 4 * x[i]) AS d FROM p)
+SELECT image_id, round(list_var_pop(d), 6) AS variance, round(list_avg(x), 6) AS brightness, list_min(x)::double AS darkest, list_max(x)::double AS lightest FROM l"""
+
+
+@query("q1_measure_images", Q1, raw=True)
 def measure(v):
     """Sharpness and brightness of small pictures made from the embeddings' values."""
     pixels = F.transform("embedding", lambda e: ((e + 1) * 127).cast("int"))
-    return imaging.measure_images(v.table("embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("w"), F.lit(8).alias("h"), pixels.alias("pixels")))
+    found = imaging.measure_images(v.table("embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("w"), F.lit(8).alias("h"), pixels.alias("pixels")))
+    return found.withColumns({c: F.round(c, 6) for c in ("variance", "brightness")})

@@ -47,14 +47,21 @@ def beats(v):
     return q.detect_beats(samples(v).select("track_id", (F.col("t_ms") * 5).alias("t_ms"), F.col("x").alias("energy")))
 
 
-@query("m6_detect_beats")
+PEAKS = """s AS (SELECT user_id AS track_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 100 AS t_ms, CASE WHEN event_id % 6 = 0 THEN 1 ELSE value END AS x FROM events),
+p AS (SELECT track_id, t_ms FROM (SELECT *, avg(x) OVER (PARTITION BY track_id) AS mean FROM s) WHERE x > mean * 1.5),
+k AS (SELECT track_id, t_ms, row_number() OVER w AS n, 1 + count(*) OVER (PARTITION BY track_id ORDER BY t_ms RANGE BETWEEN UNBOUNDED PRECEDING AND 300 FOLLOWING) AS after FROM p WINDOW w AS (PARTITION BY track_id ORDER BY t_ms)),
+b AS (SELECT * FROM k WHERE n = 1 UNION ALL SELECT k.* FROM b JOIN k ON k.track_id = b.track_id AND k.n = b.after)
+"""
+
+
+@query("m6_detect_beats", "WITH RECURSIVE " + PEAKS + "SELECT track_id, t_ms FROM b", raw=True)
 def detect(v):
     return beats(v)
 
 
-@query("m6_tempo")
+@query("m6_tempo", "WITH RECURSIVE " + PEAKS + "SELECT track_id, count(*) AS n, CASE WHEN count(*) > 1 THEN round(60000 / ((max(t_ms) - min(t_ms)) / (count(*) - 1)), 6) ELSE 120 END::double AS bpm FROM b GROUP BY 1", raw=True)
 def tempo(v):
-    return q.tempo(beats(v))
+    return q.tempo(beats(v)).withColumn("bpm", F.round("bpm", 6))
 
 
 @query("m7_even_beats", "SELECT person_id AS track_id, unnest(range(0, 10000 + person_id * 100, (60000 // (60 + person_id % 90))::bigint)) AS t_ms FROM v_persons")
@@ -129,7 +136,13 @@ def debounce(v):
     return q.debounce(in_ms(v), 600000).select("image_id")
 
 
-@query("t8_throttle")
+THROTTLE = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS t_ms FROM events),
+k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t_ms, event_id) AS n, 1 + count(*) OVER (PARTITION BY user_id ORDER BY t_ms RANGE BETWEEN UNBOUNDED PRECEDING AND 599999 FOLLOWING) AS after FROM e),
+b AS (SELECT * FROM k WHERE n = 1 UNION ALL SELECT k.* FROM b JOIN k ON k.user_id = b.user_id AND k.n = b.after)
+SELECT event_id AS image_id FROM b"""
+
+
+@query("t8_throttle", THROTTLE, raw=True)
 def throttle(v):
     return q.throttle(in_ms(v).select("album_id", "image_id", "t_ms"), 600000)
 
