@@ -304,3 +304,24 @@ def test_late_rows_and_rows_without_a_time_are_flushed(spark, tmp_path):
     assert got == {1: (205, 1), 2: (None, 1), 3: (265, 1), 4: (205, 1)}
     empty = jobs.stage_and_flush(jobs.source(spark, path).filter("id > 9").withColumn("user", F.lit("u")), "user", "at", "id")
     assert empty.count() == 0
+
+
+def test_throttle_keeps_what_a_plain_pass_keeps(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if k == 3 else int(k), i, int(t)) for i, (k, t) in enumerate(zip(rng.choice(4, 600, p=[0.7, 0.1, 0.1, 0.1]), rng.integers(0, 4000, 600), strict=True))]
+    want = []
+    for key in {r[0] for r in rows}:
+        last = None
+        for _, i, t in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            if last is None or t - last >= 25:
+                want.append(i)
+                last = t
+    events = spark.createDataFrame(rows, "album_id long, image_id long, t_ms long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = [r.image_id for r in sequence.throttle(events, 25).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(got) == sorted(want)
+    assert sequence.throttle(events.filter("image_id < 0"), 25).count() == 0
