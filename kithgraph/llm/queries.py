@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kithgraph.llm import exact_dedup, jaccard_join, language_id, lm_scoring, orchard, packing, piece_coding, quality_rules, substring_dedup, suffix_dedup, url_filter, whitening
+from kithgraph.llm import exact_dedup, jaccard_join, language_id, lm_scoring, orchard, packing, personal_data, piece_coding, quality_rules, substring_dedup, suffix_dedup, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op11_personal_data": personal_data.op11_personal_data,
     "op12_centroid_clustering": orchard.op12_centroid_clustering,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
     "op2_quality_rules": quality_rules.op2_quality_rules,
