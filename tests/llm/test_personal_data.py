@@ -152,7 +152,7 @@ def test_odd_rows(spark):
 def test_query_on_its_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = pd.op11_personal_data(spark, DATA).collect()
-    assert Counter(r.doc_id for r in rows) == Counter(docs)
+    assert Counter(r.doc_id for r in rows) == Counter(list(docs))
     for r in rows:
         base = plain(docs[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(pd.written(base).encode()).hexdigest()
