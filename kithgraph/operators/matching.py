@@ -16,6 +16,7 @@ from kithgraph.functions import scoring as s
 from kithgraph.functions import vectors as x
 from kithgraph.operators import simjoin
 from kithgraph.operators.people import top_n
+from kithgraph.operators.tables import running_total
 from kithgraph.sources.storage import saved
 
 # Evidence that results depend on.
@@ -24,6 +25,7 @@ PASS2_HIGH, PASS2_MEDIUM, PASS2_SUPPORTING, PASS2_GAP = 0.62, 0.55, 2, 0.10
 PASS2_MINUTES, PASS2_QUALITY, CENTROID_QUALITY = 10, 65, 60
 CANDIDATES, MORE_CANDIDATES, CANDIDATE_SIM, WIDEN_FROM = 25, 50, 0.15, 0.20
 REPRESENTATIVES, SAME_POSE, DIVERSE, DIVERSE_SIM = 7, 1.2, 1.1, 0.80
+STAGING_TIMEOUT_MS = 60_000
 SPLIT_FACES, SPLIT_VARIANCE, SPLIT_RANGE, AUTO = 5, 0.08, 0.35, 0.70
 
 
@@ -193,32 +195,39 @@ def best_of(faces: DataFrame, representatives: DataFrame, by: str) -> DataFrame:
 
 
 def verify_staged(staged: DataFrame, representatives: DataFrame, middles: DataFrame) -> DataFrame:
-    """face_id, cluster_id (null for a new one), sim, other, conflict, confidence of staged faces with a candidate.
+    """face_id, cluster_id (null for a new one), sim, other, conflict, confidence of staged faces; without a candidate they are new.
 
     staged: face_id, v, quality_score, candidate; representatives: candidate, w; middles: cluster_id, centroid.
     """
     own = best_of(staged, representatives, "candidate")
     side = staged.select(F.col("face_id").alias("id"), F.col("v").alias("vector"))
     near = simjoin.knn(side, middles.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vector")), 2)
-    others = near.join(staged.select(F.col("face_id").alias("id_a"), "candidate", "quality_score"), "id_a").filter("id_b <> candidate")
+    others = near.join(staged.select(F.col("face_id").alias("id_a"), "candidate", "quality_score"), "id_a").filter("candidate IS NULL OR id_b <> candidate")
     others = others.groupBy(F.col("id_a").alias("face_id")).agg(F.max(F.round(s.weighted_similarity(F.col("sim"), F.col("quality_score")), 6)).alias("other"))
     joined = staged.select("face_id", "candidate").join(own, "face_id", "left").join(others, "face_id", "left")
     sim, other = F.greatest(F.coalesce("own", F.lit(0.0)), F.lit(0.0)), F.greatest(F.coalesce("other", F.lit(0.0)), F.lit(0.0))
     out = joined.select("face_id", "candidate", sim.alias("sim"), other.alias("other"))
     out = out.withColumn("conflict", (F.round(F.col("sim") - F.col("other"), 6) < s.DECISION_GAP) & (F.col("other") >= s.UNCERTAIN))
     confidence = (
-        F.when((F.col("sim") >= s.LIKELY) & ~F.col("conflict"), "MEDIUM").when(F.col("sim") >= s.DEFINITE, "HIGH").when(F.col("conflict"), "STAGED")
+        F.when(F.col("candidate").isNull(), "NEW_CLUSTER").when((F.col("sim") >= s.LIKELY) & ~F.col("conflict"), "MEDIUM").when(F.col("sim") >= s.DEFINITE, "HIGH").when(F.col("conflict"), "STAGED")
         .when(F.col("sim") < s.UNCERTAIN, "NEW_CLUSTER").otherwise(s.match_zone(F.col("sim")))
     )
     out = out.withColumn("confidence", confidence)
     return out.select("face_id", F.when(F.col("confidence") != "NEW_CLUSTER", F.col("candidate")).alias("cluster_id"), "sim", "other", "conflict", "confidence")
 
 
-def commit_staged(verified: DataFrame, quality: DataFrame) -> DataFrame:
-    """The face rows of verified decisions that are no longer staged: cluster, score, label, centroid update, new person."""
+def commit_staged(verified: DataFrame, staged: DataFrame) -> DataFrame:
+    """The face rows of verified decisions: cluster, score, label, centroid update, new person.
+
+    staged: face_id, quality_score, waited_ms. A face that waited past the timeout founds a cluster whatever was
+    found. A decision that is still open is forced: the candidate from UNCERTAIN on, labelled STAGED, else a new cluster.
+    """
+    rows = verified.join(staged.select("face_id", "quality_score", "waited_ms"), "face_id")
+    late, undecided = F.col("waited_ms") > STAGING_TIMEOUT_MS, (F.col("confidence") == "STAGED") & (F.col("sim") < s.UNCERTAIN)
+    rows = rows.withColumn("confidence", F.when(F.coalesce(late, F.lit(False)) | undecided | F.col("cluster_id").isNull(), "NEW_CLUSTER").otherwise(F.col("confidence")))
     new = F.col("confidence") == "NEW_CLUSTER"
     moves = (F.col("confidence") == "HIGH") | ((F.col("confidence") == "MEDIUM") & (F.col("quality_score") >= CENTROID_QUALITY))
-    return verified.filter("confidence <> 'STAGED'").join(quality.select("face_id", "quality_score"), "face_id").select(
+    return rows.select(
         "face_id",
         F.when(new, F.concat(F.lit("n"), F.col("face_id").cast("string"))).otherwise(F.concat(F.lit("c"), F.col("cluster_id").cast("string"))).alias("cluster"),
         F.when(new, 1.0).otherwise(F.col("sim")).alias("match_score"),
@@ -228,6 +237,14 @@ def commit_staged(verified: DataFrame, quality: DataFrame) -> DataFrame:
     )
 
 
+def founded(committed: DataFrame, first_number: int) -> tuple[DataFrame, DataFrame]:
+    """The person and cluster rows of committed faces that found a cluster; unnamed persons are numbered from first_number by face."""
+    new = committed.filter("new_person").select("face_id", "cluster", F.concat(F.lit("p"), F.col("face_id").cast("string")).alias("person_id"))
+    numbered = running_total(new, ["face_id"], F.lit(1), "nth")
+    persons = numbered.select("person_id", F.lit(None).cast("string").alias("name"), F.col("face_id").alias("representative_face_id"), F.lit(1).alias("photo_count"), (F.col("nth") + (first_number - 1)).alias("display_number"))
+    return persons, new.select(F.col("cluster").alias("cluster_id"), "person_id", F.col("face_id").alias("centroid_of"), F.lit(1).alias("face_count"))
+
+
 def match_two_stage(faces: DataFrame, middles: DataFrame, representatives: DataFrame) -> DataFrame:
     """face_id, cluster_id, sim, confidence, checked: candidates by centroid, scored by their best representative.
 
@@ -249,9 +266,9 @@ def match_two_stage(faces: DataFrame, middles: DataFrame, representatives: DataF
     found = each.groupBy("face_id").agg(pick(early).alias("a"), pick(~early).alias("b"), F.count_if(early).alias("n_a"), F.count("*").alias("n"))
     found = faces.select("face_id").join(found, "face_id", "left")
     best = F.coalesce(F.col("a.sim"), F.lit(0.0))
-    widened = (best < s.DEFINITE) & (best > WIDEN_FROM) & (F.col("b.sim") > best)
-    chosen = F.when(F.coalesce(widened, F.lit(False)), F.col("b")).otherwise(F.col("a"))
-    out = found.select("face_id", chosen.alias("c"), F.when((best < s.DEFINITE) & (best > WIDEN_FROM), F.col("n")).otherwise(F.col("n_a")).alias("checked"))
+    widened = F.coalesce((best < s.DEFINITE) & (best > WIDEN_FROM) & (F.col("b.sim") > best), F.lit(False))
+    # The search that the answer comes from counts.
+    out = found.select("face_id", F.when(widened, F.col("b")).otherwise(F.col("a")).alias("c"), F.when(widened, F.col("n") - F.col("n_a")).otherwise(F.col("n_a")).alias("checked"))
     sim = F.coalesce(F.col("c.sim"), F.lit(0.0))
     confidence = F.when(sim >= s.DEFINITE, "HIGH").when(sim >= s.LIKELY, "MEDIUM").otherwise("NEW_CLUSTER")
     return out.select("face_id", F.when(sim >= s.LIKELY, F.col("c.cluster_id")).alias("cluster_id"), sim.alias("sim"), confidence.alias("confidence"), F.coalesce("checked", F.lit(0)).alias("checked"))

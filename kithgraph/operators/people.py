@@ -153,17 +153,13 @@ def stable_order(current: DataFrame, known: DataFrame) -> DataFrame:
     """Place in a list: persons shown before come first, each part by photo count."""
     before = known.select("person_id").distinct().withColumn("_known", F.lit(True))
     marked = current.join(before, "person_id", "left").withColumn("_new", F.col("_known").isNull().cast("long"))
-    # One number that sorts like (new, count descending, id), so the places are counted in parts.
-    counted = marked.groupBy("_new", "photo_count").agg(F.count("*").alias("_n"))
-    counted = counted.withColumn("_order", F.col("_new") * 1e12 - F.col("photo_count"))
-    totals = running_total(counted, "_order", F.col("_n"), "_upto").select("_new", "photo_count", (F.col("_upto") - F.col("_n")).alias("_before"))
-    own = F.row_number().over(W.partitionBy("_new", "photo_count").orderBy("person_id"))
-    return marked.withColumn("_own", own).join(totals, ["_new", "photo_count"]).select("person_id", (F.col("_before") + F.col("_own")).alias("place"))
+    ordered = running_total(marked.withColumn("_less", -F.col("photo_count")), ["_new", "_less", "person_id"], F.lit(1), "place")
+    return ordered.select("person_id", "place")
 
 
 def same_photo_constraints(faces: DataFrame, existing: DataFrame | None) -> DataFrame:
     """Pairs of faces on one photo, smaller id first, without the existing ones."""
-    pairs = pairs_within(faces, "photo_id", "face_id").select(F.col("a.face_id").alias("face_id1"), F.col("b.face_id").alias("face_id2")).distinct()
+    pairs = pairs_within(faces, "photo_id", "face_id").select(F.col("a.face_id").alias("face_id1"), F.col("b.face_id").alias("face_id2"))
     if existing is None:
         return pairs
     canonical = existing.select(F.least("face_id1", "face_id2").alias("face_id1"), F.greatest("face_id1", "face_id2").alias("face_id2"))
@@ -171,11 +167,11 @@ def same_photo_constraints(faces: DataFrame, existing: DataFrame | None) -> Data
 
 
 def violations(assigned: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Faces whose cluster holds a face that they must not share it with."""
+    """Faces whose cluster holds a face that they must not share it with; constraints hold a pair once."""
     one = constraints.select(F.col("face_id1").alias("face_id"), F.col("face_id2").alias("partner"))
     both = one.unionByName(constraints.select(F.col("face_id2").alias("face_id"), F.col("face_id1").alias("partner")))
     other = assigned.select(F.col("face_id").alias("partner"), F.col("cluster_id").alias("_cluster"))
-    return both.join(assigned.select("face_id", "cluster_id"), "face_id").join(other, "partner").filter("cluster_id = _cluster").select("face_id", "cluster_id", "partner").distinct()
+    return both.join(assigned.select("face_id", "cluster_id"), "face_id").join(other, "partner").filter("cluster_id = _cluster").select("face_id", "cluster_id", "partner")
 
 
 def add_constraints(constraints: DataFrame, new: DataFrame) -> DataFrame:

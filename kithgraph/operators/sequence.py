@@ -25,11 +25,22 @@ def story_profile(images: DataFrame) -> DataFrame:
     return out.withColumn("story", story_type(F.col("n"), F.col("days"), F.col("places")))
 
 
-def smart_captions(images: DataFrame) -> DataFrame:
-    """The full caption where a day begins, within a day the place only."""
+def caption(style: str = "FULL", taken: str = "date_taken", place: str = "place_name") -> Column:
+    """What an image's date and place say in a style; what is missing is left out."""
+    friendly, none = F.date_format(taken, "MMMM d, yyyy"), F.lit("")
+    return {
+        "FULL": F.concat_ws(" • ", place, friendly),
+        "DATE_ONLY": F.coalesce(friendly, none),
+        "LOCATION_ONLY": F.coalesce(place, none),
+        "MINIMAL": F.coalesce(F.date_format(taken, "MMM yyyy"), none),
+    }[style]
+
+
+def smart_captions(images: DataFrame, style: str = "FULL") -> DataFrame:
+    """The style's caption on the first image, where the day changes and after an image without a date; within a day the place (FULL) or nothing."""
     day, before = F.to_date("date_taken"), F.lag(F.to_date("date_taken")).over(in_album())
-    full = F.concat_ws(" • ", F.date_format("date_taken", "MMM yyyy"), "place_name")
-    return images.select("image_id", F.when(before.isNull() | (day != before), full).otherwise(F.coalesce("place_name", F.lit(""))).alias("caption"))
+    within = F.coalesce("place_name", F.lit("")) if style == "FULL" else F.lit("")
+    return images.select("image_id", F.when(before.isNull() | ~day.eqNullSafe(before), caption(style)).otherwise(within).alias("caption"))
 
 
 def place_changes(images: DataFrame) -> DataFrame:
@@ -42,7 +53,7 @@ def place_changes(images: DataFrame) -> DataFrame:
 def story_captions(images: DataFrame) -> DataFrame:
     """album_id, place, style (TITLE, CAPTION) and caption of the images that carry one in their album's story."""
     placed = images.withColumn("place", F.row_number().over(in_album()) - 1).join(story_profile(images).select("album_id", "story"), "album_id")
-    travel, year = F.coalesce(F.concat(F.lit("Adventures in "), "place_name"), F.lit("Travel Memories")), F.concat(F.lit("Memories of "), F.year("date_taken").cast("string"))
+    travel, year = F.coalesce(F.concat(F.lit("Adventures in "), "place_name"), F.lit("Travel Memories")), F.coalesce(F.concat(F.lit("Memories of "), F.year("date_taken").cast("string")), F.lit("Celebration"))
     text = F.when(F.col("story") == "TRAVEL", travel).when(F.col("story") == "CELEBRATION", year).otherwise("Our Memories")
     titles = placed.filter("place = 0 AND story <> 'SOCIAL'").select("album_id", "place", F.lit("TITLE").alias("style"), text.alias("caption"))
     changes = place_changes(images).select("image_id").distinct()

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kithgraph.sources.storage import saved
+
 
 def ingest_catalog(listing: DataFrame) -> DataFrame:
     """Listing (photo_id, size_bytes, seconds) without empty files, times from seconds, newest first."""
@@ -203,33 +205,42 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def cut_points(df: DataFrame, column: str, parts: int) -> list[float]:
-    """Values that split a numeric column into about equal parts."""
-    found = df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
-    return sorted(set(found))
-
-
-def part_of(column: str, cuts: list[float]) -> Column:
-    """How many cut points lie below the value."""
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(column)))
+#: Rows of a part of the range that one task sums in order; a part may be twice as large.
+PART_ROWS = 1 << 20
 
 
-#: Rows of a part of the range that one task sums in order; a part's cut points are expressions of the plan.
-PART_ROWS, MOST_PARTS = 1 << 20, 2048
+def in_parts(df: DataFrame, order: list[str], rows: int = PART_ROWS) -> DataFrame:
+    """df with ``_part``, saved: ranges of the order, none of them much more than ``rows`` rows.
 
-
-def running_total(df: DataFrame, order: str, value: Column, name: str, parts: int | None = None) -> DataFrame:
-    """df (one row for each order value) with the sum of value up to and with it.
-
-    Parts of the range sum side by side, their number follows the rows; only the part totals meet in one task.
+    Spark's range partitioning samples its bounds, so parts are counted, and those of more than twice the rows are cut again.
+    The order has to tell rows apart; a column of ties is cut by the next one.
+    """
+    n = df.count()
+    if n <= rows:
+        return saved(df.withColumn("_part", F.array(F.lit(0))))
+    here = F.spark_partition_id()
+    placed = saved(df.repartitionByRange(-(-n // rows), *order).withColumn("_part", F.array(here)))
+    while True:
+        sizes = saved(placed.groupBy("_part").agg(F.count("*").alias("_n")))
+        large = sizes.filter(F.col("_n") > 2 * rows)
+        more = large.agg(F.sum(F.ceil(F.col("_n") / rows))).first()[0]
+        if not more:
+            return placed
+        cut = placed.join(large.select("_part"), "_part", "left_semi").repartitionByRange(int(more) + 1, "_part", *order)
+        cut = cut.withColumn("_part", F.concat("_part", F.array(here)))
+        placed = saved(placed.join(large.select("_part"), "_part", "left_anti").select(*cut.columns).unionByName(cut))
+
+
+def running_total(df: DataFrame, order: str | list[str], value: Column, name: str, rows: int = PART_ROWS) -> DataFrame:
+    """df (one row for each value of the order) with the sum of value up to and with it.
+
+    Parts of the range sum side by side; only the part totals meet in one task.
     """
-    parts = parts or min(MOST_PARTS, max(8, -(-df.count() // PART_ROWS)))
-    cut = df.withColumn("_part", part_of(order, cut_points(df, order, parts))).withColumn("_value", value)
-    totals = cut.groupBy("_part").agg(F.sum("_value").alias("_sum"))
-    before = totals.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.sum("_value").over(W.partitionBy("_part").orderBy(order))
+    order = [order] if isinstance(order, str) else order
+    cut = in_parts(df.withColumn("_value", value), order, rows)
+    totals = cut.groupBy("_part").agg(F.sum("_value").alias("_sum"), F.min(F.struct(*order)).alias("_first"))
+    before = totals.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum("_value").over(W.partitionBy("_part").orderBy(*order))
     return cut.withColumn("_own", own).join(before, "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_value", "_own", "_before")
 
 

@@ -9,6 +9,7 @@ from kithgraph.operators import matching as m
 from kithgraph.operators import people
 from kithgraph.plans.catalog import query
 from kithgraph.plans.vectors import PLANTED, planted
+from kithgraph.sources.storage import saved
 
 BOOST = "greatest(-0.08, least(0.08, (least(1, greatest(0, {q} / 100)) - 0.5) * 0.2))"
 ZONE = "CASE WHEN {s} >= 0.62 THEN 'SAFE_SAME' WHEN {s} >= 0.35 THEN 'UNCERTAIN' ELSE 'SAFE_DIFFERENT' END"
@@ -78,10 +79,11 @@ vf AS (SELECT *, CASE WHEN sim >= 0.52 AND NOT conflict THEN 'MEDIUM' WHEN sim >
 """
 
 
-def verified(v):
-    candidate = F.when(F.col("face_id") % 3 == 0, (F.col("cluster_id") + 1) % 10).otherwise(F.col("cluster_id"))
+def verified(v, candidate=None):
+    wrong = F.when(F.col("face_id") % 3 == 0, (F.col("cluster_id") + 1) % 10).otherwise(F.col("cluster_id"))
     faces = planted(v)
-    return m.verify_staged(faces.select("face_id", "v", "quality_score", candidate.alias("candidate")), top_faces(v).select(F.col("cluster_id").alias("candidate"), F.col("v").alias("w")), x.centroids(faces, "cluster_id", "v"))
+    staged = faces.select("face_id", "v", "quality_score", (candidate if candidate is not None else wrong).alias("candidate"))
+    return m.verify_staged(staged, top_faces(v).select(F.col("cluster_id").alias("candidate"), F.col("v").alias("w")), x.centroids(faces, "cluster_id", "v"))
 
 
 @query("k6_verify_staged", K6 + "SELECT face_id, CASE WHEN confidence <> 'NEW_CLUSTER' THEN candidate END AS cluster_id, sim, other, conflict, confidence FROM vf", raw=True)
@@ -89,13 +91,30 @@ def verify_staged(v):
     return verified(v)
 
 
-K21 = K6 + """SELECT face_id, CASE WHEN confidence = 'NEW_CLUSTER' THEN concat('n', face_id) ELSE concat('c', candidate) END AS cluster, CASE WHEN confidence = 'NEW_CLUSTER' THEN 1 ELSE sim END::double AS match_score,
- CASE WHEN confidence = 'NEW_CLUSTER' THEN 'NEW' ELSE confidence END AS assignment_confidence, confidence = 'HIGH' OR (confidence = 'MEDIUM' AND quality_score >= 60) AS moves_centroid, confidence = 'NEW_CLUSTER' AS new_person FROM vf WHERE confidence <> 'STAGED'"""
+K21 = K6.replace("CASE WHEN face_id % 3 = 0 THEN (cluster_id + 1) % 10 ELSE cluster_id END AS candidate", "CASE WHEN face_id % 11 = 5 THEN NULL WHEN face_id % 3 = 0 THEN (cluster_id + 1) % 10 ELSE cluster_id END AS candidate").replace("m.cluster_id <> st.candidate", "(st.candidate IS NULL OR m.cluster_id <> st.candidate)") + """,
+cm AS (SELECT *, candidate IS NULL OR face_id % 17 = 16 OR confidence = 'NEW_CLUSTER' OR (confidence = 'STAGED' AND sim < 0.42) AS fresh FROM vf)
+"""
+K21_FACES = """SELECT face_id, CASE WHEN fresh THEN concat('n', face_id) ELSE concat('c', candidate) END AS cluster, CASE WHEN fresh THEN 1 ELSE sim END::double AS match_score,
+ CASE WHEN fresh THEN 'NEW' ELSE confidence END AS assignment_confidence, NOT fresh AND (confidence = 'HIGH' OR (confidence = 'MEDIUM' AND quality_score >= 60)) AS moves_centroid, fresh AS new_person FROM cm"""
+
+
+def committed(v):
+    """Every eleventh face has no candidate; every seventeenth waited 64 seconds."""
+    candidate = F.when(F.col("face_id") % 11 == 5, None).when(F.col("face_id") % 3 == 0, (F.col("cluster_id") + 1) % 10).otherwise(F.col("cluster_id"))
+    waited = planted(v).select("face_id", "quality_score", (F.col("face_id") % 17 * 4000).alias("waited_ms"))
+    return m.commit_staged(verified(v, candidate), waited)
 
 
-@query("k21_commit_staged", K21, raw=True)
+@query("k21_commit_staged", K21 + K21_FACES, raw=True)
 def commit_staged(v):
-    return m.commit_staged(verified(v), planted(v))
+    return committed(v)
+
+
+@query("k21_founded", K21 + "SELECT concat('p', face_id) AS person_id, face_id AS representative_face_id, row_number() OVER (ORDER BY face_id) + 100 AS display_number, concat('n', face_id) AS cluster_id, 1 AS face_count, 1 AS photo_count FROM cm WHERE fresh", raw=True)
+def founded(v):
+    """Persons and clusters of the faces that found one, numbered after a hundred persons."""
+    persons, clusters = m.founded(saved(committed(v)), 101)
+    return persons.join(clusters, "person_id").select("person_id", "representative_face_id", "display_number", "cluster_id", "face_count", "photo_count")
 
 
 V10 = PLANTED + f""", pe AS (SELECT photo_id, i, avg(v[i]) AS c FROM f, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), pm AS (SELECT photo_id AS cluster_id, list(c ORDER BY i) AS c FROM pe GROUP BY 1),
@@ -105,8 +124,8 @@ pk AS (SELECT *, row_number() OVER (PARTITION BY face_id, rank <= 25 ORDER BY si
 cn AS (SELECT face_id, count(*) FILTER (rank <= 25) AS n_a, count(*) AS n FROM ee GROUP BY 1),
 ab AS (SELECT f.face_id, coalesce(a.sim, 0) AS best, a.cluster_id AS ca, b.sim AS sb, b.cluster_id AS cb, coalesce(cn.n, 0) AS n, coalesce(cn.n_a, 0) AS n_a FROM f LEFT JOIN cn USING (face_id)
  LEFT JOIN pk a ON a.face_id = f.face_id AND a.n = 1 AND a.rank <= 25 LEFT JOIN pk b ON b.face_id = f.face_id AND b.n = 1 AND b.rank > 25),
-fin AS (SELECT face_id, best < 0.62 AND best > 0.20 AS wide, CASE WHEN best < 0.62 AND best > 0.20 AND sb > best THEN sb ELSE best END AS sim, CASE WHEN best < 0.62 AND best > 0.20 AND sb > best THEN cb ELSE ca END AS cluster_id, n, n_a FROM ab)
-SELECT face_id, CASE WHEN sim >= 0.52 THEN cluster_id END AS cluster_id, sim::double AS sim, CASE WHEN sim >= 0.62 THEN 'HIGH' WHEN sim >= 0.52 THEN 'MEDIUM' ELSE 'NEW_CLUSTER' END AS confidence, CASE WHEN wide THEN n ELSE n_a END AS checked FROM fin"""
+fin AS (SELECT face_id, best < 0.62 AND best > 0.20 AS wide, coalesce(sb > best, false) AS better, CASE WHEN best < 0.62 AND best > 0.20 AND sb > best THEN sb ELSE best END AS sim, CASE WHEN best < 0.62 AND best > 0.20 AND sb > best THEN cb ELSE ca END AS cluster_id, n, n_a FROM ab)
+SELECT face_id, CASE WHEN sim >= 0.52 THEN cluster_id END AS cluster_id, sim::double AS sim, CASE WHEN sim >= 0.62 THEN 'HIGH' WHEN sim >= 0.52 THEN 'MEDIUM' ELSE 'NEW_CLUSTER' END AS confidence, CASE WHEN wide AND better THEN n - n_a ELSE n_a END AS checked FROM fin"""
 
 
 @query("v10_two_stage", V10, raw=True)

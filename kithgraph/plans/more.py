@@ -175,7 +175,7 @@ def story_images(v):
 M4B = STORY_ROWS + """,
 o AS (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY date_taken, image_id) - 1 AS place FROM v_images),
 g AS (SELECT *, lag(place_name) OVER (PARTITION BY album_id ORDER BY date_taken, image_id) AS b FROM o WHERE place_name IS NOT NULL)
-SELECT album_id, place, 'TITLE' AS style, CASE story WHEN 'TRAVEL' THEN coalesce('Adventures in ' || place_name, 'Travel Memories') WHEN 'CELEBRATION' THEN 'Memories of ' || year(date_taken) ELSE 'Our Memories' END AS caption FROM o JOIN y USING (album_id) WHERE place = 0 AND story <> 'SOCIAL'
+SELECT album_id, place, 'TITLE' AS style, CASE story WHEN 'TRAVEL' THEN coalesce('Adventures in ' || place_name, 'Travel Memories') WHEN 'CELEBRATION' THEN coalesce('Memories of ' || year(date_taken), 'Celebration') ELSE 'Our Memories' END AS caption FROM o JOIN y USING (album_id) WHERE place = 0 AND story <> 'SOCIAL'
 UNION ALL SELECT album_id, place, 'CAPTION', place_name FROM g JOIN y USING (album_id) WHERE story = 'TRAVEL' AND (b IS NULL OR b <> place_name)
 """
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kithgraph.functions import scoring as s
-from kithgraph.operators import people
+from kithgraph.operators import people, sequence
 from kithgraph.plans.catalog import query
 
 
@@ -132,12 +132,15 @@ def place(v):
     return v.persons.select("person_id", F.nullif(F.concat_ws(", ", city, country), F.lit("")).alias("place"))
 
 
-E15 = "SELECT image_id, CASE WHEN place_name IS NULL THEN strftime(date_taken, '%b %Y') ELSE strftime(date_taken, '%b %Y') || ' • ' || place_name END AS full_caption, coalesce(place_name, '') AS location FROM v_images"
+E15 = "SELECT image_id, concat_ws(' • ', place_name, strftime(taken, '%B %-d, %Y')) AS full_caption, coalesce(place_name, '') AS location, coalesce(strftime(taken, '%B %-d, %Y'), '') AS date, coalesce(strftime(taken, '%b %Y'), '') AS minimal FROM (SELECT *, CASE WHEN image_id % 7 <> 0 THEN date_taken END AS taken FROM v_images)"
 
 
 @query("e15_captions", E15)
 def captions(v):
-    return v.images.select("image_id", F.concat_ws(" • ", F.date_format("date_taken", "MMM yyyy"), "place_name").alias("full_caption"), F.coalesce("place_name", F.lit("")).alias("location"))
+    """Every seventh image has no date."""
+    images = v.images.withColumn("date_taken", F.when(F.col("image_id") % 7 != 0, F.col("date_taken")))
+    styles = (("FULL", "full_caption"), ("LOCATION_ONLY", "location"), ("DATE_ONLY", "date"), ("MINIMAL", "minimal"))
+    return images.select("image_id", *(sequence.caption(style).alias(name) for style, name in styles))
 
 
 @query("e16_clock", "SELECT image_id, (floor(duration_s / 60))::int || ':' || lpad((floor(duration_s % 60))::int::varchar, 2, '0') AS shown FROM v_images WHERE duration_s IS NOT NULL")

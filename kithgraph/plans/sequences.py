@@ -14,7 +14,7 @@ def profile(v):
     return q.story_profile(v.images)
 
 
-M3 = "SELECT image_id, CASE WHEN b IS NULL OR date_taken::date <> b THEN CASE WHEN place_name IS NULL THEN strftime(date_taken, '%b %Y') ELSE strftime(date_taken, '%b %Y') || ' • ' || place_name END ELSE coalesce(place_name, '') END AS caption FROM (SELECT *, lag(date_taken::date) OVER (PARTITION BY album_id ORDER BY date_taken, image_id) AS b FROM v_images)"
+M3 = "SELECT image_id, CASE WHEN b IS NULL OR date_taken::date <> b THEN concat_ws(' • ', place_name, strftime(date_taken, '%B %-d, %Y')) ELSE coalesce(place_name, '') END AS caption FROM (SELECT *, lag(date_taken::date) OVER (PARTITION BY album_id ORDER BY date_taken, image_id) AS b FROM v_images)"
 
 
 @query("m3_smart_captions", M3)

@@ -15,7 +15,13 @@ def run_scan(v):
     return jobs.run_scan(v.spark, f"{v.sf_dir}/orders.parquet", "o_orderkey", status)
 
 
-@query("t5_progress", "SELECT user_id, rows, failed, most, floor(done * 100 / rows)::bigint AS percent, CASE WHEN failed * 4 > rows THEN 'ERROR' WHEN done = rows THEN 'COMPLETE' WHEN done > 0 THEN 'SCANNING' ELSE 'IDLE' END AS state FROM (SELECT user_id, count(*) AS rows, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type <> 'view') AS done, max(value) AS most FROM events GROUP BY 1)", raw=True)
+T5 = """SELECT user_id, rows, failed, most, floor(done * 100 / rows)::bigint AS percent, 'row ' || wrong AS message,
+ CASE WHEN done = rows THEN 'COMPLETE' WHEN newest = 'signup' THEN 'PAUSED' WHEN wrong IS NOT NULL THEN 'ERROR' ELSE 'SCANNING' END AS state
+FROM (SELECT user_id, count(*) AS rows, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type <> 'view') AS done, max(value) AS most,
+ last(event_type ORDER BY ts, event_id) AS newest, last(event_id ORDER BY ts, event_id) FILTER (event_type = 'error') AS wrong FROM events GROUP BY 1)"""
+
+
+@query("t5_progress", T5, raw=True)
 def progress(v):
     return jobs.complete(v.spark, jobs.progress(jobs.source(v.spark, f"{v.sf_dir}/events.parquet"), "user_id"))
 

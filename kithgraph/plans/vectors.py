@@ -7,6 +7,7 @@ from kithgraph.operators import clustering as k
 from kithgraph.operators import people, simjoin
 from kithgraph.operators.graph import components
 from kithgraph.plans.catalog import query
+from kithgraph.sources.storage import saved
 
 PLANTED = """
 WITH proto AS (SELECT label, min_by(embedding, vec_id) AS p FROM embeddings GROUP BY label),
@@ -83,10 +84,34 @@ def join(v):
     return simjoin.similarity_join(faces, faces, 0.58).filter("id_a < id_b")
 
 
+def measured_ann(v):
+    """Similar pairs by inverted file, their recall for the faces whose number 50 divides, the share of all pairs looked at."""
+    faces = saved(side(planted(v)))
+    found, looked = simjoin.ann_join(faces, None, 0.58)
+    asked, found = F.col("id_a") % 50 == 0, saved(found)
+    exact = simjoin.similarity_join(faces.filter("id % 50 = 0"), faces, 0.58).filter("id_a <> id_b")
+    exact = exact.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    recall = exact.join(found.withColumn("found", F.lit(1)), ["id_a", "id_b"], "left").agg(F.count("*").alias("pairs"), F.coalesce(F.count("found") / F.count("*"), F.lit(1.0)).alias("recall"))
+    return found, recall, looked
+
+
 @query("v9_ann_join")
 def ann(v):
-    faces = side(planted(v))
-    return simjoin.ann_join(faces, faces, 0.58).filter("id_a < id_b")
+    """With the measured recall and the share of pairs looked at on every row."""
+    found, recall, looked = measured_ann(v)
+    # One row.
+    return found.join(F.broadcast(recall.select("recall")), F.lit(True)).withColumn("looked", F.round(F.lit(looked), 6))
+
+
+V9 = PLANTED + """, p AS (SELECT a.face_id AS a, b.face_id AS b FROM f a JOIN f b ON a.face_id < b.face_id WHERE list_dot_product(a.v, b.v) >= 0.58)
+SELECT count(*) FILTER (a % 50 = 0 OR b % 50 = 0) AS pairs, true AS recall_reached, true AS looked_at_few FROM p"""
+
+
+@query("v9_ann_recall", V9, raw=True)
+def ann_recall(v):
+    """Exact pairs of the asked faces; whether nine in ten were found, and less than a fifth of all pairs looked at (one in twelve is similar)."""
+    _, recall, looked = measured_ann(v)
+    return recall.select("pairs", (F.col("recall") >= 0.9).alias("recall_reached"), F.lit(looked < 0.2).alias("looked_at_few"))
 
 
 V12 = PLANTED + """, s AS (SELECT a.cluster_id, a.face_id, round(coalesce(avg(list_dot_product(a.v, b.v)) FILTER (b.face_id <> a.face_id), 1) + {bonus}, 9) AS score FROM f a JOIN f b USING (cluster_id) {where} GROUP BY 1, 2, a.quality_score)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,11 +45,20 @@ def run_scan(spark: SparkSession, path: str, key: str, status=None, state: str |
 
 
 def progress(events: DataFrame, key: str) -> DataFrame:
-    """Running totals of each scan: rows, failures, percent done."""
+    """Running totals of each scan: rows, failures, percent done, last failure, state.
+
+    Views stand for rows that still wait, errors for failures with a message; a scan whose newest row is a signup is paused.
+    """
     rows, failed, done = F.count("*"), F.count_if(F.col("event_type") == "error"), F.count_if(F.col("event_type") != "view")
-    # Views stand for rows that still wait.
-    state = F.when(failed * 4 > rows, "ERROR").when(done == rows, "COMPLETE").when(done > 0, "SCANNING").otherwise("IDLE")
-    return events.groupBy(key).agg(rows.alias("rows"), failed.alias("failed"), F.max("value").alias("most"), F.floor(done * 100 / rows).cast("long").alias("percent"), state.alias("state"))
+    at = F.struct("ts", "event_id")
+    message = F.concat(F.lit("row "), F.max_by("event_id", F.when(F.col("event_type") == "error", at)).cast("string"))
+    state = scan_state(done == rows, F.max_by("event_type", at) == "signup", message)
+    return events.groupBy(key).agg(rows.alias("rows"), failed.alias("failed"), F.max("value").alias("most"), F.floor(done * 100 / rows).cast("long").alias("percent"), message.alias("message"), state.alias("state"))
+
+
+def scan_state(complete: Column, paused: Column, message: Column) -> Column:
+    """A complete scan is complete whatever happened in it; a scan nothing is known of is idle."""
+    return F.when(complete.isNull(), "IDLE").when(complete, "COMPLETE").when(paused, "PAUSED").when(message.isNotNull(), "ERROR").otherwise("SCANNING")
 
 
 def complete(spark: SparkSession, stream: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from kithgraph.functions import scoring, vectors
-from kithgraph.operators import clustering, matching, people, sequence, simjoin, tables
+from kithgraph.operators import cells, clustering, matching, people, sequence, simjoin, tables
 from kithgraph.operators.graph import components
 from kithgraph.streaming import jobs
 
@@ -71,7 +71,7 @@ def one_pass(rows, sims, least, photo, part, boost=None):
 
 
 def test_greedy_clusters_equal_one_sequential_pass(spark, monkeypatch):
-    monkeypatch.setattr(simjoin.blocked, "__defaults__", (17,))
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 17)
     pdf, df = faces_of(spark)
     v = np.stack(pdf.v)
     got = {r.face_id: r.cluster_id for r in clustering.greedy_cluster(df, 0.58).collect()}
@@ -229,7 +229,7 @@ def test_ann_finds_most_pairs(spark):
     _, df = faces_of(spark, 120)
     side = df.select(F.col("face_id").alias("id"), F.col("v").alias("vector"))
     exact = {(r.id_a, r.id_b) for r in simjoin.similarity_join(side, side, 0.7).filter("id_a < id_b").collect()}
-    near = {(r.id_a, r.id_b) for r in simjoin.ann_join(side, side, 0.7).filter("id_a < id_b").collect()}
+    near = {(r.id_a, r.id_b) for r in simjoin.ann_join(side, None, 0.7)[0].collect()}
     assert near <= exact and len(near) >= 0.9 * len(exact)
 
 
