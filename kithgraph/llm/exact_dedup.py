@@ -10,8 +10,8 @@ terminals are handed on and the branch is dropped; in the second round only keys
 has passed are handed on, so a group never splits.
 
 Defined results: null text counts as empty; null doc_id loses every tie; repeated rows count as often as
-they occur and keep or lose together only by the rule above (equal doc_ids: all rows with the winning
-doc_id are kept); an empty table gives no rows; extra columns are ignored.
+they occur and one of them stays; of rows with one doc_id the one with the most code points stays; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithgraph.llm.common import BLANK_CHARS, table
+from kithgraph.llm.common import BLANK_CHARS, materialize, table
 
 TRIE_BYTES = 24 << 20
+#: A group with more than this part of all rows is large.
+LARGE_SHARE = 4096
 
 
 class Node:
@@ -159,7 +161,7 @@ def normalised(text: str = "text"):
 
 
 def owners(docs: DataFrame) -> DataFrame:
-    """text_sha256, keep_id, group_size: one row per group of equal normalised texts."""
+    """text_sha256, keep_id, most_points (code points of the row that stays), group_size: one row per group of equal normalised texts."""
     schema = "body binary, points long, keep_id long, group_size long"
     read = docs.select(
         normalised().cast("binary").alias("body"),
@@ -175,15 +177,43 @@ def owners(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("length", "hash")
         .select("body", "points", "keep_id", "group_size", "hash")
     )
-    return dealt.mapInArrow(settle, schema).select(F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size")
+    return dealt.mapInArrow(settle, schema).select(F.sha2("body", 256).alias("text_sha256"), "keep_id", F.col("points").alias("most_points"), "group_size")
 
 
-def exact_dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and the carry columns for every row of docs."""
-    rows = docs.select("doc_id", *carry, F.sha2(normalised().cast("binary"), 256).alias("text_sha256"))
-    return rows.join(owners(docs), "text_sha256").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *carry
-    )
+def text_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the named columns, text_sha256 and code points of every row."""
+    points = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    return docs.select("doc_id", *more, F.sha2(normalised().cast("binary"), 256).alias("text_sha256"), points.alias("points"))
+
+
+#: Whether a row is the one that stays, or repeats it.
+STAYS = "points = most_points AND cast(doc_id AS long) <=> keep_id"
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs; one row of a group is kept.
+
+    Groups of more than one row in ``LARGE_SHARE`` are at most that many and meet their rows by a broadcast, so no text's
+    rows gather in one task. Rows are written with a number first: of repeated rows the one with the smallest stays.
+    """
+    rows = materialize(text_rows(docs).withColumn("row", F.monotonically_increasing_id()), "texts")
+    groups = materialize(owners(docs), "owners")
+    large = groups.filter(F.col("group_size") > rows.count() / LARGE_SHARE)
+    columns = ["doc_id", "keep_id", "group_size", "text_sha256", "row"]
+    # A list of 4096 rows at most.
+    near = rows.join(F.broadcast(large), "text_sha256").withColumn("best", F.expr(STAYS)).select(*columns, "best")
+    rest = rows.join(F.broadcast(large.select("text_sha256")), "text_sha256", "left_anti")
+    small = groups.filter(F.col("group_size") <= rows.count() / LARGE_SHARE)
+    found = near.unionByName(rest.join(small, "text_sha256").withColumn("best", F.expr(STAYS)).select(*columns, "best"))
+    again = found.filter("best").groupBy("text_sha256").agg(F.count("*").alias("times"), F.min("row").alias("first")).filter("times > 1")
+    kept = F.col("best") & (F.col("first").isNull() | (F.col("first") == F.col("row")))
+    return found.join(again.select("text_sha256", "first"), "text_sha256", "left").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def kept_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, doc_id and text_sha256 of the rows that stay, and rows that repeat them; rows meet their owner by id and text."""
+    groups = owners(docs).withColumnRenamed("text_sha256", "own_sha256")
+    return text_rows(docs, *columns).join(groups, F.expr(f"text_sha256 = own_sha256 AND {STAYS}"), "left_semi").drop("points")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,9 +225,8 @@ WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
          regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS body FROM documents
 ), g AS (
-  SELECT body, count(*) AS group_size,
-         first(doc_id ORDER BY length(text) DESC, doc_id ASC NULLS LAST) AS keep_id FROM d GROUP BY body
+  SELECT *, count(*) OVER (PARTITION BY body) AS group_size, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS n
+  FROM d WINDOW w AS (PARTITION BY body ORDER BY length(text) DESC, doc_id ASC NULLS LAST)
 )
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256
-FROM d JOIN g USING (body)
+SELECT doc_id, keep_id, group_size, n = 1 AS kept, sha256(body) AS text_sha256 FROM g
 """

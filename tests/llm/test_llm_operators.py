@@ -51,15 +51,28 @@ def test_empty_tables(spark, odd):
     assert language_id.profiles(none.withColumnRenamed("kept", "lang")) == {}
 
 
-def test_exact_dedup(odd):
+def test_exact_dedup(odd, monkeypatch):
     def key(text):
         return "".join(c for c in text or "" if c not in " \t\n\x0b\x0c\r")
 
     groups = {}
     for doc_id, text in ODD:
         groups.setdefault(key(text), []).append((-len(text or ""), doc_id is None, doc_id or 0, doc_id))
-    want = Counter((i, min(g)[3], len(g), i == min(g)[3], hashlib.sha256(key(t).encode()).hexdigest()) for i, t in ODD for g in [groups[key(t)]])
-    assert Counter(map(tuple, exact_dedup.exact_dedup(odd).collect())) == want
+    want, stayed = Counter(), set()
+    for i, t in ODD:
+        g = groups[key(t)]
+        kept = (-len(t or ""), i is None, i or 0, i) == min(g) and key(t) not in stayed
+        stayed |= {key(t)} if kept else set()
+        want[i, min(g)[3], len(g), kept, hashlib.sha256(key(t).encode()).hexdigest()] += 1
+    for share in (exact_dedup.LARGE_SHARE, 2):
+        monkeypatch.setattr(exact_dedup, "LARGE_SHARE", share)
+        assert Counter(map(tuple, exact_dedup.exact_dedup(odd).collect())) == want
+
+
+def test_one_row_of_a_group_stays(spark):
+    rows = spark.createDataFrame([(1, "a b"), (1, "ab"), (1, "a b"), (2, "ab"), (3, None), (3, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.group_size) for r in exact_dedup.exact_dedup(rows).filter("kept").collect()) == [(1, 4), (3, 2)]
+    assert sorted(r.text for r in exact_dedup.kept_rows(rows, "text").dropDuplicates(["doc_id", "text"]).filter("doc_id < 3").collect()) == ["a b"]
 
 
 def test_trie_spills_whole_subtrees():
