@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithgraph.llm.common import materialize, table
-from kithgraph.llm.exact_dedup import exact_dedup
+from kithgraph.llm.exact_dedup import kept_rows
 from kithgraph.llm.jaccard_join import jaccard_components
 from kithgraph.llm.packing import pack
 from kithgraph.llm.quality_rules import judge
@@ -32,8 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The owner of each group of equal texts; one row where it is repeated. Null and empty texts are one group."""
-    kept = exact_dedup(docs, carry=("text", *CARRIED)).filter("kept")
-    return one_of_each(kept, "doc_id", "text_sha256")
+    return one_of_each(kept_rows(docs, "text", *CARRIED), "doc_id", "text_sha256")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
