@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from kithgraph.functions import scoring as s
 from kithgraph.functions import vectors as x
-from kithgraph.operators import matching, simjoin
+from kithgraph.operators import greedy, matching, simjoin
 from kithgraph.operators.graph import components
 from kithgraph.operators.people import top_n
+from kithgraph.operators.tables import running_total
 from kithgraph.sources.storage import saved
 
 
@@ -87,38 +88,67 @@ def incremental_cluster(new: DataFrame, known: DataFrame, least: float = s.MATCH
 
 
 def greedy_cluster(faces: DataFrame, least: float = s.MATCH) -> DataFrame:
-    """face_id and cluster_id (its leader), as one pass over all faces in order of quality gives; see ``matching.leaders``.
-
-    A cluster takes its leader's similarity for its own, and only its leader's photo is barred.
-    """
-    ranked = faces.select(F.col("face_id").alias("id"), F.col("v").alias("vector"), F.col("quality_score").alias("rank"), F.lit(0).alias("part"), F.col("photo_id").alias("photo"), F.lit(0.0).alias("boost"))
-    return matching.leaders(ranked, least).select("face_id", F.col("leader").alias("cluster_id"))
+    """face_id and cluster_id (its first face), as one pass over all faces in order of quality gives; see ``greedy.average_linkage``."""
+    ranked = faces.select(F.col("face_id").alias("id"), F.col("v").alias("vector"), F.col("quality_score").alias("rank"), F.col("photo_id").alias("photo"))
+    return greedy.average_linkage(ranked, least).select(F.col("id").alias("face_id"), F.col("cluster").alias("cluster_id"))
 
 
 def incremental_clusters(new: DataFrame, known: DataFrame, least: float = s.MATCH) -> DataFrame:
-    """face_id, cluster_id of all faces: new ones join known clusters, the rest cluster among themselves (-1 - leader), then clusters merge."""
-    placed = incremental_cluster(new, known, least)
+    """face_id, cluster_id of all faces: new ones join known clusters, the rest cluster among themselves (-1 - first face), then clusters merge.
+
+    Known clusters come first in the list that is merged, then new ones in the order they were founded.
+    """
+    placed = saved(incremental_cluster(new, known, least))
     rest = new.join(placed.filter("cluster_id IS NULL").select("face_id"), "face_id")
-    own = greedy_cluster(rest, least).select("face_id", (-1 - F.col("cluster_id")).alias("cluster_id"))
-    labels = known.select("face_id", F.col("cluster_id").cast("long").alias("cluster_id")).unionByName(placed.filter("cluster_id IS NOT NULL").select("face_id", F.col("cluster_id").cast("long").alias("cluster_id"))).unionByName(own)
-    return merge_fixpoint(labels.join(new.select("face_id", "v").unionByName(known.select("face_id", "v")), "face_id"))
-
-
-def merge_fixpoint(assigned: DataFrame, least: float = 0.72, passes: int | None = None) -> DataFrame:
-    """Merge clusters whose centroids' similarity reaches the threshold: mutual best pairs, pass by pass until none is left."""
-    labels, done = assigned.select("face_id", "v", "cluster_id"), 0
-    while True:
-        middles = x.centroids(labels, "cluster_id", "v", normalize=True)
-        side = middles.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vector"))
-        near = simjoin.similarity_join(side, side, least).filter("id_a <> id_b")
-        best = top_n(near, ["id_a"], [F.col("sim").desc(), F.col("id_b")], 1).select("id_a", "id_b")
-        back = best.select(F.col("id_a").alias("id_b"), F.col("id_b").alias("id_a"))
-        pairs = saved(best.join(back, ["id_a", "id_b"]).filter("id_a < id_b"))
-        if pairs.isEmpty() or done == passes:
-            return labels.select("face_id", "cluster_id")
-        done += 1
-        moved = pairs.select(F.col("id_b").alias("cluster_id"), F.col("id_a").alias("_to"))
-        labels = saved(labels.join(moved, "cluster_id", "left").select("face_id", "v", F.coalesce("_to", "cluster_id").alias("cluster_id")))
+    own = saved(greedy_cluster(rest, least))
+    founders = own.filter("face_id = cluster_id").join(new.select("face_id", (-F.col("quality_score")).alias("_less")), "face_id")
+    nth = running_total(founders.select("face_id", "_less"), ["_less", "face_id"], F.lit(1), "nth").select((-1 - F.col("face_id")).alias("cluster_id"), "nth")
+    labels = known.select("face_id", F.col("cluster_id").cast("long").alias("cluster_id")).unionByName(placed.filter("cluster_id IS NOT NULL").select("face_id", F.col("cluster_id").cast("long").alias("cluster_id")))
+    last = labels.agg(F.coalesce(F.max("cluster_id"), F.lit(0))).first()[0]
+    place = labels.select("cluster_id").distinct().withColumn("place", F.col("cluster_id")).unionByName(nth.select("cluster_id", (F.col("nth") + last).alias("place")))
+    labels = labels.unionByName(own.select("face_id", (-1 - F.col("cluster_id")).alias("cluster_id")))
+    return merge_fixpoint(labels.join(new.select("face_id", "v").unionByName(known.select("face_id", "v")), "face_id"), place=place)
+
+
+def merge_fixpoint(assigned: DataFrame, least: float = 0.72, place: DataFrame | None = None) -> DataFrame:
+    """face_id, cluster_id after merging the first pair of clusters in order whose means are near, again and again.
+
+    The order is that of ``place`` (cluster_id, place), or of the ids.
+    """
+    assigned = saved(assigned.select("face_id", "v", F.col("cluster_id").cast("long").alias("cluster_id")))
+    sums = x.vector_sums(assigned, "cluster_id", "v")
+    sums = sums.withColumn("place", F.col("cluster_id")) if place is None else sums.join(place, "cluster_id")
+    moved = greedy.merge_in_order(sums, least)
+    return assigned.join(moved, "cluster_id").select("face_id", F.col("into").alias("cluster_id"))
+
+
+def auto_merge(clusters: DataFrame, least: float = s.MERGE, passes: int = 5) -> tuple[DataFrame, DataFrame]:
+    """cluster_id, into, person_id of all clusters, and person_id, into of persons that went, after merging pass by pass.
+
+    clusters: cluster_id, n, centroid (unit), person_id. A pass takes similar pairs in order of the smaller id, then
+    similarity, each cluster once; the smaller id goes into the larger, whose centroid is the weighted mean again. Their persons go
+    with them, in the same order.
+    """
+    now = saved(clusters.select("cluster_id", "n", "centroid", "person_id"))
+    into, gone = now.select("cluster_id", F.col("cluster_id").alias("into")), None
+    for _ in range(passes):
+        side = now.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vector"))
+        near = simjoin.similarity_join(side, side, least).filter("id_a < id_b")
+        taken = saved(greedy.matching_in_order(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("id_a").alias("first"), (-F.col("sim")).alias("less")), ["first", "less"]))
+        if taken.isEmpty():
+            break
+        away = taken.join(now.select(F.col("cluster_id").alias("a"), F.col("n").alias("_n"), F.col("centroid").alias("_c"), F.col("person_id").alias("source")), "a")
+        both = now.join(away.select(F.col("b").alias("cluster_id"), "_n", "_c"), "cluster_id", "left").join(taken.select(F.col("a").alias("cluster_id")), "cluster_id", "left_anti")
+        mean = x.l2_normalize(F.zip_with("centroid", "_c", lambda a, b: a * F.col("n") + b * F.col("_n")))
+        moves = away.join(now.select(F.col("cluster_id").alias("b"), F.col("person_id").alias("target")), "b").filter("source <> target")
+        persons = saved(greedy.persons_in_order(moves.select(F.struct("first", "less", "b").alias("nth"), "source", "target")))
+        gone = persons if gone is None else greedy.followed(gone.withColumnRenamed("person_id", "cluster_id"), persons.withColumnRenamed("person_id", "cluster_id")).withColumnRenamed("cluster_id", "person_id")
+        kept = both.select("cluster_id", F.when(F.col("_n").isNull(), F.col("centroid")).otherwise(mean).alias("centroid"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), "person_id")
+        moved = kept.join(persons.withColumnRenamed("into", "_person"), "person_id", "left")
+        now = saved(moved.select("cluster_id", "n", "centroid", F.coalesce("_person", "person_id").alias("person_id")))
+        into = saved(into.join(taken.select(F.col("a").alias("into"), F.col("b").alias("_to")), "into", "left").select("cluster_id", F.coalesce("_to", "into").alias("into")))
+    whole = into.join(now.select(F.col("cluster_id").alias("into"), "person_id"), "into").select("cluster_id", "into", "person_id")
+    return whole, gone if gone is not None else clusters.select("person_id", F.col("person_id").alias("into")).limit(0)
 
 
 def select_representatives(faces: DataFrame, most: int = 7, same: float = 0.85) -> DataFrame:

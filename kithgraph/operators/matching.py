@@ -1,4 +1,4 @@
-"""Decisions on faces: evidence from anchors, two passes, staged faces, two-stage search, leaders.
+"""Decisions on faces: evidence from anchors, second pass, staged faces, two-stage search, splits and reviews.
 
 Everything that compares faces with faces is a product of blocks that is reduced inside the block, so a task
 returns a few rows for each face, never pairs.
@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from kithgraph.functions import scoring as s
 from kithgraph.functions import vectors as x
-from kithgraph.operators import simjoin
+from kithgraph.operators import greedy, simjoin
+from kithgraph.operators.greedy import TEMPORAL_BOOST, quality_boost
 from kithgraph.operators.people import top_n
 from kithgraph.operators.tables import running_total
 from kithgraph.sources.storage import saved
 
 # Evidence that results depend on.
-EVIDENCE_GAP, TEMPORAL_BOOST, SUPPORTING = 0.10, 0.05, 1
+EVIDENCE_GAP, SUPPORTING = 0.10, 1
 PASS2_HIGH, PASS2_MEDIUM, PASS2_SUPPORTING, PASS2_GAP = 0.62, 0.55, 2, 0.10
 PASS2_MINUTES, PASS2_QUALITY, CENTROID_QUALITY = 10, 65, 60
 CANDIDATES, MORE_CANDIDATES, CANDIDATE_SIM, WIDEN_FROM = 25, 50, 0.15, 0.20
@@ -29,14 +30,6 @@ STAGING_TIMEOUT_MS = 60_000
 SPLIT_FACES, SPLIT_VARIANCE, SPLIT_RANGE, AUTO = 5, 0.08, 0.35, 0.70
 
 
-def quality_boost(quality: np.ndarray) -> np.ndarray:
-    return np.clip((np.clip(quality / 100, 0, 1) - 0.5) * 0.2, -0.08, 0.08)
-
-
-def boost_of(quality: Column) -> Column:
-    return F.greatest(F.lit(-0.08), F.least(F.lit(0.08), (F.least(F.lit(1.0), F.greatest(F.lit(0.0), quality / 100.0)) - 0.5) * 0.2))
-
-
 def match_evidence(faces: DataFrame, anchors: DataFrame, weighted: bool = False, supporting: float = s.UNCERTAIN_LOW) -> DataFrame:
     """face_id, cluster_id of the best anchor, its sim, the gap to the best of another cluster (1 if none), and support.
 
@@ -81,113 +74,6 @@ def second_pass(decided: DataFrame) -> DataFrame:
     return decided.select("face_id", F.when(assigned, F.col("cluster_id")).alias("cluster_id"), outcome.alias("outcome"))
 
 
-def better(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    """Whether each row of b comes before each row of a: higher rank, then smaller id."""
-    ra, rb = a["rank"].to_numpy()[:, None], b["rank"].to_numpy()[None]
-    return (rb > ra) | ((rb == ra) & (b.id.to_numpy()[None] < a.id.to_numpy()[:, None]))
-
-
-def may_join(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    """Rows of one group that are not on one photo."""
-    out = a["part"].to_numpy()[:, None] == b["part"].to_numpy()[None]
-    return out & (a.photo.to_numpy()[:, None] != b.photo.to_numpy()[None])
-
-
-def leaders(faces: DataFrame, least: float) -> DataFrame:
-    """face_id, leader (itself for a leader), sim: what one pass over all faces in order of rank gives.
-
-    faces: id, vector, rank, part, photo, and boost, which is added to a face's similarities. Each face joins the most similar leader before it, of its part and
-    not of its photo, from ``least`` on; if there is none, it becomes a leader. Rounds find the leaders: a face
-    without one leads if no other such face before it is near. Clusters are linked by their leader alone, not
-    by the average of their members; so no group has to meet in one task.
-    """
-
-    def own(a: pd.DataFrame, sims: np.ndarray) -> np.ndarray:
-        return np.round(np.clip(sims + a.boost.to_numpy()[:, None], -1, 1), 6)
-
-    def waits(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"face_id": a.id[((own(a, sims) >= least) & better(a, b) & may_join(a, b)).any(axis=1)]})
-
-    def best(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
-        sims = np.where(better(a, b) & may_join(a, b), own(a, sims), -2)
-        order = np.argsort(b.id.to_numpy(), kind="stable")
-        at = order[sims[:, order].argmax(axis=1)]
-        found = sims[np.arange(len(a)), at]
-        near = found >= least
-        return pd.DataFrame({"face_id": a.id.to_numpy()[near], "leader": b.id.to_numpy()[at][near], "sim": found[near]})
-
-    columns = ["id", "vector", "rank", "part", "photo", "boost"]
-    faces = saved(faces.select(*columns))
-    open_ones, chosen = faces, None
-    while not open_ones.isEmpty():
-        later = simjoin.block_reduce(open_ones, open_ones, waits, "face_id long").distinct()
-        new = saved(open_ones.join(later.withColumnRenamed("face_id", "id"), "id", "left_anti").select(*columns))
-        chosen = new if chosen is None else chosen.unionByName(new)
-        led = simjoin.block_reduce(open_ones, new, best, "face_id long, leader long, sim double").select(F.col("face_id").alias("id")).distinct()
-        open_ones = saved(open_ones.join(led.unionByName(new.select("id")), "id", "left_anti").select(*columns))
-    if chosen is None:
-        return faces.select(F.col("id").alias("face_id"), F.col("id").alias("leader"), F.lit(1.0).alias("sim"))
-    joined = top_n(simjoin.block_reduce(faces, chosen, best, "face_id long, leader long, sim double"), ["face_id"], [F.col("sim").desc(), F.col("leader")], 1)
-    own = chosen.select(F.col("id").alias("face_id"), F.col("id").alias("leader"), F.lit(1.0).alias("sim"))
-    followers = joined.join(own.select("face_id"), "face_id", "left_anti")
-    return followers.select("face_id", "leader", "sim").unionByName(own)
-
-
-def first_pass(faces: DataFrame, anchors: DataFrame) -> DataFrame:
-    """face_id, cluster ('c<id>' known, 'n<face>' new), sim, outcome: ASSIGNED, NEW, DEFERRED or DISPLAY_ONLY.
-
-    faces: id, vector, quality, tier, photo; anchors: id, vector, cluster_id. Faces of tier ANCHOR may found
-    clusters, and a founder is an anchor for the faces after it; other faces that join do not become anchors
-    within the pass. Faces of one photo must not share a cluster: the first in order of quality has it, another
-    takes its founder's or known alternative if that is safe too, else founds its own or is deferred.
-    """
-    able = faces.filter(F.col("tier").isin("ANCHOR", "CLUSTERING"))
-    known = match_evidence(able, anchors, weighted=True).select(F.col("face_id").alias("id"), "cluster_id", "sim")
-    held = saved(able.join(known, "id", "left"))
-    founders = held.filter((F.col("tier") == "ANCHOR") & (F.coalesce("sim", F.lit(-1.0)) < s.UNCERTAIN_LOW))
-    ranked = founders.select("id", "vector", F.col("quality").alias("rank"), F.lit(0).alias("part"), "photo", boost_of(F.col("quality")).alias("boost"))
-    led = leaders(ranked, s.UNCERTAIN_LOW)
-    seeds = saved(ranked.join(led.filter("face_id = leader").select(F.col("face_id").alias("id")), "id").select("id", "vector", F.col("id").alias("cluster_id"), F.col("rank").alias("seed_rank"), "photo"))
-
-    def near_seed(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
-        sims = np.round(np.clip(sims + quality_boost(a.quality.to_numpy(dtype=np.float64))[:, None], -1, 1), 6)
-        before = better(a.rename(columns={"quality": "rank"}), b.rename(columns={"seed_rank": "rank"})) & (a.photo.to_numpy()[:, None] != b.photo.to_numpy()[None])
-        sims = np.where(before, sims, -2)
-        order = np.argsort(b.id.to_numpy(), kind="stable")
-        at = order[sims[:, order].argmax(axis=1)]
-        found = sims[np.arange(len(a)), at]
-        return pd.DataFrame({"id": a.id.to_numpy()[found > -2], "seed": b.id.to_numpy()[at][found > -2], "seed_sim": found[found > -2]})
-
-    near = simjoin.block_reduce(held.select("id", "vector", "quality", "photo"), seeds, near_seed, "id long, seed long, seed_sim double")
-    near = top_n(near, ["id"], [F.col("seed_sim").desc(), F.col("seed")], 1)
-    both = held.join(near, "id", "left").join(seeds.select("id", F.lit(True).alias("is_seed")), "id", "left")
-    to_known, to_seed = F.concat(F.lit("c"), F.col("cluster_id").cast("string")), F.concat(F.lit("n"), F.col("seed").cast("string"))
-    first_known = F.coalesce("sim", F.lit(-2.0)) >= F.coalesce("seed_sim", F.lit(-2.0))
-    both = both.select(
-        "id", "photo", "quality", "tier", F.coalesce("is_seed", F.lit(False)).alias("is_seed"),
-        F.when(first_known, to_known).otherwise(to_seed).alias("one"), F.greatest("sim", "seed_sim").alias("one_sim"),
-        F.when(first_known, to_seed).otherwise(to_known).alias("two"), F.least(F.coalesce("sim", F.lit(-2.0)), F.coalesce("seed_sim", F.lit(-2.0))).alias("two_sim"),
-    )
-    safe = ~F.col("is_seed") & (F.col("one_sim") >= s.SAFE_SAME)
-    order = [F.col("quality").desc(), F.col("id")]
-    wish = saved(both.withColumn("turn", F.when(safe, F.row_number().over(W.partitionBy("photo", safe, "one").orderBy(*order)))))
-    taken = wish.filter("turn = 1").select("photo", F.col("one").alias("two"), F.lit(True).alias("taken"))
-    second = wish.filter("turn > 1 AND two_sim >= " + str(s.SAFE_SAME)).join(taken, ["photo", "two"], "left_anti")
-    second = second.withColumn("nth", F.row_number().over(W.partitionBy("photo", "two").orderBy(*order))).filter("nth = 1").select("id", F.lit(True).alias("moved"))
-    out = wish.join(second, "id", "left")
-    own, anchor = F.concat(F.lit("n"), F.col("id").cast("string")), F.col("tier") == "ANCHOR"
-    first, moved, blocked = F.coalesce(F.col("turn") == 1, F.lit(False)), F.coalesce("moved", F.lit(False)), F.coalesce(F.col("turn") > 1, F.lit(False))
-    founds = F.col("is_seed") | (blocked & ~moved & anchor)
-    decided = out.select(
-        F.col("id").alias("face_id"),
-        F.when(founds, own).when(first, F.col("one")).when(moved, F.col("two")).alias("cluster"),
-        F.when(founds, 1.0).when(moved, F.col("two_sim")).otherwise(F.col("one_sim")).alias("sim"),
-        F.when(founds, "NEW").when(first | moved, "ASSIGNED").otherwise("DEFERRED").alias("outcome"),
-    )
-    shown = faces.filter("tier = 'DISPLAY_ONLY'").select(F.col("id").alias("face_id"), F.lit(None).cast("string").alias("cluster"), F.lit(None).cast("double").alias("sim"), F.lit("DISPLAY_ONLY").alias("outcome"))
-    return decided.unionByName(shown)
-
-
 def best_of(faces: DataFrame, representatives: DataFrame, by: str) -> DataFrame:
     """The best weighted similarity of each face to the representatives (``by``, w) of one cluster, REPRESENTATIVES at most."""
     both = faces.join(representatives, by)
@@ -302,12 +188,13 @@ def maintain_representatives(new: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def subgroups(faces: DataFrame, least: float = 0.5) -> DataFrame:
-    """cluster_id, face_id, part: groups of two or more alike faces inside each cluster, in order of confidence.
+    """cluster_id, face_id, part: groups of two or more alike faces inside each cluster, linked by average in order of confidence.
 
-    A cluster of fewer than three faces, or without such a group, is one part. Groups are linked by their leader.
+    A cluster of fewer than three faces, or without such a group, is one part.
     """
-    ranked = faces.select(F.col("face_id").alias("id"), F.col("v").alias("vector"), F.col("confidence").alias("rank"), F.col("cluster_id").alias("part"), F.col("face_id").alias("photo"), F.lit(0.0).alias("boost"))
-    led = saved(leaders(ranked, least).join(faces.select("face_id", "cluster_id"), "face_id").select("cluster_id", "face_id", "leader"))
+    ranked = faces.select(F.col("face_id").alias("id"), F.col("v").alias("vector"), F.col("confidence").alias("rank"), "cluster_id", F.col("face_id").alias("photo"))
+    linked = greedy.average_linkage(ranked, least, "cluster_id").select(F.col("id").alias("face_id"), F.col("cluster").alias("leader"))
+    led = saved(linked.join(faces.select("face_id", "cluster_id"), "face_id").select("cluster_id", "face_id", "leader"))
     groups = led.groupBy("cluster_id", "leader").agg(F.count("*").alias("n"))
     clusters = groups.groupBy("cluster_id").agg(F.sum("n").alias("faces"), F.max("n").alias("most"), F.min("leader").alias("first"))
     whole = (F.col("faces") < 3) | (F.col("most") < 2)
@@ -339,17 +226,7 @@ def merge_review(faces: DataFrame, least_middle: float, least: float) -> DataFra
 
 
 def cluster_spread(faces: DataFrame) -> DataFrame:
-    """cluster_id, samples, mean, variance, stddev, least, most of the similarities of all pairs of a cluster, by partial sums."""
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
-        own = (a.part.to_numpy()[:, None] == b.part.to_numpy()[None]) & (a.id.to_numpy()[:, None] < b.id.to_numpy()[None])
-        row, column = np.nonzero(own)
-        found = pd.DataFrame({"cluster_id": a.part.to_numpy()[row], "sim": sims[row, column]})
-        return found.assign(square=found.sim**2).groupby("cluster_id").agg(n=("sim", "size"), s=("sim", "sum"), q=("square", "sum"), least=("sim", "min"), most=("sim", "max")).reset_index()
-
-    side = faces.select(F.col("face_id").alias("id"), F.col("v").alias("vector"), F.col("cluster_id").alias("part"))
-    found = simjoin.block_reduce(side, side, sums, "cluster_id long, n long, s double, q double, least double, most double")
-    total = found.groupBy("cluster_id").agg(F.sum("n").alias("samples"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("least").alias("least"), F.max("most").alias("most"))
+    """cluster_id, samples, mean, variance, stddev, least, most of the similarities of all pairs of a cluster."""
     mean = F.col("s") / F.col("samples")
-    spread = total.withColumn("mean", mean).withColumn("variance", F.greatest(F.col("q") / F.col("samples") - mean * mean, F.lit(0.0)))
+    spread = greedy.pair_moments(faces).withColumn("mean", mean).withColumn("variance", F.greatest(F.col("q") / F.col("samples") - mean * mean, F.lit(0.0)))
     return spread.withColumn("stddev", F.sqrt("variance"))

@@ -6,7 +6,7 @@ from kithgraph.functions import scoring as s
 from kithgraph.functions import vectors as x
 from kithgraph.operators import clustering as k
 from kithgraph.operators import matching as m
-from kithgraph.operators import people
+from kithgraph.operators import greedy, people
 from kithgraph.plans.catalog import query
 from kithgraph.plans.vectors import PLANTED, planted
 from kithgraph.sources.storage import saved
@@ -57,12 +57,13 @@ def second_pass(v):
 
 @query("k8_first_pass")
 def first_pass(v):
-    """All faces against the anchors of a third of them."""
+    """All faces against the anchors of a third of them; faces of one photo must not share a cluster."""
     tier = F.when(F.col("quality_score") >= 65, "ANCHOR").when(F.col("quality_score") >= 50, "CLUSTERING").when(F.col("quality_score") >= 40, "DISPLAY_ONLY").otherwise("REJECTED")
-    faces = planted(v)
+    faces = saved(planted(v))
     anchors = faces.filter("quality_score >= 65 AND face_id % 3 = 0").select(F.col("face_id").alias("id"), F.col("v").alias("vector"), "cluster_id")
-    new = faces.filter("face_id % 3 <> 0").select(F.col("face_id").alias("id"), F.col("v").alias("vector"), F.col("quality_score").alias("quality"), tier.alias("tier"), F.col("photo_id").alias("photo"))
-    return m.first_pass(new, anchors)
+    new = faces.filter("face_id % 3 <> 0")
+    constraints = people.same_photo_constraints(new.select("photo_id", "face_id"), None)
+    return greedy.first_pass(new.select(F.col("face_id").alias("id"), F.col("v").alias("vector"), F.col("quality_score").alias("quality"), tier.alias("tier")), anchors, constraints)
 
 
 def top_faces(v, most=m.REPRESENTATIVES):
@@ -160,7 +161,9 @@ def merge_suggestions(v):
 
 @query("k15_auto_merge")
 def auto_merge(v):
-    return k.merge_fixpoint(quarters(v), s.MERGE, 5)
+    """Every two quarters have one person; which cluster goes into which, and whose it is then."""
+    middles = x.centroids(quarters(v), "cluster_id", "v", normalize=True)
+    return k.auto_merge(middles.withColumn("person_id", F.floor(F.col("cluster_id") / 2)))[0]
 
 
 @query("k18_maintain_representatives")
