@@ -207,7 +207,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     found = near.unionByName(rest.join(small, "text_sha256").withColumn("best", F.expr(STAYS)).select(*columns, "best"))
     again = found.filter("best").groupBy("text_sha256").agg(F.count("*").alias("times"), F.min("row").alias("first")).filter("times > 1")
     kept = F.col("best") & (F.col("first").isNull() | (F.col("first") == F.col("row")))
-    return found.join(again.select("text_sha256", "first"), "text_sha256", "left").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    # Rows that can't stay match nothing and are dealt by their own number, not by their group.
+    asked = found.withColumn("asked", F.when(F.col("best"), F.col("text_sha256")).otherwise(F.col("row").cast("string")))
+    return asked.join(again.select(F.col("text_sha256").alias("asked"), "first"), "asked", "left").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def kept_rows(docs: DataFrame, *columns: str) -> DataFrame:
