@@ -6,7 +6,7 @@ from kithgraph.operators import matching
 from kithgraph.plans.catalog import query
 from kithgraph.plans.matching import WEIGHTED, decided
 from kithgraph.plans.vectors import planted
-from kithgraph.streaming import jobs
+from kithgraph.streaming import buffers, jobs
 
 
 @query("t1_run_scan", "SELECT DISTINCT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'NO_FACES' ELSE 'SCANNED' END AS scan_status FROM orders", raw=True)
@@ -48,22 +48,42 @@ def stage_and_flush(v):
     return jobs.stage_and_flush(events, "user_id", "ts", "event_id", 8, 432_000).select("event_id", "user_id", "flush_second", "flush")
 
 
-T4 = WEIGHTED + """, o AS (SELECT *, zone <> 'UNCERTAIN' OR gap >= 0.10 OR support >= 2 OR sim >= 0.62 AS ok FROM d),
+#: Buffers as a chain: each begins where the one before it ended, has ``most`` rows or those of ``wait`` milliseconds after its first.
+CHAIN = """n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, row_id) AS n, count(*) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {wait} FOLLOWING) AS upto FROM r),
+c AS (SELECT *, least({most}, upto - n + 1) AS take FROM n),
+b AS (SELECT key, n, t, take, 1 AS flush FROM c WHERE n = 1 UNION ALL SELECT c.key, c.n, c.t, c.take, b.flush + 1 FROM b JOIN c ON c.key = b.key AND c.n = b.n + b.take),
+flushed AS (SELECT c.key, c.row_id, b.flush::BIGINT AS flush, (CASE WHEN b.take = {most} THEN l.t ELSE b.t + {wait} END)::BIGINT AS at_ms, CASE WHEN b.take = {most} THEN 'SIZE' ELSE 'TIME' END AS reason
+  FROM b JOIN c ON c.key = b.key AND c.n BETWEEN b.n AND b.n + b.take - 1 JOIN c l ON l.key = b.key AND l.n = b.n + b.take - 1)
+"""
+T3B = "WITH RECURSIVE r AS (SELECT user_id::VARCHAR AS key, event_id AS row_id, epoch_ms(ts) AS t FROM events),\n" + CHAIN.format(most=8, wait=432_000_000) + "SELECT key, row_id, flush, at_ms, reason FROM flushed"
+
+
+@query("t3_staging_buffer", T3B, raw=True)
+def staging_buffer(v):
+    """The same rows held in keyed state: the eighth row of a user empties the buffer at once, a timer five days after the first."""
+    events = jobs.source(v.spark, f"{v.sf_dir}/events.parquet")
+    rows = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("at"))
+    return buffers.drain_staged(v.spark, rows, most=8, wait_ms=432_000_000)
+
+
+#: Bursts of a hundred faces, one every two seconds; a burst begins 500 seconds after the last.
+DEFERRED = "(vec_id * 2 + vec_id // 100 * 300)"
+T4 = WEIGHTED.replace("WITH proto", "WITH RECURSIVE proto") + ", r AS (SELECT (vec_id % 8)::VARCHAR AS key, vec_id AS row_id, " + DEFERRED + " * 1000 AS t FROM embeddings),\n" + CHAIN.format(most=15, wait=600_000).replace("b AS (", "bb AS (").replace(" FROM b ", " FROM bb b ") + """, o AS (SELECT *, zone <> 'UNCERTAIN' OR gap >= 0.10 OR support >= 2 OR sim >= 0.62 AS ok FROM d),
 q AS (SELECT face_id, CASE WHEN sim >= 0.55 AND ok THEN cluster_id END AS cluster_id, CASE WHEN sim >= 0.55 AND ok THEN 'ASSIGNED' WHEN sim < 0.55 AND quality_score >= 65 THEN 'NEW' ELSE 'KEPT' END AS outcome FROM o)
-SELECT face_id, cluster_id, outcome, ((face_id * 20 // 600 + CASE outcome WHEN 'ASSIGNED' THEN 1 ELSE 2 END) * 600)::bigint AS resolved_second FROM q"""
+SELECT face_id, cluster_id, outcome, reason, at_ms // 1000 + CASE outcome WHEN 'ASSIGNED' THEN 0 ELSE 600 END AS resolved_second FROM q JOIN flushed ON row_id = face_id"""
 
 
 @query("t4_deferred_pool", T4, raw=True)
 def deferred_pool(v):
-    """Faces deferred one every 20 seconds; a pool of 500 rows or ten minutes goes to the second pass.
+    """Faces deferred to eight pools; a pool of 15 rows or ten minutes goes to the second pass.
 
     Who is not assigned there waits in the next pool, where ten minutes have passed for all: a new cluster, or kept for good.
     """
-    at = F.timestamp_seconds(F.col("vec_id") * 20).cast("timestamp_ntz")
-    faces = jobs.source(v.spark, f"{v.sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("face_id"), at.alias("deferred_at"), F.lit("all").alias("pool"))
-    looks = jobs.stage_and_flush(faces, "pool", "deferred_at", "face_id", 500, 600, 600)
-    waited = (F.col("flush_second") + 600 - F.col("face_id") * 20) / 60
-    more = planted(v).select("face_id", F.col("quality_score").alias("quality")).join(looks.select("face_id", "flush_second", waited.alias("minutes")), "face_id")
-    found = matching.second_pass(decided(v).join(more, "face_id"))
-    resolved = F.col("flush_second") + F.when(F.col("outcome") == "ASSIGNED", 0).otherwise(600)
-    return found.join(looks.select("face_id", "flush_second"), "face_id").select("face_id", "cluster_id", "outcome", resolved.alias("resolved_second"))
+    second = F.expr("vec_id * 2 + vec_id DIV 100 * 300")
+    faces = jobs.source(v.spark, f"{v.sf_dir}/embeddings.parquet").select((F.col("vec_id") % 8).cast("string").alias("key"), F.col("vec_id").alias("row_id"), F.timestamp_seconds(second).alias("at"))
+    looks = buffers.drain_staged(v.spark, faces, most=15, wait_ms=600_000).select(F.col("row_id").alias("face_id"), "at_ms", "reason")
+    more = planted(v).select("face_id", F.col("quality_score").alias("quality"), F.expr("(face_id * 2 + face_id DIV 100 * 300) * 1000").alias("since")).join(looks, "face_id")
+    minutes = ((F.col("at_ms") - F.col("since")) / 60_000 + 10).alias("minutes")
+    found = matching.second_pass(decided(v).join(more.select("face_id", "quality", minutes), "face_id"))
+    resolved = F.expr("at_ms DIV 1000") + F.when(F.col("outcome") == "ASSIGNED", 0).otherwise(600)
+    return found.join(looks, "face_id").select("face_id", "cluster_id", "outcome", "reason", resolved.alias("resolved_second"))

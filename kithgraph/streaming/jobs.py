@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kithgraph.operators.tables import insert_ignore, latest
+from kithgraph.operators.tables import latest
 from kithgraph.sources.storage import new_folder
 
 
@@ -20,28 +23,45 @@ def source(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
     return reader.parquet(path)
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State on the executors' disks and in the checkpoint, looked up by key: a batch reads the keys it touches."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
 def drain(stream: DataFrame, batch, mode: str = "append", state: str | None = None) -> None:
     """Run a stream over all that is there now."""
     state = state or new_folder(stream.sparkSession, "stream")
     stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(batch).trigger(availableNow=True).start().awaitTermination()
 
 
+def drain_to_files(stream: DataFrame, out: str, state: str) -> DataFrame:
+    """Run a stream over all that is there now into a folder whose log lists each batch's files once."""
+    with rocksdb(stream.sparkSession):
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
 def run_scan(spark: SparkSession, path: str, key: str, status=None, state: str | None = None, max_files: int = 64) -> DataFrame:
     """Discover rows, skip known keys, set their status; a batch that runs again changes nothing.
 
-    ``state`` is the folder of a scan that goes on from run to run: its stream reads only new files.
+    ``state`` is the folder of a scan that goes on from run to run: its stream reads only new files, and known keys are
+    looked up in its state store.
     """
-    out = f"{state}/rows" if state else new_folder(spark, "scan")
-
-    def step(batch: DataFrame, number: int) -> None:
-        found = batch.select(key, (status if status is not None else F.lit("SCANNED")).alias("scan_status"))
-        # Only earlier batches count, so a batch that runs again finds what it found before.
-        known = spark.read.schema(found.schema).parquet(*(f"{out}/batch={i:08d}" for i in range(number))) if number else spark.createDataFrame([], found.schema)
-        fresh = insert_ignore(known, found, key).join(known.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
-
-    drain(source(spark, path, max_files), step, state=f"{state}/stream" if state else None)
-    return spark.read.parquet(out).drop("batch")
+    folder = state or new_folder(spark, "scan")
+    found = source(spark, path, max_files).select(key, (status if status is not None else F.lit("SCANNED")).alias("scan_status"))
+    return drain_to_files(found.dropDuplicates([key]), f"{folder}/rows", f"{folder}/stream")
 
 
 def progress(events: DataFrame, key: str) -> DataFrame:
@@ -68,19 +88,10 @@ def complete(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def dedup_stream(spark: SparkSession, events: DataFrame, key: str) -> DataFrame:
-    """The first row of each key over all batches, however late; a batch that runs again changes nothing."""
-    out = new_folder(spark, "dedup")
-
-    def step(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        if number:
-            known = spark.read.schema(batch.schema).parquet(*(f"{out}/batch={i:08d}" for i in range(number))).select(F.col(key).alias("_known"))
-            fresh = fresh.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
-
-    drain(events, step)
-    return spark.read.schema(events.schema).parquet(f"{out}/*")
+def dedup_stream(spark: SparkSession, events: DataFrame, key: str, state: str | None = None) -> DataFrame:
+    """The first row of each key over all batches, however late; keys stay in the state store, so a batch never reads earlier ones."""
+    folder = state or new_folder(spark, "dedup")
+    return drain_to_files(events.dropDuplicates([key]), f"{folder}/rows", f"{folder}/stream")
 
 
 def live_view(spark: SparkSession, changes: DataFrame, key: str, order: str) -> DataFrame:
