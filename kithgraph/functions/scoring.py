@@ -65,6 +65,12 @@ def bridge_confidence(sim: Column, a: Column, b: Column) -> Column:
     return F.least(F.greatest(sim + bonus, F.lit(0.0)), F.lit(1.0))
 
 
+def bridge_bonus(a: str, b: str) -> float:
+    """What ``bridge_confidence`` adds for two poses."""
+    near = {frozenset(p) for p in (("FRONTAL", "SLIGHT_LEFT"), ("FRONTAL", "SLIGHT_RIGHT"), ("SLIGHT_LEFT", "PROFILE_LEFT"), ("SLIGHT_RIGHT", "PROFILE_RIGHT"))}
+    return 0.15 if a == b else 0.03 if frozenset((a, b)) not in near else 0.12 if "FRONTAL" in (a, b) else 0.08
+
+
 def match_zone(sim: Column) -> Column:
     return F.when(sim >= DEFINITE, "HIGH").when(sim >= LIKELY, "MEDIUM").when(sim >= UNCERTAIN, "STAGED").otherwise("NEW_CLUSTER")
 

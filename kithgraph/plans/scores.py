@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kithgraph.functions import scoring as s
-from kithgraph.operators import people, sequence
+from kithgraph.operators import imaging, people, sequence
 from kithgraph.plans.catalog import query
 
 
@@ -211,7 +211,24 @@ def measured(v):
     return v.faces.select("face_id", F.round(s.sharpness_score(q * q / 15), 6).alias("sharpness"), s.brightness_score(q * 2.5, F.col("sharpness_score") * 7).alias("brightness"))
 
 
-Q3 = """
+E20 = """
+, l AS (SELECT face_id, 20.0 + sharpness_score AS lx, 30.0 AS ly, 50.0 + quality_score AS rx, 30.0 + eye_visibility_score AS ry, CASE WHEN photo_id % 6 <> 0 THEN 40.0 + quality_score / 2 END AS nx, 40.0 + eye_visibility_score * 4 AS ny FROM v_faces),
+d AS (SELECT *, sqrt((rx - lx) * (rx - lx) + (ry - ly) * (ry - ly)) AS dist, atan2(ry - ly, rx - lx) * 180 / pi() AS slant FROM l),
+lg AS (SELECT *, (ny - (ly + ry) / 2) / dist AS ratio, abs(nx - (lx + rx) / 2) / dist AS off FROM d),
+lv AS (SELECT *, CASE WHEN rx > 140 OR lx > 140 OR ly > 112 OR ry > 112 THEN 'OUT_OF_BOUNDS' WHEN dist < 20 THEN 'EYES_TOO_CLOSE' WHEN abs(slant) > 30 THEN 'EXTREME_POSE' WHEN nx IS NOT NULL AND (ratio < 0.3 OR ratio > 2) THEN 'INVALID_GEOMETRY' WHEN nx IS NOT NULL AND off > 0.5 THEN 'EXTREME_POSE' ELSE 'VALID' END AS verdict FROM lg),
+lm AS (SELECT *, CASE WHEN verdict <> 'VALID' THEN 0 WHEN nx IS NULL THEN 0.7 ELSE greatest(0, least(1, (1 - least(1, abs(ratio - 0.8) / 0.8)) * (1 - off * 2))) END::DOUBLE AS geometry FROM lv)
+"""
+
+
+def landmark_points(v):
+    """Eyes and nose of every face; without a nose on every sixth photo."""
+    return v.faces.select(
+        "face_id", (20.0 + F.col("sharpness_score")).alias("lx"), F.lit(30.0).alias("ly"), (50.0 + F.col("quality_score")).alias("rx"), (30.0 + F.col("eye_visibility_score")).alias("ry"),
+        F.when(F.col("photo_id") % 6 != 0, 40.0 + F.col("quality_score") / 2).alias("nx"), (40.0 + F.col("eye_visibility_score") * 4).alias("ny"),
+    )
+
+
+Q3 = E19[: E19.rindex("SELECT face_id, round(clip")] + E20 + """
 , m AS (SELECT *, quality_score * 2.2 AS px, quality_score * quality_score / 15 AS va, quality_score * 2.5 AS br, sharpness_score * 7 AS co FROM v_faces),
 o AS (SELECT face_id, sharpness_score, eye_visibility_score, CASE WHEN px >= 200 THEN 25 WHEN px >= 150 THEN 22 WHEN px >= 100 THEN 18 WHEN px >= 80 THEN 14 WHEN px >= 60 THEN 8 WHEN px >= 40 THEN 4 ELSE 0 END
  + greatest(0, least(25, 25 - CASE WHEN abs(euler_y) > 45 THEN 20 WHEN abs(euler_y) > 30 THEN 10 + (abs(euler_y) - 30) * 0.4 WHEN abs(euler_y) > 15 THEN 3 + (abs(euler_y) - 15) * 0.3 ELSE abs(euler_y) * 0.1 END
@@ -220,16 +237,19 @@ o AS (SELECT face_id, sharpness_score, eye_visibility_score, CASE WHEN px >= 200
  + CASE WHEN br >= 100 AND br <= 160 THEN 10 WHEN br >= 80 AND br <= 180 THEN 8 WHEN br >= 60 AND br <= 200 THEN 5 WHEN br >= 40 AND br <= 220 THEN 3 WHEN br < 30 OR br > 230 THEN 0 ELSE 1 END
  + CASE WHEN co >= 150 THEN 5 WHEN co >= 100 THEN 4 WHEN co >= 70 THEN 3 WHEN co >= 40 THEN 2 ELSE 0 END + eye_visibility_score AS raw FROM m),
 c AS (SELECT *, round(greatest(0, least(100, raw)), 6)::double AS overall FROM o), z AS (SELECT *, """ + s.TIER_SQL.format(score="overall", sharpness="sharpness_score", eye="eye_visibility_score") + """ AS tier FROM c)
-SELECT face_id, overall, tier FROM z WHERE tier <> 'REJECTED'
+SELECT face_id, overall, tier FROM z WHERE tier <> 'REJECTED' AND face_id IN (SELECT face_id FROM k WHERE round(clip, 9) <= 0.20) AND face_id IN (SELECT face_id FROM lm WHERE verdict = 'VALID')
 """
 
 
 @query("q3_score_faces", Q3)
 def score_faces(v):
-    """Overall score and tier from the five measured parts; rejects go."""
+    """Overall score and tier from the five measured parts, of faces with a usable box and usable landmarks; rejects go."""
     yaw, q = F.col("euler_y"), F.col("quality_score")
     parts = s.size_score(q * 2.2) + s.pose_score(yaw, yaw / 2) + s.sharpness_score(q * q / 15) + s.brightness_score(q * 2.5, F.col("sharpness_score") * 7) + F.col("eye_visibility_score")
     # Exploding an array of one keeps the optimiser from writing the sum into every branch of the tier.
-    scored = v.faces.select("face_id", F.explode(F.array(F.round(s.clamp(parts, 0, 100), 6).cast("double"))).alias("overall"), "sharpness_score", "eye_visibility_score")
+    usable = s.usable_boxes(boxes(v), 640, 480).select("face_id")
+    sound = landmark_points(v).filter(imaging.landmark_check(140, 112)["verdict"] == "VALID").select("face_id")
+    faces = v.faces.join(usable, "face_id", "left_semi").join(sound, "face_id", "left_semi")
+    scored = faces.select("face_id", F.explode(F.array(F.round(s.clamp(parts, 0, 100), 6).cast("double"))).alias("overall"), "sharpness_score", "eye_visibility_score")
     tier = s.quality_tier("overall", "sharpness_score", "eye_visibility_score")
     return scored.select("face_id", "overall", tier.alias("tier")).filter("tier <> 'REJECTED'")

@@ -200,8 +200,10 @@ def incremental(v):
 
 @query("k4_incremental_clusters")
 def incremental_clusters(v):
+    """Every fifth face, and all faces of every third cluster, are new."""
     faces = planted(v)
-    return k.incremental_clusters(faces.filter("face_id % 5 = 0"), faces.filter("face_id % 5 <> 0 AND cluster_id % 3 <> 0"))
+    known = (F.col("face_id") % 5 != 0) & (F.col("cluster_id") % 3 != 0)
+    return k.incremental_clusters(faces.filter(~known), faces.filter(known))
 
 
 K11 = PLANTED.replace("WITH proto", "WITH RECURSIVE proto") + """, g AS (SELECT a.face_id AS a, b.face_id AS b FROM f a JOIN f b ON a.face_id <> b.face_id WHERE list_dot_product(a.v, b.v) >= 0.7),
@@ -216,9 +218,9 @@ def connected(v):
     return components(found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 
 
-@query("k13_merge_sets", "SELECT p_partkey % 40 AS label, count(DISTINCT p_partkey) AS n, min(p_partkey) AS target FROM part WHERE p_size % 3 = 0 GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1", raw=True)
+@query("k13_merge_sets", "SELECT p_partkey % 40 AS label, count(DISTINCT p_partkey) AS n, min(p_partkey) AS target FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1", raw=True)
 def merge_sets(v):
-    return k.merge_sets(v.table("part").filter("p_size % 3 = 0").select((F.col("p_partkey") % 40).alias("label"), F.col("p_partkey").alias("cluster_id")))
+    return k.merge_sets(v.table("part").select((F.col("p_partkey") % 40).alias("label"), F.col("p_partkey").alias("cluster_id")))
 
 
 @query("k1_greedy_cluster")
@@ -238,7 +240,15 @@ def propagation(v):
     return k.label_propagation(found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("sim").alias("w")))
 
 
-@query("k17_representatives")
+K17 = PLANTED.replace("WITH proto", "WITH RECURSIVE proto") + """, u AS (SELECT cluster_id, list_transform(c, lambda z: z / sqrt(list_dot_product(c, c))) AS c FROM m),
+s AS (SELECT cluster_id, face_id, v, row_number() OVER (PARTITION BY cluster_id ORDER BY round(quality_score / 100 * 0.6 + list_dot_product(v, c) * 0.4, 9) DESC, face_id) AS n FROM f JOIN u USING (cluster_id)),
+g AS (SELECT cluster_id, 0::BIGINT AS n, []::BIGINT[] AS ids, []::DOUBLE[][] AS vs FROM m
+ UNION ALL SELECT cluster_id, s.n, CASE WHEN fits THEN list_append(ids, face_id) ELSE ids END, CASE WHEN fits THEN list_append(vs, v) ELSE vs END
+ FROM (SELECT g.cluster_id, s.n, ids, vs, face_id, v, len(ids) < 7 AND len(list_filter(vs, lambda k: list_dot_product(k, s.v) > 0.85)) = 0 AS fits FROM g JOIN s ON s.cluster_id = g.cluster_id AND s.n = g.n + 1) s)
+SELECT cluster_id, unnest(ids) AS face_id, (generate_subscripts(ids, 1) - 1)::INTEGER AS rank FROM g WHERE n = (SELECT max(s.n) FROM s WHERE s.cluster_id = g.cluster_id)"""
+
+
+@query("k17_representatives", K17, raw=True)
 def representatives(v):
     return k.select_representatives(planted(v))
 

@@ -1,4 +1,4 @@
-"""Buffers with keyed state and timers: rows wait until there are enough of them or their time is up."""
+"""Keyed state with timers: buffers by size and time, sessions, throttled and debounced rows."""
 
 from __future__ import annotations
 
@@ -108,3 +108,116 @@ def still_waiting(spark: SparkSession, checkpoint: str, wait_ms: int) -> DataFra
     held = state("held").select(F.col("key.key").alias("key"), "value.flushes", "value.first_ms", "value.rows").filter("rows > 0")
     rows = state("waiting").select(F.col("key.key").alias("key"), F.col("list_element.row_id").alias("row_id"))
     return rows.join(held, "key").select("key", "row_id", (F.col("flushes") + 1).alias("flush"), (F.col("first_ms") + wait_ms).alias("at_ms"), F.lit("TIME").alias("reason"))
+
+
+SESSION, CLOSED = "first_ms long, last_ms long, rows long", "key string, first_ms long, last_ms long, rows long"
+
+
+class Sessions(StatefulProcessor):
+    """Sessions of a key: rows at most ``gap_ms`` after each other, in whatever order they come; a timer closes them.
+
+    State holds the bounds of open sessions only. They are what a photo's temporal hint looks at.
+    """
+
+    def __init__(self, gap_ms: int) -> None:
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", SESSION)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = [tuple(x) for x in self.open.get()]
+        due = {last + self.gap_ms for _, last, _ in held}
+        spans = sorted([*held, *((int(t), int(t), 1) for part in rows for t in part.at_ms)])
+        out = [spans[0]]
+        for first, last, n in spans[1:]:
+            if first <= out[-1][1] + self.gap_ms:
+                out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
+            else:
+                out.append((first, last, n))
+        self.open.put(out)
+        now = {last + self.gap_ms for _, last, _ in out}
+        for at in due - now:
+            self.handle.deleteTimer(at)
+        for at in now - due:
+            self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, at = [tuple(x) for x in self.open.get()], expiredTimerInfo.getExpiryTimeInMs()
+        closed = [x for x in held if x[1] + self.gap_ms <= at]
+        rest = [x for x in held if x[1] + self.gap_ms > at]
+        self.open.put(rest) if rest else self.open.clear()
+        if closed:
+            yield pd.DataFrame({"key": key[0], "first_ms": [x[0] for x in closed], "last_ms": [x[1] for x in closed], "rows": [x[2] for x in closed]})
+
+    def close(self) -> None:
+        pass
+
+
+class Quiet(StatefulProcessor):
+    """Rows of a key that may pass: throttled, the first at once and then each at least ``ms`` after the last that passed; or
+    debounced, those that no other follows within ``ms``, handed on by a timer. Rows come in order of time.
+    """
+
+    def __init__(self, ms: int, debounce: bool) -> None:
+        self.ms, self.debounce = ms, debounce
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", ROW)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get() if self.last.exists() else None
+        had = last[1] + self.ms if last is not None and self.debounce else None
+        passed = []
+        for row_id, at in sorted((tuple(x) for part in rows for x in part[["row_id", "at_ms"]].itertuples(index=False)), key=lambda x: (x[1], x[0])):
+            if self.debounce:
+                if last is not None and at - last[1] > self.ms:
+                    passed.append(last[0])
+                last = (int(row_id), int(at))
+            elif last is None or at - last[1] >= self.ms:
+                last = (int(row_id), int(at))
+                passed.append(last[0])
+        self.last.update((int(last[0]), int(last[1])))
+        if self.debounce and last[1] + self.ms != had:
+            if had is not None:
+                self.handle.deleteTimer(had)
+            self.handle.registerTimer(last[1] + self.ms)
+        if passed:
+            yield pd.DataFrame({"row_id": passed})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.last.exists():
+            row_id, _ = self.last.get()
+            self.last.clear()
+            yield pd.DataFrame({"row_id": [row_id]})
+
+    def close(self) -> None:
+        pass
+
+
+def timed(stream: DataFrame, delay_ms: int) -> DataFrame:
+    """key, row_id, at and at_ms of a stream, grouped by key."""
+    return stream.withWatermark("at", f"{delay_ms} milliseconds").select("key", "row_id", "at", F.unix_millis(F.col("at")).alias("at_ms")).groupBy("key")
+
+
+def drain_sessions(spark: SparkSession, stream: DataFrame, gap_ms: int, folder: str | None = None, delay_ms: int = 60_000) -> DataFrame:
+    """key, first_ms, last_ms, rows, open of the sessions of key, row_id, at: those that were closed, and those still open in the state."""
+    folder = folder or new_folder(spark, "sessions")
+    found = timed(stream, delay_ms).transformWithStateInPandas(Sessions(gap_ms), CLOSED, outputMode="Append", timeMode="EventTime")
+    closed = drain_to_files(found, f"{folder}/closed", f"{folder}/state").withColumn("open", F.lit(False))
+    reader = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "open")
+    return closed.unionByName(reader.load().select(F.col("key.key").alias("key"), "list_element.*", F.lit(True).alias("open")))
+
+
+def drain_quiet(spark: SparkSession, stream: DataFrame, ms: int, debounce: bool = False, folder: str | None = None, delay_ms: int = 0) -> DataFrame:
+    """row_id of the rows that pass; of a drained stream the last row of each key is quiet too."""
+    folder = folder or new_folder(spark, "quiet")
+    found = timed(stream, delay_ms).transformWithStateInPandas(Quiet(ms, debounce), "row_id long", outputMode="Append", timeMode="EventTime")
+    passed = drain_to_files(found, f"{folder}/passed", f"{folder}/state")
+    if not debounce:
+        return passed
+    held = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "last").load()
+    return passed.unionByName(held.filter("value IS NOT NULL").select("value.row_id"))

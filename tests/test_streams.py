@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kithgraph.streaming import buffers, jobs
+from kithgraph.streaming import buffers, jobs, views
 
 
 def rows_of(n=60, seed=3):
@@ -66,3 +66,90 @@ def test_keys_of_all_batches_are_known_after_a_restart(spark, tmp_path):
         assert size == high
     shutil.rmtree(f"{state}/stream/commits")
     assert sorted(r.key for r in jobs.dedup_stream(spark, jobs.source(spark, path, 1), "key", state).collect()) == list(range(12))
+
+
+def test_sessions_merge_rows_in_any_order_and_go_on_after_a_restart(spark, tmp_path):
+    rows, path, folder = rows_of(60, 5), str(tmp_path / "in"), str(tmp_path / "sessions")
+    want = set()
+    for key in {r[0] for r in rows}:
+        own = sorted(t for k, _, t in rows if k == key)
+        cuts = [0, *(i for i in range(1, len(own)) if own[i] - own[i - 1] > 6_000), len(own)]
+        want |= {(key, own[a], own[b - 1], b - a) for a, b in zip(cuts, cuts[1:], strict=False)}
+    mixed = [rows[i] for i in np.random.default_rng(2).permutation(60)]
+    for part in (mixed[:25], mixed[25:40], mixed[40:]):
+        write(spark, part, path)
+        got = buffers.drain_sessions(spark, jobs.source(spark, path, 1), 6_000, folder, delay_ms=10_000_000).collect()
+    assert {(r.key, r.first_ms, r.last_ms, r.rows) for r in got} == want and all(r.open for r in got)
+    write(spark, [("k0", 999, 50_000_000)], path)
+    last = buffers.drain_sessions(spark, jobs.source(spark, path, 1), 6_000, folder, delay_ms=10_000_000).collect()
+    assert {(r.key, r.first_ms, r.last_ms, r.rows) for r in last if not r.open} == want
+
+
+def test_throttle_and_debounce_whatever_the_batches(spark, tmp_path):
+    rows, path = rows_of(60, 9), str(tmp_path / "in")
+    for first in range(0, 60, 20):
+        write(spark, rows[first : first + 20], path)
+    passed, quiet = set(), set()
+    for key in {r[0] for r in rows}:
+        own, last = sorted((t, i) for k, i, t in rows if k == key), None
+        for n, (t, i) in enumerate(own):
+            if last is None or t - last >= 4_000:
+                passed.add(i)
+                last = t
+            if n + 1 == len(own) or own[n + 1][0] - t > 4_000:
+                quiet.add(i)
+    assert {r.row_id for r in buffers.drain_quiet(spark, jobs.source(spark, path, 1), 4_000).collect()} == passed
+    assert {r.row_id for r in buffers.drain_quiet(spark, jobs.source(spark, path, 1), 4_000, debounce=True).collect()} == quiet
+
+
+def test_a_view_equals_its_batch_form_after_every_batch_and_reads_what_changed(spark, tmp_path):
+    rng, rows, path = np.random.default_rng(4), {}, str(tmp_path / "in")
+    seen, read = [], []
+    for batch in range(4):
+        size = 400 if batch == 0 else 3
+        for i in rng.integers(0, 400, size):
+            rows[int(i)] = (int(i) % 50, int(i), bool(rng.integers(0, 2)), batch, bool(rng.integers(0, 9) == 0))
+        log = [r for r in rows.values() if r[3] == batch]
+        spark.createDataFrame(log, "cluster_id long, anchor_id long, is_active boolean, at long, gone boolean").coalesce(1).write.mode("append").parquet(path)
+        want = {}
+        for cluster, _, active, _, gone in rows.values():
+            if not gone:
+                want[cluster] = want.get(cluster, 0) + active
+        seen.append(want)
+
+    def check(number, view, rows_read):
+        assert {r.cluster_id: r.n for r in view.collect()} == seen[number]
+        read.append(rows_read)
+
+    counts = lambda df: df.groupBy("cluster_id").agg(F.count_if("is_active").alias("n"))
+    got = views.grouped_view(spark, jobs.source(spark, path, 1), "cluster_id", "anchor_id", "cluster_id long, anchor_id long, is_active boolean", counts, str(tmp_path / "view"), check)
+    assert {r.cluster_id: r.n for r in got.collect()} == seen[-1]
+    assert len(read) == 4 and read[0] == 0 and max(read[1:]) < 0.3 * len(rows)
+
+
+def test_persons_with_face_follow_moves_deletions_and_new_owners(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    kept = views.PersonsWithFace(spark, str(tmp_path / "persons"))
+    faces, clusters, persons = {}, {}, {}
+    for number in range(4):
+        for c in range(12) if number == 0 else rng.integers(0, 14, 2).tolist():
+            clusters[c] = (None if c % 5 == 4 else int(rng.integers(0, 6)), bool(rng.integers(0, 6) == 0), number)
+        for p in range(6) if number == 0 else [int(rng.integers(0, 7))]:
+            persons[p] = (f"name {p}", p * 3, bool(rng.integers(0, 4) == 0), bool(rng.integers(0, 8) == 0), number)
+        for f in range(40) if number == 0 else rng.integers(0, 44, 6).tolist():
+            faces[f] = (None if rng.integers(0, 9) == 0 else int(rng.integers(0, 12)), ("ANCHOR", "CLUSTERING", "DISPLAY_ONLY")[int(rng.integers(0, 3))], float(rng.integers(40, 60)), float(rng.integers(0, 3)), bool(rng.integers(0, 7) == 0), number)
+        face_log = [(str(i), c, t, q, m, 1.0, number, g) for i, (c, t, q, m, g, n) in faces.items() if n == number]
+        cluster_log = [(c, p, g) for c, (p, g, n) in clusters.items() if n == number]
+        person_log = [(p, name, count, hidden, g) for p, (name, count, hidden, g, n) in persons.items() if n == number]
+        kept.apply(
+            spark.createDataFrame(face_log, views.FACE + ", at long, gone boolean"), spark.createDataFrame(cluster_log, "cluster_id long, person_id long, gone boolean"),
+            spark.createDataFrame(person_log, "person_id long, name string, photo_count long, hidden boolean, gone boolean"), number,
+        )
+        want = {}
+        for p, (name, count, hidden, gone, _) in persons.items():
+            own = [(-q, -m, str(i)) for i, (c, t, q, m, g, _) in faces.items() if not g and c in clusters and clusters[c][0] == p and not clusters[c][1] and t != "DISPLAY_ONLY"]
+            if own and not hidden and not gone:
+                want[p] = (name, count, min(own)[2])
+        assert {r.person_id: (r.name, r.photo_count, r.face_id) for r in kept.view(number).collect()} == want
+        again = kept.faces.read_rows
+        assert number == 0 or again < 40
