@@ -172,7 +172,7 @@ CROWD_SHARE = 4096
 
 
 def crowded_spans(texts: DataFrame, width: int, by_words: bool) -> DataFrame:
-    """anchor, content, span of the repeated runs in segments of anchors that are too large for one bucket.
+    """anchor, content, span of the repeated runs in segments that stay crowded in every order.
 
     Each window is a row, told apart by its hash and counted by partial sums; no group holds an anchor's segments.
     """
@@ -205,16 +205,64 @@ def crowded_spans(texts: DataFrame, width: int, by_words: bool) -> DataFrame:
     return ends.select("anchor", "content", (F.shiftleft("first", 32) + F.col("last") + width).alias("span"))
 
 
-def repeated_ranges(
-    docs: DataFrame, width: int, gram: int, by_words: bool, locate: Callable[[dict], tuple], bucket_bytes: int
-) -> DataFrame:
-    """doc_id, text_key, spans: unit ranges [first, last) covered by a window that occurs more than once.
+#: Times that the segments of an anchor too large for one bucket are cut anew by other anchors.
+LEVELS = 4
 
-    ``locate`` works on the distinct segments of a bucket of anchors and returns, for each repeated run,
-    (segment number, first window, number of windows). Anchors whose segments exceed a bucket are split by window.
+
+def salted(grams: np.ndarray, level: int) -> np.ndarray:
+    """Gram hashes in another order for each level."""
+    return ts.mix(grams ^ np.uint64(ts.MULTIPLIER * (2 * level + 1) % (1 << 64)))
+
+
+def finer_segments(texts: DataFrame, level: int, width: int, gram: int, by_words: bool) -> DataFrame:
+    """anchor, content, at, finer, part, windows, copies, body: the segments cut where their windows' anchor in another order changes.
+
+    Equal windows have equal anchors in every order; windows that only share a common gram seldom do.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = ts.string_buffers(batch.column(4))
+            kind = batch.schema.field(4).type
+            for low, high in ts.slices(offsets):
+                part, own = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+                sums, units, words = unit_sums(part, own, by_words)
+                at = np.arange(len(sums) - gram)
+                anchors = ts.sliding_min(salted(ts.span_hashes(sums, at, at + gram), level), width - gram + 1)
+                windows = np.asarray(batch.column(2))[low:high].astype(np.int64)
+                row = np.repeat(np.arange(high - low), windows)
+                place = units[row] + np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+                new = np.append(True, (row[1:] != row[:-1]) | (anchors[place[1:]] != anchors[place[:-1]]))
+                begin = np.flatnonzero(new)
+                count = np.diff(np.append(begin, len(row)))
+                first, row = place[begin], row[begin]
+                last = first + count + width - 1
+                content = ts.span_hashes(sums, first, last)
+                before = np.asarray(batch.column(0))[low:high].view(np.uint64)[row]
+                finer = ts.mix(before ^ ts.mix(anchors[first]))
+                # Words of a segment stand one blank apart.
+                starts, ends = (words[0][first], words[1][last - 1]) if by_words else (first, last)
+                bodies = [part[x:y].tobytes() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+                take = pa.array(row + low)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(take), batch.column(1).take(take), pa.array(first - units[row]), pa.array(finer.view(np.int64)), pa.array(content.view(np.int64)),
+                        pa.array(count.astype(np.int32)), batch.column(3).take(take), pa.array(bodies, pa.binary()).cast(kind),
+                    ],
+                    names=["anchor", "content", "at", "finer", "part", "windows", "copies", "body"],
+                )
+
+    body = texts.schema["body"].dataType.simpleString()
+    return texts.select("anchor", "content", "windows", "copies", "body").mapInArrow(scan, f"anchor long, content long, at long, finer long, part long, windows int, copies long, body {body}")
+
+
+def located(texts: DataFrame, width: int, gram: int, by_words: bool, locate: Callable[[dict], tuple], bucket_bytes: int, level: int = 0) -> DataFrame:
+    """anchor, content, span of the repeated runs of segments (anchor, content, windows, copies, body).
+
+    Anchors are dealt to buckets of about ``bucket_bytes`` of text. Segments of an anchor with more than that are cut by
+    anchors of another order and go through the same once more; windows that are still crowded after ``LEVELS`` orders
+    are counted one by one.
     """
-    recurring = recurring_segments(docs, width, gram, by_words)
-    texts = materialize(segment_texts(docs, distinct_segments(recurring), width, by_words), "texts")
     total = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
 
@@ -237,11 +285,33 @@ def repeated_ranges(
     crowded = materialize(texts.groupBy("anchor").agg(F.sum(F.octet_length("body")).alias("bytes")).filter(F.col("bytes") > bucket_bytes).select("anchor"), "crowded-anchors")
     split = not crowded.isEmpty()
     alone = texts.join(F.broadcast(crowded), "anchor", "left_anti") if split else texts
-    located = alone.withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(shard, "anchor long, content long, span long")
-    if split:
-        located = located.unionByName(crowded_spans(texts.join(F.broadcast(crowded), "anchor", "left_semi"), width, by_words))
+    found = alone.withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(shard, "anchor long, content long, span long")
+    if not split:
+        return found
+    rest = texts.join(F.broadcast(crowded), "anchor", "left_semi")
+    if level == LEVELS:
+        return found.unionByName(crowded_spans(rest, width, by_words))
+    cut = materialize(finer_segments(rest.dropDuplicates(["anchor", "content"]), level + 1, width, gram, by_words), "finer")
+    # Copies of a part are one segment, met by partial sums.
+    parts = cut.groupBy(F.col("finer").alias("anchor"), F.col("part").alias("content")).agg(F.min("windows").alias("windows"), F.sum("copies").alias("copies"), F.min("body").alias("body"))
+    inner = located(materialize(parts, "finer-texts"), width, gram, by_words, locate, bucket_bytes, level + 1)
+    inner = inner.select(F.col("anchor").alias("finer"), F.col("content").alias("part"), "span")
+    move = F.col("at") * F.lit((1 << 32) + 1)
+    return found.unionByName(cut.select("anchor", "content", "at", "finer", "part").join(inner, ["finer", "part"]).select("anchor", "content", (F.col("span") + move).alias("span")))
+
+
+def repeated_ranges(
+    docs: DataFrame, width: int, gram: int, by_words: bool, locate: Callable[[dict], tuple], bucket_bytes: int
+) -> DataFrame:
+    """doc_id, text_key, spans: unit ranges [first, last) covered by a window that occurs more than once.
+
+    ``locate`` works on the distinct segments of a bucket of anchors and returns, for each repeated run,
+    (segment number, first window, number of windows).
+    """
+    recurring = recurring_segments(docs, width, gram, by_words)
+    texts = materialize(segment_texts(docs, distinct_segments(recurring), width, by_words), "texts")
     hits = materialize(
-        located.groupBy("anchor", "content")
+        located(texts, width, gram, by_words, locate, bucket_bytes).groupBy("anchor", "content")
         .agg(F.collect_set("span").alias("found")),
         "hits",
     )

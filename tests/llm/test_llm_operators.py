@@ -439,3 +439,27 @@ def test_a_passage_in_many_documents_fills_no_bucket(spark, by_words):
     want = Counter((texts[i][0], frozenset(own)) for i, own in gone.items())
     got = Counter((r.doc_id, frozenset(j for x in r.spans or [] for j in range(x >> 32, x & 0xFFFFFFFF))) for r in found)
     assert got == want
+
+
+@pytest.mark.parametrize(("levels", "by_words"), [(4, True), (4, False), (1, True), (0, False)])
+def test_crowded_anchors_are_cut_by_other_anchors(spark, odd, docs, monkeypatch, levels, by_words):
+    from kithgraph.llm import segments
+
+    counted = []
+    plain = segments.crowded_spans
+    monkeypatch.setattr(segments, "LEVELS", levels)
+    monkeypatch.setattr(segments, "crowded_spans", lambda *a: counted.append(a[0].agg({"windows": "sum"}).first()[0]) or plain(*a))
+    frame = " ".join(f"license{i}" for i in range(12))
+    mixed = [(5000 + i, f"{' '.join(f'a{i}x{j % 97}' for j in range(40))} {frame} {' '.join(f'b{i // 2}x{j}' for j in range(60))}") for i in range(60)]
+    rows = mixed + docs[:60] + ODD
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    module, bucket = (substring_dedup, 9_000) if by_words else (suffix_dedup, 2_000)
+    monkeypatch.setattr(module, "BUCKET_BYTES", bucket)
+    if by_words:
+        got = Counter(map(tuple, substring_dedup.remove_passages(df).selectExpr("doc_id", "n_words", "n_removed", "sha2(cast(kept as binary), 256)").collect()))
+        assert got == brute.passages(rows)
+    else:
+        got = suffix_dedup.remove_strings(df).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)").collect()
+        assert Counter(map(tuple, got)) == brute.strings(rows)
+    if levels < 4:
+        assert counted
