@@ -43,6 +43,12 @@ def landmark_check(width: int, height: int, target: int = 112) -> dict[str, Colu
     return {"verdict": verdict, "geometry": geometry, "alignment": alignment}
 
 
+def levels(values: str) -> Column:
+    """Pixel levels of values from -1 to 1 in float arithmetic; a plain 1 or 127 would make it double, which cuts some values a level lower."""
+    one, scale = F.lit(1).cast("float"), F.lit(127).cast("float")
+    return F.transform(values, lambda e: ((e.cast("float") + one) * scale).cast("int"))
+
+
 def measure_images(images: DataFrame) -> DataFrame:
     """image_id, variance of the 4-neighbour Laplacian, mean, least and most of gray pictures (w, h, pixels)."""
 

@@ -32,8 +32,7 @@ def apply_preset(v):
 @query("q2_hash_descriptor")
 def hash_descriptor(v):
     """Descriptors of 8 x 8 pictures made from the embeddings' values, one colour a third of the way apart."""
-    level = F.transform("embedding", lambda e: ((e + 1) * 127).cast("int"))
-    pixels = F.transform(level, lambda g: F.shiftleft(g, 16).bitwiseOR(F.shiftleft((g * 2) % 256, 8)).bitwiseOR((g * 3) % 256))
+    pixels = F.transform(imaging.levels("embedding"), lambda g: F.shiftleft(g, 16).bitwiseOR(F.shiftleft((g * 2) % 256, 8)).bitwiseOR((g * 3) % 256))
     pictures = v.table("embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("w"), F.lit(8).alias("h"), pixels.alias("pixels"))
     return imaging.hash_descriptors(pictures)
 

@@ -239,6 +239,5 @@ SELECT image_id, round(list_var_pop(d), 6) AS variance, round(list_avg(x), 6) AS
 @query("q1_measure_images", Q1, raw=True)
 def measure(v):
     """Sharpness and brightness of small pictures made from the embeddings' values."""
-    pixels = F.transform("embedding", lambda e: ((e + 1) * 127).cast("int"))
-    found = imaging.measure_images(v.table("embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("w"), F.lit(8).alias("h"), pixels.alias("pixels")))
+    found = imaging.measure_images(v.table("embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("w"), F.lit(8).alias("h"), imaging.levels("embedding").alias("pixels")))
     return found.withColumns({c: F.round(c, 6) for c in ("variance", "brightness")})

@@ -229,3 +229,12 @@ def test_throttle_keeps_what_a_plain_pass_keeps(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert sorted(got) == sorted(want)
     assert sequence.throttle(events.filter("image_id < 0"), 25).count() == 0
+
+
+def test_pixel_levels_are_cut_in_float_arithmetic(spark):
+    from kithgraph.operators import imaging
+
+    values = np.float32([-0.094488226, 0.0, 1.0])
+    df = spark.createDataFrame([(values.tolist(),)], "e array<float>")
+    # In double arithmetic the first is 114.9999953, in float 115.
+    assert df.select(imaging.levels("e")).first()[0] == [115, 127, 254] == ((values + np.float32(1)) * np.float32(127)).astype(int).tolist()
