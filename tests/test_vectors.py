@@ -144,3 +144,13 @@ def test_own_pairs_degrees_and_links_of_blocks(spark):
         for i, j in want:
             whole[i] = whole[j] = min(whole[i], whole[j])
     assert top == whole and len(edges) <= 4 * 160 < len(want)
+
+
+def test_probes_of_a_search_count_on_the_asking_side_only(spark):
+    v = groups(600, 40, 0.3)
+    base, asked = frame(spark, v), frame(spark, v[:60])
+    one, both = (simjoin.fit_inverted_file(base, 0.5, 0.95, side) for side in (False, True))
+    assert one.probes > both.probes
+    near = set(zip(*np.nonzero(v[:60] @ v.T >= 0.5), strict=True))
+    found = {(r.id_a, r.id_b) for r in simjoin.ann_join(asked, base, 0.5)[0].collect()}
+    assert len(found & near) >= 0.9 * len(near)
