@@ -339,6 +339,30 @@ def test_lm_scoring_is_what_plain_counting_gives(spark, docs):
         assert abs(r.score - want[r.doc_id]) <= 2e-3 * abs(want[r.doc_id])
 
 
+def test_lm_scoring_counts_hot_contexts_over_all_rows(spark, docs, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_scoring, "HOT_LEAST", 20)
+    monkeypatch.setattr(lm_scoring, "HOT_SHARE", 500)
+    # Frequent in one document, which a sample may miss, and in none that counts for training.
+    alone = next(i for i in range(10**6, 10**7) if zlib.crc32(str(i).encode()) % 7 == 2)
+    texts = [*docs, (alone, "seldom met " * 4000)]
+    times = [Counter() for _ in range(lm_scoring.ORDERS)]
+    for _, tokens, bounds in lm_scoring.token_slices(pa.array([t for _, t in texts])):
+        for own, x in zip(times, lm_scoring.contexts(tokens, bounds)[1], strict=True):
+            own.update(x.tolist())
+    total = sum(times[0].values())
+    want = [sorted(x for x, n in own.items() if n * 500 > total and n >= 20) for own in times]
+    rows = spark.createDataFrame([(t, zlib.crc32(str(i).encode()) % 7 != 2) for i, t in texts], "text string, train boolean").repartition(7)
+    base, hot, counts = lm_scoring.hot_counts(rows)
+    assert [x.tolist() for x in hot] == want and min(map(len, want)) > 1
+    ends = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in docs)
+    assert counts[0][want[0].index(int(lm_scoring.END & lm_scoring.LOW))].sum() == ends
+    assert sum(x.sum() == 0 for x in counts[2]) >= 2 and base.sum() == sum(len(t.split()) if t else 0 for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2) + ends
+    assert np.all(counts[0].sum(axis=1) <= [times[0][x] for x in want[0]])
+
+
 def test_piece_coding(spark, odd, docs):
     import sentencepiece
 
