@@ -20,7 +20,10 @@ BUCKETS = 64
 
 
 class Kept:
-    """The newest row of each item of a group; ``gone`` rows leave. Changes have the table's columns, ``at`` and ``gone``."""
+    """The newest row of each item of a group; ``gone`` rows leave. Changes have the table's columns, ``at`` and ``gone``.
+
+    Rows are dealt once, by bucket, and say which batch touched their item last, so a batch finds what it touched without a join.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, group: str, item: str, schema: str, buckets: int = BUCKETS) -> None:
         self.spark, self.folder, self.group, self.item, self.buckets = spark, folder, group, item, buckets
@@ -35,10 +38,15 @@ class Kept:
         return {r.bucket: r.version for r in rows}
 
     def rows(self, number: int, buckets: set[int] | None = None) -> DataFrame:
+        return self.marked(number, buckets).drop("touched")
+
+    def marked(self, number: int, buckets: set[int] | None = None) -> DataFrame:
+        """Rows with the number of the batch that touched their item last."""
+        schema = f"{self.schema}, touched int"
         own = {b: v for b, v in self.versions(number).items() if buckets is None or b in buckets}
         if not own:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/rows/{v:08d}/bucket={b}" for b, v in own.items()))
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/rows/{v:08d}/bucket={b}" for b, v in own.items()))
 
     def changes(self, number: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/changes/{number:08d}")
@@ -51,23 +59,31 @@ class Kept:
         changes.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)).write.mode("overwrite").parquet(f"{self.folder}/changes/{number:08d}")
         changes = self.changes(number)
         touched = {r.bucket for r in changes.select(bucket.alias("bucket")).distinct().collect()}
-        held = self.rows(number - 1, touched)
+        held = self.marked(number - 1, touched)
         self.read_rows = held.count()
-        order = W.partitionBy(*self.keys).orderBy(F.col("at").desc(), F.col("gone"), *(F.col(c) for c in names if c not in ("at", "gone", self.group, self.item)))
-        newest = held.unionByName(changes).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+        if not self.read_rows:
+            held = held.limit(0)
+        items = W.partitionBy("bucket", *self.keys)
+        order = items.orderBy(F.col("at").desc(), F.col("gone"), *(F.col(c) for c in names if c not in ("at", "gone", self.group, self.item)))
+        both = held.unionByName(changes.withColumn("touched", F.lit(number))).withColumn("bucket", bucket).repartition("bucket")
+        newest = both.withColumn("_n", F.row_number().over(order)).withColumn("touched", F.max("touched").over(items)).filter("_n = 1").drop("_n")
         # Those that left stay as marks, or an older change that comes late would bring them back.
-        newest.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/rows/{number:08d}")
+        newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/rows/{number:08d}")
         versions = self.versions(number - 1) | dict.fromkeys(touched, number)
         listed = self.spark.createDataFrame(sorted(versions.items()), "bucket int, version long")
         listed.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/list/{number:08d}")
-        items = changes.select(*self.keys).distinct()
-        return held.join(items, self.keys, "left_semi").filter("NOT gone"), self.rows(number, touched).join(items, self.keys, "left_semi").filter("NOT gone")
+        before, now = held.drop("touched"), self.marked(number, touched).filter(F.col("touched") == number).drop("touched").dropna(subset=self.keys)
+        if self.read_rows:
+            before = before.join(now.select(*self.keys), self.keys, "left_semi")
+        return before.filter("NOT gone"), now.filter("NOT gone")
 
     def groups(self, number: int, changed: DataFrame) -> DataFrame:
         """All rows of the groups of a batch's changed rows, from the buckets it wrote."""
         bucket = F.pmod(F.xxhash64(self.group), F.lit(self.buckets)).cast("int")
         touched = {r.bucket for r in changed.select(bucket.alias("bucket")).distinct().collect()}
-        return self.rows(number, touched).join(changed.select(self.group).distinct(), self.group, "left_semi").filter("NOT gone")
+        rows = self.rows(number, touched)
+        # Where nothing was held before, the buckets hold the changed groups alone.
+        return (rows.join(changed.select(self.group).distinct(), self.group, "left_semi") if self.read_rows else rows.dropna(subset=[self.group])).filter("NOT gone")
 
 
 def grouped_view(spark: SparkSession, changes: DataFrame, group: str, item: str, schema: str, view: Callable[[DataFrame], DataFrame], folder: str | None = None, after: Callable[[int, DataFrame, int], None] | None = None) -> DataFrame:

@@ -183,6 +183,20 @@ def test_a_view_equals_its_batch_form_after_every_batch_and_reads_what_changed(s
     assert len(read) == 4 and read[0] == 0 and max(read[1:]) < 0.3 * len(rows)
 
 
+def test_a_batch_finds_what_it_touched_without_dealing_rows_again(spark, tmp_path):
+    kept = views.Kept(spark, str(tmp_path / "kept"), "key", "item", "key long, item long, value long")
+    found = []
+    for number, log in enumerate(([(i % 7, i, 1) for i in range(50)], [(3, 3, 2), (60, 60, 2), (5, 5, 2)])):
+        rows = [(*r, number, r[1] == 5 and number == 1) for r in log]
+        before, now = kept.apply(spark.createDataFrame(rows, "key long, item long, value long, at long, gone boolean"), number)
+        plan = now._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        found.append([sorted(tuple(r)[:3] for r in x.collect()) for x in (before, now)])
+    assert found[0] == [[], sorted((i % 7, i, 1) for i in range(50))]
+    assert found[1] == [[(3, 3, 1), (5, 5, 1)], [(3, 3, 2), (60, 60, 2)]]
+    assert kept.rows(1).columns == ["key", "item", "value", "at", "gone"] and kept.rows(1).count() == 51
+
+
 def test_persons_with_face_follow_moves_deletions_and_new_owners(spark, tmp_path):
     rng = np.random.default_rng(8)
     kept = views.PersonsWithFace(spark, str(tmp_path / "persons"))
