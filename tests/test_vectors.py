@@ -154,3 +154,55 @@ def test_probes_of_a_search_count_on_the_asking_side_only(spark):
     near = set(zip(*np.nonzero(v[:60] @ v.T >= 0.5), strict=True))
     found = {(r.id_a, r.id_b) for r in simjoin.ann_join(asked, base, 0.5)[0].collect()}
     assert len(found & near) >= 0.9 * len(near)
+
+
+def test_candidates_are_scored_on_a_grid_without_a_row_for_each(spark, monkeypatch):
+    from kithgraph.operators import matching
+
+    monkeypatch.setattr(matching, "GRID_VALUES", 8 * 20)
+    monkeypatch.setattr(matching, "GRID_FACES", 16)
+    rng = np.random.default_rng(4)
+    v, w = unit_rows(rng, 60), unit_rows(rng, 70)
+    faces = [(i, v[i].tolist(), None if i == 7 else 35 + i, None if i == 8 else i // 3) for i in range(60)]
+    reps = [(100 + i // 3, w[i].tolist(), None if i == 5 else i // 3) for i in range(70)]
+    near = [(i, 100 + int(c), n + 1, float(0.5 - n / 100)) for i in range(60) for n, c in enumerate(rng.permutation(30)[:28])]
+    want = {}
+    for i, c, rank, middle in near:
+        own = [(x, at) for at, x in enumerate(reps) if x[0] == c and x[2] is not None]
+        sims = [round(min(1, max(-1, float(v[i] @ w[at]) + min(0.08, max(-0.08, (faces[i][2] / 100 - 0.5) * 0.2)))), 6) for x, at in own if None not in faces[i] and x[2] != faces[i][3]]
+        sim = middle if not own else max(sims, default=None)
+        at = want.setdefault((i, "a" if rank <= matching.CANDIDATES else "b"), [0, None])
+        at[0] += 1
+        if sim is not None and sim > 0 and (at[1] is None or (-sim, rank) < at[1][:2]):
+            at[1] = (-sim, rank, c)
+    got = matching.scored_candidates(
+        spark.createDataFrame(near, "face_id long, cluster_id long, rank int, middle double"),
+        spark.createDataFrame(faces, "face_id long, v array<double>, quality_score int, photo_id long"),
+        spark.createDataFrame(reps, "cluster_id long, w array<double>, rep_photo long"),
+    ).collect()
+    assert len(got) < len(near) / 3
+    found = {}
+    for r in got:
+        at = found.setdefault((r.face_id, r["where"]), [0, None])
+        at[0] += r.n
+        if r.sim is not None and (at[1] is None or (-r.sim, r.rank) < at[1][:2]):
+            at[1] = (-r.sim, r.rank, r.cluster_id)
+    assert found == want
+
+
+def unit_rows(rng, n, width=8):
+    x = rng.normal(size=(n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_a_block_meets_neighbouring_blocks_as_one(spark):
+    rows = unit_rows(np.random.default_rng(6), 900)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "id long, vector array<double>")
+    met = cells.Meeting(table, table.filter("id % 2 = 0"), rows=20)
+
+    def sizes(x, y, _):
+        return pd.DataFrame({"a": [x["_block"].iloc[0]], "cells": [len(x) * len(y)]})
+
+    got = {name: met.fold(sizes, "a long, cells long", met.pairs(), blocks=True, bundled=name).collect() for name in (False, True)}
+    assert met.b.blocks > 10 and len(got[True]) <= 2 * met.a.blocks < len(got[False])
+    assert sum(r.cells for r in got[True]) == sum(r.cells for r in got[False]) == 900 * 450
