@@ -206,3 +206,16 @@ def test_a_block_meets_neighbouring_blocks_as_one(spark):
     got = {name: met.fold(sizes, "a long, cells long", met.pairs(), blocks=True, bundled=name).collect() for name in (False, True)}
     assert met.b.blocks > 10 and len(got[True]) <= 2 * met.a.blocks < len(got[False])
     assert sum(r.cells for r in got[True]) == sum(r.cells for r in got[False]) == 900 * 450
+
+
+@pytest.mark.parametrize("supporting", [0.35, 0.0, -1.0, 1.1])
+def test_the_least_supporting_similarity_stands_for_moved_and_rounded_ones(supporting):
+    from kithgraph.operators import matching
+
+    rng = np.random.default_rng(8)
+    boost = np.append(rng.uniform(-0.08, 0.08, 40), [0, 0.08, -0.08, np.nan])
+    least = matching.least_supporting(boost, supporting)
+    sims = np.concatenate([rng.uniform(-1, 1, (len(boost), 50)), np.clip(supporting - boost[:, None] - 5e-7 + rng.normal(0, 1e-9, (len(boost), 50)), -1, 1), least[:, None], np.nextafter(least, -9)[:, None]], axis=1)
+    sims = np.clip(sims, -1, 1)
+    assert ((sims >= least[:, None]) == (np.round(np.clip(sims + boost[:, None], -1, 1), 6) >= supporting))[:-1].all()
+    assert not (sims[-1] >= least[-1]).any()
