@@ -363,6 +363,33 @@ def test_lm_scoring_counts_hot_contexts_over_all_rows(spark, docs, monkeypatch):
     assert np.all(counts[0].sum(axis=1) <= [times[0][x] for x in want[0]])
 
 
+def test_lm_scoring_counts_all_bits_after_hot_contexts(spark):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    deal = random.Random(3)
+    # Only the word before tells that one of 300 follows; the words before that are seen once.
+    parts = [f"u{i} the w{deal.randrange(300)}" for i in range(9000)]
+    texts = [(i, " ".join(parts[low : low + 30])) for i, low in enumerate(range(0, len(parts), 30))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    held = [r for r in lm_scoring.score(docs).collect() if r.held_out]
+    # With eight bits after "the" it takes 29.0 bits for three words.
+    assert -sum(r.score for r in held) * 3.3219280948873626 / sum(r.n_tokens // 3 for r in held) < 28.7
+    want = Counter()
+    for i, text in texts:
+        for _, tokens, bounds in lm_scoring.token_slices(pa.array([text])):
+            if zlib.crc32(str(i).encode()) % 7 != 2:
+                want.update(zip(lm_scoring.contexts(tokens, bounds)[1][0].tolist(), lm_scoring.codes_of(tokens).tolist(), strict=True))
+    rows = docs.select("text", (F.crc32(F.col("doc_id").cast("string")) % 7 != 2).alias("train")).repartition(5)
+    counted = lm_scoring.candidate_counts(rows)
+    the = lm_scoring.hot_counts(rows, counted)[1][0].view(np.int64).tolist()
+    got = {r.context: dict(zip(np.frombuffer(r.codes, "<u2").tolist(), np.frombuffer(r.counts, "<i8").tolist(), strict=True)) for r in counted.filter("kind = 0").collect() if r.context in the}
+    assert len(the) == 2 and got == {x: {code: n for (context, code), n in want.items() if context == x} for x in the}
+
+
 def test_piece_coding(spark, odd, docs):
     import sentencepiece
 
